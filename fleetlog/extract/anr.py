@@ -9,6 +9,7 @@ from fleetlog.extract.crash import _candidates
 from fleetlog.functions import any_of, grab, log_millis
 from fleetlog.functions.timeutil import STAMP
 from fleetlog.operators import carry, following, top_n
+from fleetlog.session import stage
 
 START = r"(?i)(?:ActivityManager:\s)?ANR in\s+(\S+)|Application is not responding:\s+(\S+)"
 PID = r"(?i)----- pid (\d+) at "
@@ -28,13 +29,14 @@ def _rows(lines: DataFrame) -> DataFrame:
         rows, ["dump_id"], ["pos"],
         {"rep": F.when(F.col("started").isNotNull(), F.struct(F.col("line_no").alias("anr_line"), F.col("started").alias("process"), F.col("pos").alias("anr_pos")))},
     ).where("rep is not null").select("*", "rep.*").drop("rep")
+    rows = stage(rows)
     trace = F.when(t.rlike("(?i)VM TRACES AT LAST ANR"), F.col("pos"))
     rows = carry(rows, ["dump_id", "anr_line"], ["pos"], {"trace_pos": trace})
     # the command line of a process dump stands at most five lines below its pid line
     marks = rows.where("pid_line is not null or cmd is not null").select("dump_id", "pos", "pid_line", "cmd")
     marks = following(marks, ["dump_id"], ["pos"], {"n_cmd": F.col("cmd"), "n_pos": F.col("pos")}).where("pid_line is not null")
     owner = marks.select("dump_id", "pos", F.when(F.col("n_pos") - F.col("pos") <= 5, F.col("n_cmd")).alias("cmd_of"))
-    rows = rows.join(owner, ["dump_id", "pos"], "left")
+    rows = stage(rows.join(owner, ["dump_id", "pos"], "left"))
     dump = F.when(
         F.col("pid_line").isNotNull() & (F.col("pos") > F.col("trace_pos")),
         F.struct(F.col("pid_line").alias("pid"), F.col("cmd_of").eqNullSafe(F.col("process")).alias("hit"), F.col("pos").alias("dump_pos")),
@@ -46,9 +48,10 @@ def _rows(lines: DataFrame) -> DataFrame:
         F.col("in_target") & t.rlike(HEADER),
         F.struct(F.col("pos").alias("hpos"), grab(t, HEADER, 1).alias("thread"), grab(t, HEADER, 2).alias("tid")),
     )
-    rows = rows.withColumn("head", head).withColumn("dkey", F.coalesce("dump_pos", F.lit(-1).cast("bigint")))
-    rows = carry(rows, ["dump_id", "anr_line", "dkey"], ["pos"], {"th": F.col("head")})
-    return rows.select("*", F.col("th.hpos").alias("hpos"), F.col("th.thread").alias("thread"), F.col("th.tid").alias("tid")).drop("th", "d")
+    rows = stage(rows).withColumn("head", head).withColumn("dkey", F.coalesce("dump_pos", F.lit(-1).cast("bigint")))
+    rows = carry(stage(rows), ["dump_id", "anr_line", "dkey"], ["pos"], {"th": F.col("head")})
+    rows = rows.select("*", F.col("th.hpos").alias("hpos"), F.col("th.thread").alias("thread"), F.col("th.tid").alias("tid")).drop("th", "d")
+    return stage(rows)
 
 
 def anr_reports(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -61,7 +64,7 @@ def anr_reports(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     # a thread id that occurs again starts over: its last header counts
     latest = stacks.groupBy(*rep, "tid").agg(F.max("hpos").alias("hpos"))
-    stacks = stacks.join(latest, [*rep, "tid", "hpos"])
+    stacks = stage(stacks.join(latest, [*rep, "tid", "hpos"]))
     mains = rows.where(F.col("head").isNotNull() & (F.lower("head.thread") == "main")).groupBy(*rep).agg(
         F.max_by("head.tid", "pos").alias("main_tid")
     )
@@ -114,4 +117,4 @@ def anr_reports(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce("binder_tx", zero).cast("bigint").alias("binder_tx"), "cpu_hints", "system_hints", "io_hints", "pre_lines",
         F.when(F.coalesce("main_lines", zero) > 0, "TRACE_INCLUDED").otherwise("EVENT_ONLY").alias("evidence_level"),
     )
-    return reports, stacks.drop("hpos")
+    return stage(reports), stacks.drop("hpos")

@@ -8,6 +8,7 @@ from fleetlog import codes as C
 from fleetlog.functions import any_of, capture, clean, day_millis, grab, log_millis, log_time
 from fleetlog.functions.timeutil import STAMP
 from fleetlog.operators import carry, carry_from, previous, running_min, running_total
+from fleetlog.session import stage
 
 CS_START = (
     r"(?i)(?:RILJ\s+:\s+)?\[\d+\]>\s(?:DIAL|EMERGENCY_DIAL)|(?:RILJ\s+:\s+)?\[UNSL\]<\sUNSOL_CALL_RING"
@@ -59,7 +60,7 @@ def cs_events(lines: DataFrame) -> DataFrame:
     words = ["DIAL", "UNSOL_CALL_RING", "GET_CURRENT_CALLS", "LAST_CALL_FAIL_CAUSE", ",ACTIVE,", "TC@", "telecomCallID", "{}"]
     t = clean("raw")
     rows = lines.where(any_of("raw", words) & ~any_of("raw", ["[IPCT", "[IPCN"])).select("dump_id", "line_no", "year", t.alias("t"))
-    rows = carry_from(rows, section_marks(lines), ["dump_id"], ["section"]).where("section in ('call_log', 'radio')")
+    rows = stage(carry_from(rows, section_marks(lines), ["dump_id"], ["section"]).where("section in ('call_log', 'radio')"))
     rows = carry_from(rows, dump_slots(lines), ["dump_id"], ["slot"])
     in_dump = F.col("section") == "call_log"
     iso = capture("t", r"\d{4}-(\d{2}-\d{2})T(\d{2}:\d{2}:\d{2}\.\d{3})", 2)
@@ -91,21 +92,21 @@ def cs_owned(events: DataFrame) -> DataFrame:
     """
     key = ["dump_id", "stream"]
     step = F.when(F.col("is_start"), 1).when(F.col("is_end"), -1).otherwise(0)
-    rows = running_total(events, key, ["line_no"], {"s_in": step, })
-    rows = rows.withColumn("step", step)
+    rows = stage(running_total(stage(events), key, ["line_no"], {"s_in": step}).withColumn("step", step))
     rows = running_min(rows, key, ["line_no"], {"low": F.col("s_in")}, inclusive=False)
     s_before = F.col("s_in") - F.col("step")
     depth = s_before - F.least(F.lit(0), F.coalesce("low", F.lit(0)))
     rows = rows.withColumn("level", F.when(F.col("is_start"), depth + 1).otherwise(depth).cast("bigint")).drop("s_in", "low", "step")
+    rows = stage(rows)
     start = F.when(F.col("is_start"), F.col("line_no"))
     rows = carry(rows, [*key, "level"], ["line_no"], {"by_depth": start})
     rows = rows.withColumn("by_depth", F.when(F.col("level") > 0, F.col("by_depth")))
     # rows without an id get a key of their own so that they do not meet in one group
     rows = rows.withColumn("id_key", F.coalesce("call_id", F.concat(F.lit("#"), F.col("line_no").cast("string"))))
-    rows = carry(rows, [*key, "id_key"], ["line_no"], {"by_id": start})
+    rows = carry(stage(rows), [*key, "id_key"], ["line_no"], {"by_id": start})
     rows = rows.withColumn("owner", F.coalesce("by_id", "by_depth"))
     ended = F.when(F.col("is_end") & F.col("owner").isNotNull(), F.col("owner"))
-    rows = carry(rows, key, ["line_no"], {"last_ended": ended}, inclusive=False)
+    rows = carry(stage(rows), key, ["line_no"], {"last_ended": ended}, inclusive=False)
     late = F.when(F.col("is_cause"), F.col("last_ended"))
     return rows.withColumn("call_line", F.coalesce("owner", late)).drop("level", "by_depth", "by_id", "id_key", "owner", "last_ended").where(
         "call_line is not null"
@@ -171,8 +172,8 @@ def ims_events(lines: DataFrame) -> DataFrame:
         grab(raw, r"objId:(\d+)").alias("own_id"), grab(raw, TC_ID).alias("tc_id"),
         F.btrim(F.regexp_replace(raw, r"(?s)^.*? - ", "")).alias("payload"), reason.alias("reason"),
     )
-    out = carry(rows, ["dump_id"], ["line_no"], {"obj_id": F.col("own_id")}, backward=True)
-    return out.where("obj_id is not null").withColumn("reason", F.when(F.col("own_id").isNotNull(), F.col("reason")))
+    out = carry(stage(rows), ["dump_id"], ["line_no"], {"obj_id": F.col("own_id")}, backward=True)
+    return stage(out.where("obj_id is not null").withColumn("reason", F.when(F.col("own_id").isNotNull(), F.col("reason"))))
 
 
 def ims_distinct(events: DataFrame) -> DataFrame:
@@ -233,6 +234,6 @@ def bind_history(sessions: DataFrame, history: DataFrame, seconds: int = BIND_SE
 
 def call_sessions(lines: DataFrame) -> DataFrame:
     """All calls of a dump, named after the connection history where they lack an id."""
-    cs = chosen_cs(cs_sessions(cs_owned(cs_events(lines))))
-    both = cs.unionByName(ims_sessions(ims_events(lines)))
+    cs = chosen_cs(stage(cs_sessions(cs_owned(cs_events(lines)))))
+    both = stage(cs.unionByName(ims_sessions(ims_events(lines))))
     return bind_history(both, connection_history(lines))

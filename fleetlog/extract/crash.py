@@ -14,7 +14,7 @@ from fleetlog.functions.timeutil import STAMP
 from fleetlog.operators import (
     carry, following, line_context, numbered, previous, top_n, window_slice, window_totals,
 )
-from fleetlog.session import SPAN_LINES, span
+from fleetlog.session import SPAN_LINES, span, stage
 
 FATAL_APP = r"(?i)FATAL EXCEPTION:\s+(\w+)"
 FATAL_SYS = r"(?i)(FATAL EXCEPTION IN SYSTEM PROCESS|System zygote died with fatal exception|\*\*\* FATAL EXCEPTION)"
@@ -30,7 +30,7 @@ def _candidates(lines: DataFrame, words: list[str], radius: int, keep_blank: boo
     rows = near.select("dump_id", "line_no", "year", clean("raw").alias("t"))
     if not keep_blank:
         rows = rows.where("t <> ''")
-    return numbered(rows, ["dump_id"], ["line_no"], "pos")
+    return stage(numbered(stage(rows), ["dump_id"], ["line_no"], "pos"))
 
 
 def crash_blocks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,7 +43,7 @@ def crash_blocks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     w = span(lines.sparkSession, SPAN_LINES)
     t = F.col("t")
-    rows = _candidates(lines, C.CRASH_WORDS, 80, keep_blank=False)
+    cand = rows = _candidates(lines, C.CRASH_WORDS, 80, keep_blank=False)
     app, sys_, panic = t.rlike(FATAL_APP), t.rlike(FATAL_SYS), t.rlike(PANIC)
     rows = rows.withColumn("trig", F.when(panic, "kernel").when(sys_, "system").when(app, "app"))
     rows = rows.withColumn("ts_raw", F.coalesce(grab(t, STAMP), F.concat(F.lit("KTime: "), grab(t, KTIME))))
@@ -53,7 +53,7 @@ def crash_blocks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("trig").isNotNull(),
         F.struct(F.col("pos").alias("tpos"), F.col("line_no").alias("tline"), F.col("trig").alias("kind"), F.col("ts_raw").alias("tts")),
     )
-    rows = carry(rows, ["dump_id"], ["pos"], {"b": box}).where("b is not null").select("*", "b.*").drop("b")
+    rows = stage(carry(rows, ["dump_id"], ["pos"], {"b": box}).where("b is not null").select("*", "b.*").drop("b"))
     body = rows.where("trig is null")
     seg = ["dump_id", "tpos"]
     p = F.col("pos")
@@ -64,7 +64,7 @@ def crash_blocks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.max("pos").alias("end_pos"),
         F.min(F.when(t.contains("---[ end trace") | t.contains("Rebooting in"), p)).alias("end_mark"),
     ).withColumn("start2", F.when(F.col("s2") == F.col("proc_pos"), F.col("s2") + 1).otherwise(F.col("s2")))
-    phase = body.join(begin, seg)
+    phase = stage(body.join(begin, seg))
     stack = phase.where((F.col("kind") != "kernel") & F.col("is_stack") & (p >= F.col("start2")))
     stack = following(stack, seg, ["pos"], {"next_pos": p})
     gap = F.coalesce("next_pos", F.col("end_pos") + 1) - p - 1
@@ -84,13 +84,14 @@ def crash_blocks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         "close", F.when(F.col("kind") == "kernel", kernel_close).otherwise(java_close)
     )
     # chained triggers: the segment before is still open and in the same second
-    trig = previous(trig, ["dump_id"], ["tpos"], {"p_close": F.col("close"), "p_ts": F.col("ts_raw"), "p_pos": F.col("tpos")})
+    trig = previous(stage(trig), ["dump_id"], ["tpos"], {"p_close": F.col("close"), "p_ts": F.col("ts_raw"), "p_pos": F.col("tpos")})
     chained = (
         F.col("p_pos").isNotNull() & F.col("p_close").isNull()
         & F.coalesce(F.substring("p_ts", 1, 14) == F.substring("ts_raw", 1, 14), F.lit(False))
     )
-    trig = trig.withColumn("chained", chained)
+    trig = stage(trig.withColumn("chained", chained))
     trig = carry(trig, ["dump_id"], ["tpos"], {"head": F.when(~F.col("chained"), F.struct(F.col("line_no").alias("hline"), F.col("kind").alias("hkind")))})
+    trig = stage(trig)
     owner = trig.select("dump_id", "tpos", F.col("head.hline").alias("crash_line"), "close", "start2", "first_stack", F.col("kind").alias("k"))
     member = phase.select("dump_id", "tpos", "pos", "line_no", "t", "is_stack", "is_proc").join(owner, seg)
     closed = F.coalesce(F.col("close"), F.lit(1 << 60))
@@ -126,7 +127,7 @@ def crash_blocks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = trig.where("not chained").select(
         "dump_id", F.col("line_no").alias("crash_line"), "tpos", "year", "kind", "ts_raw", "ktime", "panic", "trigger"
     )
-    plain = _plain(lines)
+    plain = _plain(cand)
     hints = window_totals(
         heads.select("dump_id", "crash_line", F.col("tpos").alias("pos")), plain, ["dump_id"], ident=["crash_line"], at="pos",
         before=20, after=0, measures={"hint": F.col("hint").cast("int")}, span=w,
@@ -149,11 +150,11 @@ def crash_blocks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce("stack_lines", F.lit(0)).cast("bigint").alias("stack_lines"), F.coalesce("top_stack", F.array().cast("array<string>")).alias("top_stack"),
         F.coalesce("chained", F.lit(0)).cast("bigint").alias("chained"), kernel.alias("is_kernel"), "trigger",
     )
-    return blocks, stack_rows.drop("is_kernel")
+    return stage(blocks), stage(stack_rows.drop("is_kernel"))
 
 
-def _plain(lines: DataFrame) -> DataFrame:
-    rows = _candidates(lines, C.CRASH_WORDS, 80, keep_blank=False)
+def _plain(rows: DataFrame) -> DataFrame:
+    """Candidate lines that are no trigger."""
     t = F.col("t")
     skip = t.rlike(FATAL_APP) | t.rlike(FATAL_SYS) | t.rlike(PANIC)
     return rows.where(~skip).withColumn("hint", any_of("t", ["Modem Not Responding", "Force CP CRASH"]))
@@ -161,9 +162,10 @@ def _plain(lines: DataFrame) -> DataFrame:
 
 def pre_context(lines: DataFrame, blocks: DataFrame, keep: int = 20) -> DataFrame:
     """The lines right before each crash: ``(dump_id, crash_line, pos, line_no, t)``."""
-    plain = _plain(lines).select("dump_id", F.col("pos").alias("at"), "line_no", "t")
+    cand = _candidates(lines, C.CRASH_WORDS, 80, keep_blank=False)
+    plain = _plain(cand).select("dump_id", F.col("pos").alias("at"), "line_no", "t")
     heads = blocks.select("dump_id", F.col("line_no").alias("crash_line"))
-    spots = _candidates(lines, C.CRASH_WORDS, 80, keep_blank=False).select("dump_id", F.col("line_no").alias("crash_line"), F.col("pos").alias("at"))
+    spots = cand.select("dump_id", F.col("line_no").alias("crash_line"), F.col("pos").alias("at"))
     return window_slice(
         heads.join(spots, ["dump_id", "crash_line"]), plain, ["dump_id"], ident=["crash_line"], at="at", seq="line_no",
         before=1 << 40, after=0, last=keep, span=span(lines.sparkSession, SPAN_LINES),
@@ -181,7 +183,8 @@ def native_crashes(lines: DataFrame, frames: int = 15) -> DataFrame:
         "dump_id", "line_no", "year", "raw", raw.contains("Fatal signal").alias("is_head"),
         capture(raw, r"Abort message: '(.*?)'", 1)[0].alias("abort"), capture(raw, frame, 3).alias("f"),
     )
-    rows = carry(rows, ["dump_id"], ["line_no"], {"crash_line": F.when(F.col("is_head"), F.col("line_no"))}).where("crash_line is not null")
+    rows = carry(stage(rows), ["dump_id"], ["line_no"], {"crash_line": F.when(F.col("is_head"), F.col("line_no"))})
+    rows = stage(rows.where("crash_line is not null"))
     blk = ["dump_id", "crash_line"]
     aborts = rows.where("abort is not null").groupBy(*blk).agg(F.max_by("abort", "line_no").alias("abort_message"))
     shown = top_n(rows.where("f is not null"), blk, [F.col("line_no")], frames)

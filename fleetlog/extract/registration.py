@@ -8,7 +8,7 @@ from fleetlog import codes as C
 from fleetlog.functions import any_of, any_of_lower, clean, grab, log_millis
 from fleetlog.functions.timeutil import STAMP
 from fleetlog.operators import carry_from, change_points, numbered, window_totals
-from fleetlog.session import SPAN_LINES, span
+from fleetlog.session import SPAN_LINES, span, stage
 
 TAG = r"(?i)[VDIWE]\s+([a-zA-Z0-9_\-]+)\s*(?=:)"
 CONTEXT_LINES = 20
@@ -30,7 +30,7 @@ def radio_rows(lines: DataFrame) -> DataFrame:
     tagged = lines.where(any_of("raw", C.RADIO_TAGS)).withColumn("tag", grab("raw", TAG)).where(F.col("tag").isin(C.RADIO_TAGS))
     rows = carry_from(tagged.select("dump_id", "line_no", "year", clean("raw").alias("t"), "tag"), radio_marks(lines), ["dump_id"], ["in_radio"])
     rows = rows.where("in_radio").where(~any_of("t", C.REASON_EXCLUDED_TAGS))
-    return numbered(rows, ["dump_id"], ["line_no"])
+    return stage(numbered(stage(rows), ["dump_id"], ["line_no"]))
 
 
 def service_states(lines: DataFrame) -> DataFrame:
@@ -62,13 +62,13 @@ def service_states(lines: DataFrame) -> DataFrame:
         _field(b, "m?OperatorAlphaShort").alias("operator_short"), _field(b, "m?RejectCause").alias("reject_cause"),
         _field(b, "m?IsEmergencyOnly").alias("is_emergency"),
     )
-    return out.join(near, ["dump_id", "line_no"], "left")
+    return stage(out.join(near, ["dump_id", "line_no"], "left"))
 
 
 def registration_events(states: DataFrame) -> DataFrame:
     """Polls where the voice or data state differs from the poll before of the slot."""
     rows = states.withColumn("v", F.substring("voice_reg", 1, 1)).withColumn("d", F.substring("data_reg", 1, 1))
-    changes = change_points(rows, ["dump_id", "slot"], ["line_no"], ["v", "d"])
+    changes = stage(change_points(rows, ["dump_id", "slot"], ["line_no"], ["v", "d"]))
     was_in = F.coalesce((F.col("prev_v") == "0") & (F.col("prev_d") == "0"), F.lit(False))
     now_in = F.coalesce((F.col("v") == "0") & (F.col("d") == "0"), F.lit(False))
     kind = F.when(~was_in & now_in, "RECOVER").when(was_in & ~now_in, "ENTER").otherwise("CHANGE")

@@ -8,6 +8,7 @@ from fleetlog import codes as C
 from fleetlog.extract.buckets import RIL_TAG
 from fleetlog.functions import any_of_lower, grab, log_millis, match_first
 from fleetlog.operators import pair_requests
+from fleetlog.session import stage
 
 _TAG = r"(?:RILJ|SEM_RILJ|RilRequest)\s*:\s*"
 UNSOL = rf"(?i){_TAG}\[(?:UNSOL|UNSL)\][><]\s*([A-Z_0-9]+)(.*)"
@@ -74,10 +75,11 @@ def ril_transactions(messages: DataFrame) -> DataFrame:
     position aggregate, so no list of responses is ever collected.
     """
     rows = messages.where(F.col("kind").isin("REQ", "RESP") & ~F.col("command").isin(C.RIL_SKIPPED_COMMANDS))
-    rows = rows.withColumn("req_details", F.when(F.col("kind") == "REQ", F.btrim("payload")))
+    rows = stage(rows.withColumn("req_details", F.when(F.col("kind") == "REQ", F.btrim("payload"))))
     paired = pair_requests(
         rows, ["dump_id", "token"], is_request=F.col("kind") == "REQ", take=["ts_raw", "ts_ms", "command", "req_details"]
     ).where("req_line_no is not null")
+    paired = stage(paired)
     inst = ["dump_id", "token", "req_line_no"]
     resp = _with_error(paired.where("kind = 'RESP'"))
     last_reset = resp.where("reset").groupBy(*inst).agg(F.max("line_no").alias("reset_no"))

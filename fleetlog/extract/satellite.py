@@ -9,6 +9,7 @@ from fleetlog.extract.ril import lookup
 from fleetlog.functions import any_of, any_of_lower, clean, grab, log_millis, match_first, once
 from fleetlog.functions.timeutil import STAMP
 from fleetlog.operators import carry, change_points
+from fleetlog.session import stage
 
 PLMN = rf"(?i){STAMP}.*?NtnCapabilityResolver:\s*Registered to satellite PLMN\s*(\d+)"
 POWER = (
@@ -66,7 +67,8 @@ def ntn_candidates(lines: DataFrame) -> DataFrame:
 
 def ntn_events(lines: DataFrame) -> DataFrame:
     """State changes per event type; hysteresis rows at most one per second."""
-    return change_points(ntn_candidates(lines), ["dump_id", "event_type"], ["line_no"], ["state"]).drop("prev_state", "state")
+    changes = change_points(stage(ntn_candidates(lines)), ["dump_id", "event_type"], ["line_no"], ["state"])
+    return stage(changes.drop("prev_state", "state"))
 
 
 def ntn_shown(events: DataFrame) -> DataFrame:
@@ -105,8 +107,8 @@ def sat_rows(lines: DataFrame) -> DataFrame:
     )
     noise = (F.col("layer") == "AT") & any_of("content", C.SAT_NOISE)
     sent = F.when((F.col("layer") == "AT") & (F.col("direction") == "TX") & ~F.col("content").startswith("+CREG:"), F.col("content"))
-    rows = carry(rows.where(~noise), ["dump_id"], ["line_no"], {"last_tx": sent}, inclusive=False)
-    return rows.withColumn("ts_ms", log_millis("ts_raw", F.col("year"))).drop("year")
+    rows = carry(stage(rows.where(~noise)), ["dump_id"], ["line_no"], {"last_tx": sent}, inclusive=False)
+    return stage(rows.withColumn("ts_ms", log_millis("ts_raw", F.col("year"))).drop("year"))
 
 
 def _kinds(rows: DataFrame) -> DataFrame:

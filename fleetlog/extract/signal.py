@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fleetlog.functions import day_millis, grab, log_millis, match_first
 from fleetlog.functions.timeutil import STAMP
 from fleetlog.operators import asof_join
+from fleetlog.session import stage
 
 LEVEL = rf"{STAMP}.*?\[(\d+)\] EVENT_SIGNAL_LEVEL_INFO_CHANGED - SignalBarInfo\{{\s*(.*?)\s*\}}"
 MAX_AGE_MS = 5000
@@ -63,8 +64,8 @@ def signal_details(lines: DataFrame) -> DataFrame:
 
 def levels_with_details(levels: DataFrame, details: DataFrame, max_age_ms: int = MAX_AGE_MS) -> DataFrame:
     """Each level with the latest details at most 5 s older, compared by time of day."""
-    lhs = levels.withColumn("day_ms", day_millis("ts_raw"))
-    rhs = details.withColumn("day_ms", day_millis("ts_raw"))
+    lhs = stage(levels.withColumn("day_ms", day_millis("ts_raw")))
+    rhs = stage(details).withColumn("day_ms", day_millis("ts_raw"))
     found = asof_join(
         lhs, rhs, ["dump_id"], at="day_ms", seq="line_no", take=["lte", "nr", "wcdma", "gsm"], tolerance=max_age_ms
     )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: number of line numbers (or sequence numbers) per segment of an ordered operator
 SPAN_LINES = "spark.fleetlog.segment.lines"
@@ -42,22 +42,29 @@ def span(spark: SparkSession, key: str) -> int:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and work tables.
+    """Shared folder for work tables.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop)
-    is a local folder chosen.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) is a
+    local folder chosen, once per application.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    root = root or context.getCheckpointDir()
     if root is None:
         root = tempfile.mkdtemp(prefix="fleetlog-")
-        spark.sparkContext.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
+        context.setCheckpointDir(root)
     return root
 
 
-def work_table(df, name: str):
-    """Write ``df`` below the shared folder and read it back: cuts lineage, survives lost executors."""
+def stage(df: DataFrame) -> DataFrame:
+    """Write candidate rows to the shared folder and read them back.
+
+    Ordered operators read their input twice (once for what each segment hands on, once for the
+    rows), so a chain of them would redo its regexes and shuffles over and over. Extractors stage
+    the few rows they keep: the text is scanned once, the plan stays short, both reads prune
+    columns, and a lost executor costs a re-read instead of a recomputation.
+    """
     spark = df.sparkSession
-    path = os.path.join(checkpoint_root(spark), "work", name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    path = f"{checkpoint_root(spark)}/stage/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
