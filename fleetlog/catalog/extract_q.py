@@ -330,7 +330,7 @@ LAYERS = [
     ("D x: Suspecting data stall", "DATA_STALL_DETECTED"), ("D NetworkMonitor/101: validation failed", "VALIDATION_FAIL"),
     ("D NetworkMonitor/101: validation passed", "VALIDATION_PASS"), ("D x: PrivateDns broken", "PRIVATE_DNS_FAIL"), ("D DnsResolver: query timed out", "DNS_ISSUE"),
     ("D x: java.net.SocketTimeout netId=7", "TCP_TLS_TIMEOUT"), ("D ConnectivityService: update pkg=com.x", "NETWORK_STATE"), ("D setDefault idle", "DEFAULT_NETWORK_CHANGE"),
-    ("D DeviceIdleController: step", "POWER_IDLE_HINT"), ("D DataStallRecoveryManager created", None), ("D unrelated", None),
+    ("D DeviceIdleController: step", "POWER_IDLE_HINT"), ("D DataStallRecoveryManager created.", None), ("D unrelated", None),
 ]
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,3 +70,9 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_root(spark)}/stage/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def in_parallel(*jobs: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Run independent extractors as concurrent Spark jobs; results in the order given."""
+    with ThreadPoolExecutor(max_workers=min(len(jobs), 8)) as pool:
+        return list(pool.map(lambda job: job(), jobs))
