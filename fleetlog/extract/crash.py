@@ -106,7 +106,8 @@ def crash_blocks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     ).groupBy("dump_id", "crash_line").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), " ").alias("info")
     )
-    proc = member.where((F.col("k") != "kernel") & F.col("is_proc")).select(
+    # only the process line that ended the first phase names the process
+    proc = member.where((F.col("k") != "kernel") & F.col("is_proc") & (p == F.col("start2") - 1)).select(
         "dump_id", "crash_line", "pos", grab("t", r"Process:\s*([^\s,]+)").alias("proc")
     ).where("proc is not null and proc <> 'zygote'")
     comm = member.where(in_kernel & F.col("t").contains("Comm:")).select("dump_id", "crash_line", "pos", grab("t", r"Comm:\s*([^\s]+)").alias("comm"))
@@ -125,7 +126,7 @@ def crash_blocks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     chain = trig.where("chained").groupBy("dump_id", F.col("head.hline").alias("crash_line")).agg(F.count("*").alias("chained"))
     heads = trig.where("not chained").select(
-        "dump_id", F.col("line_no").alias("crash_line"), "tpos", "year", "kind", "ts_raw", "ktime", "panic", "trigger"
+        "dump_id", F.col("line_no").alias("crash_line"), "tpos", "year", "kind", "ts_raw", "ktime", "panic", "trigger", "close"
     )
     plain = _plain(cand)
     hints = window_totals(
@@ -142,6 +143,10 @@ def crash_blocks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.col("kind") == "system", F.concat_ws(", ", F.lit("system_server"), F.when(F.col("proc") != "system_server", F.col("proc"))))
         .otherwise(F.col("proc"))
     )
+    # a last trigger that nothing followed is no block
+    last = F.col("tpos") == F.col("last_tpos")
+    empty = last & F.col("close").isNull() & F.col("stack_lines").isNull() & F.col("info").isNull() & ~kernel
+    out = out.join(trig.groupBy("dump_id").agg(F.max("tpos").alias("last_tpos")), "dump_id").where(~empty)
     blocks = out.select(
         "dump_id", F.col("crash_line").alias("line_no"), "ts_raw", log_millis(grab("ts_raw", STAMP), F.col("year")).alias("ts_ms"),
         F.when(F.col("ts_raw").startswith("KTime"), F.col("ktime")).alias("ktime_s"), process.alias("process"),

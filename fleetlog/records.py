@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetlog.functions import any_of
+from fleetlog.functions import any_of, clean
 
 # --- fixed values: texts signed by a bot, and names of bot users
 AI_SIGNATURES = ["💬 **AI Chat 분석 결과", "🤖 AI 분석 결과"]
@@ -53,5 +53,5 @@ def history_rows(responses: DataFrame) -> DataFrame:
 
 def simplified(text: Column) -> Column:
     """The first three lines longer than ten characters; the text itself if there are none."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.btrim), lambda x: F.length(x) > 10)
+    lines = F.filter(F.transform(F.split(text, "\n"), clean), lambda x: F.length(x) > 10)
     return F.when(F.size(lines) > 0, F.array_join(F.slice(lines, 1, 3), "\n")).otherwise(text)

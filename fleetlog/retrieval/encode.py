@@ -69,7 +69,8 @@ def question_chunks(questions: DataFrame) -> DataFrame:
 
 
 def nearest(
-    questions: DataFrame, docs: DataFrame, k: int, *, metric: str = "l2", filtered: bool = False, doc_block: int = DOC_BLOCK, question_block: int = QUESTION_BLOCK
+    questions: DataFrame, docs: DataFrame, k: int, *, metric: str = "l2", filtered: bool = False, doc_block: int = DOC_BLOCK, question_block: int = QUESTION_BLOCK,
+    max_fetch: int = 1024,
 ) -> DataFrame:
     """Exact ``k`` nearest documents of every question: ``(question_id, doc_id, distance, rank)``.
 
@@ -79,7 +80,7 @@ def nearest(
 
     With ``filtered``, questions carry ``search_types array<string>``, ``dump_id`` and
     ``min_dns_avg`` (NULL = no test) and docs carry ``log_type``, ``dump_id`` and ``dns_avg``; ``k``
-    may then be overridden per question by ``fetch_k``.
+    may then be overridden per question by ``fetch_k`` (up to ``max_fetch``).
     """
     n_doc = max(1, -(-docs.count() // doc_block))
     n_q = max(1, -(-questions.count() // question_block))
@@ -87,8 +88,8 @@ def nearest(
     extra_d = ["log_type", "dump_id", "dns_avg"] if filtered else []
     q = questions.select("question_id", F.col("embedding").alias("v"), *extra_q).withColumn("qb", F.pmod(F.xxhash64("question_id"), F.lit(n_q)))
     d = docs.select("doc_id", F.col("embedding").alias("v"), *extra_d).withColumn("db", F.pmod(F.xxhash64("doc_id"), F.lit(n_doc)))
-    q = q.withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(n_doc - 1))).cast("bigint"))
-    d = d.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).cast("bigint"))
+    q = q.withColumn("db", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_doc - 1).cast("bigint"))))
+    d = d.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint"))))
     qid, did = questions.schema["question_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -122,6 +123,5 @@ def nearest(
     near = q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(
         compare, f"question_id {qid}, doc_id {did}, distance double, want int"
     )
-    most = 1_000_000 if filtered else k
-    ranked = top_n(near, ["question_id"], [F.col("distance"), F.col("doc_id")], most, "rank")
+    ranked = top_n(near, ["question_id"], [F.col("distance"), F.col("doc_id")], max(k, max_fetch) if filtered else k, "rank")
     return ranked.where("rank <= want").drop("want")
