@@ -72,8 +72,8 @@ def uid_map(lines: DataFrame) -> DataFrame:
     return last_per(inside, ["dump_id", "uid"], ["line_no"]).select("dump_id", "uid", "package")
 
 
-def app_packages(lines: DataFrame) -> DataFrame:
-    """``App ID:`` paired with the next ``Package:``; each id is used once; the last pair of a uid wins."""
+def app_pairs(lines: DataFrame) -> DataFrame:
+    """``App ID:`` paired with the next ``Package:``; each id is used once."""
     text = F.col("raw")
     rows = lines.where(any_of("raw", ["App ID:", "Package:"])).select(
         "dump_id", "line_no", grab(text, r"App ID:\s*(\d+)").alias("app_id"),
@@ -81,10 +81,14 @@ def app_packages(lines: DataFrame) -> DataFrame:
     ).where("app_id is not null or package is not null")
     # both on one line: the id comes first
     seen = previous(rows, ["dump_id"], ["line_no"], {"prev_id": F.when(F.col("package").isNull(), F.col("app_id"))})
-    pairs = seen.select(
-        "dump_id", "line_no", F.coalesce("app_id", "prev_id").alias("uid"), "package"
-    ).where("uid is not null and package is not null")
-    return last_per(pairs, ["dump_id", "uid"], ["line_no"]).select("dump_id", "uid", "package")
+    return seen.select("dump_id", "line_no", F.coalesce("app_id", "prev_id").alias("uid"), "package").where(
+        "uid is not null and package is not null"
+    )
+
+
+def app_packages(lines: DataFrame) -> DataFrame:
+    """uid -> package from app-id pairs; the last pair of a uid wins."""
+    return last_per(app_pairs(lines), ["dump_id", "uid"], ["line_no"]).select("dump_id", "uid", "package")
 
 
 def all_packages(lines: DataFrame, authoritative: DataFrame | None = None) -> DataFrame:
@@ -102,7 +106,7 @@ def all_packages(lines: DataFrame, authoritative: DataFrame | None = None) -> Da
         grab(text, r"^pkg,([^,]+),(\d+)", 1).alias("package"),
     )
     found = inline.unionByName(csv).where("uid is not null")
-    found = found.unionByName(app_packages(lines).withColumn("line_no", F.lit(0).cast("bigint")))
+    found = found.unionByName(app_pairs(lines))
     if authoritative is not None:
         found = found.unionByName(authoritative.withColumn("line_no", F.lit(-1).cast("bigint")))
     return last_per(found, ["dump_id", "uid"], ["line_no", "package"]).select("dump_id", "uid", "package")

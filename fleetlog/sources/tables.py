@@ -30,9 +30,9 @@ def write_table(df: DataFrame, root: str, name: str, batch: str = "0", buckets:
     return path
 
 
-def write_artifacts(tables: Mapping[str, DataFrame], root: str) -> dict[str, str]:
+def write_artifacts(tables: Mapping[str, DataFrame], root: str, batch: str = "0") -> dict[str, str]:
     """Write every domain table of an analysis."""
-    return {name: write_table(df, root, name) for name, df in tables.items()}
+    return {name: write_table(df, root, name, batch) for name, df in tables.items()}
 
 
 def read_table(spark: SparkSession, root: str, name: str, schema: StructType | str) -> DataFrame:
@@ -45,8 +45,8 @@ def read_table(spark: SparkSession, root: str, name: str, schema: StructType | s
     return spark.read.schema(schema).parquet(path)
 
 
-def write_docs(docs: DataFrame, root: str) -> str:
-    return write_table(docs, root, "docs")
+def write_docs(docs: DataFrame, root: str, batch: str = "0") -> str:
+    return write_table(docs, root, "docs", batch)
 
 
 def append_new_docs(
