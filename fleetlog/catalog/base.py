@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetlog.functions import millis, once
-from fleetlog.session import prepare
+from fleetlog.session import prepare, spread_small
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,7 +40,7 @@ class Tables:
 
     def ev(self) -> DataFrame:
         """Events as device rows: ``dump_id`` is a hash of the user, ``line_no`` the event id."""
-        e = self.events
+        e = spread_small(self.events)
         return e.select(
             F.concat(F.lit("d"), (F.col("user_id") % 8).cast("string")).alias("dump_id"),
             F.col("event_id").alias("line_no"),

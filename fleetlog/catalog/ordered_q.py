@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fleetlog.catalog.base import EV, by_type, fmt, query, render
+from fleetlog.session import stage
 from fleetlog.extract import datacall, power, registration, ril
 
 RIL_SQL = f"""WITH {EV}, q AS (SELECT *, ty IN ('click','error') AS is_req FROM ev WHERE ty IN ('click','error','purchase')),
@@ -93,7 +94,7 @@ def setup_lines(t):
         click="{ts_raw} radio  1  2 D RILJ    : [{user_id}]> SETUP_DATA_CALL,accessNetworkType=EUTRAN,mDnn=net{k}, IPV4V6 , reason=NORMAL [PHONE0]",
         purchase="{ts_raw} radio  1  2 D RILJ    : [{user_id}]< SETUP_DATA_CALL {{{c} cid={cid}{s} }}", view="{ts_raw} other",
     ))
-    return render(ev, raw)
+    return stage(render(ev, raw))
 
 
 @query(
@@ -143,10 +144,10 @@ def session_lines(t):
         "dnn", F.when(F.col("k") % 2 == 0, F.concat(F.lit(" dnn=apn"), (F.col("k") % 7).cast("string"))).otherwise("")
     ).withColumn("pt", F.when(F.col("k") % 3 == 0, " type=IPV6").otherwise(""))
     head = "{ts_raw} radio  1  2 D RILJ    : "
-    return render(ev, by_type(
+    return stage(render(ev, by_type(
         purchase=head + "[{user_id}]< SETUP_DATA_CALL {{ cause=NONE(0x0) cid={cid} linkStatus=2 }}", signup=head + "[{user_id}]> DEACTIVATE_DATA_CALL cid = {cid} reason = NORMAL [PHONE0]",
         error=head + "[{user_id}]< DEACTIVATE_DATA_CALL [PHONE0]", click=head + "[UNSL]< UNSOL_DATA_CALL_LIST_CHANGED [SetupDataCallResult{{ cause=0 cid={cid} active={act}{dnn}{pt} }}]",
-    ))
+    )))
 
 
 def _sessions(t):
@@ -234,7 +235,7 @@ def reg_lines(t):
         click=head + "SST-0   : Poll ServiceState done: newSS={{mVoiceRegState={v}, mDataRegState={d}, mOperatorAlphaLong=Ex, mRejectCause={rej}}}{ph}",
         purchase=head + "ImsPhoneConnection : rrc connection release",
     ))
-    return render(ev, raw)
+    return stage(render(ev, raw))
 
 
 def registrations(t):

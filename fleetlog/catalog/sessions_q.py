@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fleetlog import operators as ops
 from fleetlog.catalog.base import EV, by_type, fmt, query, render
+from fleetlog.session import stage
 from fleetlog.extract import anr, calls, crash
 from fleetlog.sources.lines import with_stamp
 
@@ -39,7 +40,7 @@ def crash_lines(t):
     raw = F.when(F.col("ty") == "signup", sign).otherwise(by_type(
         view=body + "Process: com.p{k}, PID: 1", click=body + "java.lang.RuntimeException: boom {k}", error=body + "\tat com.x.C{k}.run(C.java:1)", purchase=body + "plain text {k}",
     ))
-    return render(t.ev(), raw)
+    return stage(render(t.ev(), raw))
 
 
 @query("crash_blocks")
@@ -58,7 +59,7 @@ def anr_lines(t):
     error = F.when(m3 == 0, fmt("{ts_raw} E ActivityManager: PID: {u}")).when(m3 == 1, fmt("{ts_raw} E ActivityManager: Reason: Broadcast of Intent {{ act=com.act{k} }}")).otherwise(fmt("BINDER TRANSACTIONS"))
     buy = F.when(m3 == 0, fmt("  outgoing transaction {u}:1 to 5:6 code 7")).when(m3 == 1, fmt("CPU usage from 1ms to 2ms")).otherwise(fmt("iowait high {k}"))
     raw = F.when(F.col("ty") == "signup", sign).when(F.col("ty") == "view", view).when(F.col("ty") == "click", click).when(F.col("ty") == "error", error).otherwise(buy)
-    return render(ev, raw)
+    return stage(render(ev, raw))
 
 
 @query("anr_blocks")
@@ -80,7 +81,7 @@ def cs_lines(t):
     view = fmt(head + "[{k}]< GET_CURRENT_CALLS {{[id=1,ACTIVE,]}} [PHONE{ph}]")
     buy = F.when(m < 5, fmt(head + "[{k}]< GET_CURRENT_CALLS {{}} [PHONE{ph}]")).otherwise(fmt(head + "[{k}]< LAST_CALL_FAIL_CAUSE causeCode: {cause} vendorCause: 24 [PHONE{ph}]"))
     raw = F.when(F.col("ty") == "click", click).when(F.col("ty") == "view", view).when(F.col("ty") == "purchase", buy).otherwise(fmt("{ts_raw} other"))
-    return render(ev, raw)
+    return stage(render(ev, raw))
 
 
 @query("cs_calls")
@@ -111,7 +112,7 @@ def ims_lines(t):
         view="{iso} - [IPCT0] onIncomingCall objId:{o} x", click="{iso} - [IPCT0] accept x", error="{iso} - [IPCN0] reject objId:{o} x",
         purchase="{iso} - [IPCT0] onCallTerminated objId:{o} ImsReasonInfo :: {{{reason}}}",
     ))
-    return render(ev, raw)
+    return stage(render(ev, raw))
 
 
 @query("ims_sessions", IMS_SQL + " SELECT * FROM ims")

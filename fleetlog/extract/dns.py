@@ -102,27 +102,31 @@ def dns_issues(lines: DataFrame) -> DataFrame:
     )
 
 
-def private_dns(lines: DataFrame) -> DataFrame:
-    """Private-DNS mode and failed servers per network.
-
-    Returns one row per network; the failed addresses themselves are rows of
-    ``private_dns_failures`` and are listed here as a distinct set.
-    """
-    owners = net_owner(lines)
+def _private_dns_rows(lines: DataFrame) -> DataFrame:
     rows = lines.where(any_of("raw", ["Private DNS mode:", "status{fail}"])).select(
         "dump_id", "line_no",
         F.upper(grab("raw", r"(?i)Private DNS mode:\s*([a-zA-Z]+)")).alias("mode"),
         F.col("raw").contains("status{fail}").alias("failed"),
         F.when(F.col("raw").contains("status{fail}"), grab("raw", r"([a-fA-F0-9:]+|\d+\.\d+\.\d+\.\d+)\s+name")).alias("ip"),
     )
-    owned = carry_from(rows, owners, ["dump_id"], ["net_id"]).where("net_id is not null")
+    return carry_from(rows, net_owner(lines), ["dump_id"], ["net_id"]).where("net_id is not null")
+
+
+def private_dns_failures(lines: DataFrame) -> DataFrame:
+    """Failed private-DNS servers per network, one row per address."""
+    return _private_dns_rows(lines).where("ip is not null").groupBy("dump_id", "net_id", "ip").agg(F.count("*").alias("fails"))
+
+
+def private_dns(lines: DataFrame) -> DataFrame:
+    """Private-DNS mode, failures and number of failed servers per network."""
+    owners, owned = net_owner(lines), _private_dns_rows(lines)
     seen = owners.select("dump_id", "net_id").distinct()
     stats = owned.groupBy("dump_id", "net_id").agg(
         F.max_by("mode", F.when(F.col("mode").isNotNull(), F.col("line_no"))).alias("mode"),
         F.sum(F.col("failed").cast("bigint")).alias("fail_count"),
-        F.array_sort(F.collect_set("ip")).alias("failed_ips"),
+        F.count_distinct("ip").alias("failed_ips"),
     )
     return seen.join(stats, ["dump_id", "net_id"], "left").select(
         "dump_id", "net_id", "mode", F.coalesce("fail_count", F.lit(0)).cast("bigint").alias("fail_count"),
-        F.coalesce("failed_ips", F.array().cast("array<string>")).alias("failed_ips"),
+        F.coalesce("failed_ips", F.lit(0)).cast("bigint").alias("failed_ips"),
     )

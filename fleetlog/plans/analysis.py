@@ -120,7 +120,7 @@ def analyse(lines: DataFrame) -> dict[str, DataFrame]:
     t["sip_messages"] = stage(sip.sip_messages(cand))
     t["radio_power"] = stage(power.radio_power(cand))
     t["dns_server_health"] = dns.dns_server_health(cand)
-    t["private_dns"] = dns.private_dns(cand)
+    t["private_dns"], t["private_dns_failures"] = dns.private_dns(cand), dns.private_dns_failures(cand)
     t["boot_events"], t["nitz"] = device.boot_events(cand), device.nitz_events(cand)
     t["system_properties"], t["build_info"] = device.system_properties(cand), device.build_info(cand)
     t["cpu_usage"], t["battery_report"], t["thermal"] = device.cpu_usage(cand), device.battery_report(cand), device.thermal(cand)

@@ -72,6 +72,19 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_small(df: DataFrame, bytes_per_task: int = 4 << 20) -> DataFrame:
+    """Deal a small input out to all cores.
+
+    A small file is one split, so one task would do all the regex work. Only inputs below
+    ``bytes_per_task`` per core are dealt out (the shuffle is bounded by that); larger inputs bring
+    enough splits of their own.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < bytes_per_task * cores else df
+
+
 def in_parallel(*jobs: Callable[[], DataFrame]) -> list[DataFrame]:
     """Run independent extractors as concurrent Spark jobs; results in the order given."""
     with ThreadPoolExecutor(max_workers=min(len(jobs), 8)) as pool:

@@ -10,8 +10,11 @@ from pyspark.sql import Window
 from fleetlog.functions import grab
 from fleetlog.functions.timeutil import STAMP, log_millis
 from fleetlog.operators import carry, numbered
+from fleetlog.session import SPAN_MILLIS, span, stage
 
 DEFAULT_YEAR = 2024
+#: one row per file split (about 200 bytes); two million splits are 256 TB of text
+MAX_BROADCAST_SPLITS = 2_000_000
 
 
 def _readable(value: Column) -> Column:
@@ -24,9 +27,9 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], year: int = DEFA
     """Read log files as ordered lines; ``line_no`` counts from 0 per file, across file splits.
 
     Inside one split rows carry consecutive ``monotonically_increasing_id`` values, so the position
-    in a split is a subtraction, not a window: only one row per split is aggregated, prefix-summed
-    and joined back. The text itself is never shuffled. The split table grows with the number of
-    splits; whether it is broadcast is left to Spark's size check.
+    in a split is a subtraction, not a window: only one row per split is counted, prefix-summed and
+    joined back. The counting pass runs once (its result is staged). The split table grows with the
+    number of splits, so it is broadcast only while it is small; then the text is never shuffled.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     scan = spark.read.text(paths).select(
@@ -38,7 +41,9 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], year: int = DEFA
     )
     splits = scan.groupBy("path", "block").agg(F.min("rid").alias("rid0"), F.count("*").alias("n"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = splits.select("path", "block", "rid0", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    starts = stage(splits.select("path", "block", "rid0", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")))
+    if starts.count() <= MAX_BROADCAST_SPLITS:
+        starts = F.broadcast(starts)
     return scan.join(starts, ["path", "block"]).select(
         "dump_id",
         (F.col("first") + F.col("rid") - F.col("rid0")).cast("bigint").alias("line_no"),
@@ -82,8 +87,6 @@ def merge_lines(files: Sequence[DataFrame], dump_id: str | None = None) -> DataF
     stamped = both.withColumn("ts_raw", grab("raw", "^" + STAMP))
     stamped = carry(stamped, ["dump_id", "src_dump", "file_ord"], ["line_no"], {"key": F.col("ts_raw")})
     stamped = stamped.withColumn("key_ms", F.coalesce(log_millis("key", F.col("year")), F.lit(0)))
-    from fleetlog.session import SPAN_MILLIS, span
-
     order = ["key_ms", "file_ord", "line_no"]
     out = numbered(stamped, ["dump_id"], order, "seq", span=span(both.sparkSession, SPAN_MILLIS))
     return out.select(
