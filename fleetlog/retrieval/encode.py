@@ -64,7 +64,7 @@ def intent_scores(chunks: DataFrame, names: Sequence[str], matrix: Sequence[Sequ
 
 def question_chunks(questions: DataFrame) -> DataFrame:
     """Sentences of more than five characters, or the whole question if there are none."""
-    parts = F.filter(F.transform(F.split("query", r"[\n\.]"), F.btrim), lambda x: F.length(x) > 5)
+    parts = F.filter(F.transform(F.split("query", r"[\n\.]"), lambda x: F.btrim(x)), lambda x: F.length(x) > 5)
     return questions.select("question_id", F.explode(F.when(F.size(parts) > 0, parts).otherwise(F.array("query"))).alias("chunk"))
 
 
