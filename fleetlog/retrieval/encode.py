@@ -104,18 +104,29 @@ def nearest(
             else:
                 dist = np.maximum((a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None, :], 0.0)
             ids = right["doc_id"].to_numpy()
+            if filtered:
+                # compare small integer codes per question instead of strings
+                type_code, type_names = pd.factorize(right["log_type"])
+                dump_code, dump_names = pd.factorize(right["dump_id"])
+                type_of = {n: c for c, n in enumerate(type_names)}
+                dump_of = {n: c for c, n in enumerate(dump_names)}
+                avg = right["dns_avg"].to_numpy(dtype=np.float64, na_value=np.nan)
             for i, row in enumerate(left.itertuples(index=False)):
                 keep = np.ones(len(ids), dtype=bool)
                 want = k
                 if filtered:
                     want = int(row.fetch_k)
                     if row.search_types is not None and len(row.search_types):
-                        keep &= right["log_type"].isin(list(row.search_types)).to_numpy()
+                        keep &= np.isin(type_code, [type_of[n] for n in row.search_types if n in type_of])
                     if row.dump_id is not None:
-                        keep &= (right["dump_id"] == row.dump_id).to_numpy()
+                        keep &= dump_code == dump_of.get(row.dump_id, -2)
                     if row.min_dns_avg is not None and not pd.isna(row.min_dns_avg):
-                        keep &= (right["dns_avg"] >= row.min_dns_avg).fillna(False).to_numpy(dtype=bool)
+                        keep &= avg >= row.min_dns_avg
                 where = np.flatnonzero(keep)
+                if len(where) > want:
+                    # drop what is farther than the want-th distance before sorting; ties stay
+                    far = dist[i, where]
+                    where = where[far <= np.partition(far, want - 1)[want - 1]]
                 order = where[np.lexsort((ids[where], dist[i, where]))][:want]
                 out.append(pd.DataFrame({"question_id": row.question_id, "doc_id": ids[order], "distance": dist[i, order], "want": want}))
         return pd.concat(out) if out else pd.DataFrame({"question_id": [], "doc_id": [], "distance": [], "want": []})

@@ -10,7 +10,7 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fleetlog.functions import any_of
+from fleetlog.functions import any_of, once
 from fleetlog.retrieval import words as W
 
 CALL_NOISE = ["Network_Timeline_Stat", "Network_DNS_Issue", "OOS_Event", "Signal_Level", "Data_Usage"]
@@ -35,7 +35,7 @@ def _meta(key: str) -> Column:
 
 def boost_terms() -> list[Column]:
     """Additive rules: class of the question x document type x words in the document."""
-    t, lt, q = F.col("combined"), F.col("log_type"), F.lower("query")
+    t, lt, q = F.col("combined"), F.col("log_type"), F.col("query_low")
 
     def c(name: str) -> Column:
         return F.col(name)
@@ -100,8 +100,9 @@ def scored(candidates: DataFrame) -> DataFrame:
     Needs the question classes, ``query``, ``document``, ``log_type``, ``meta`` and ``distance``.
     """
     text = F.lower(F.concat("document", F.lit("\n"), F.coalesce(F.to_json("meta"), F.lit("{}"))))
-    rows = candidates.withColumn("combined", text)
-    rows = rows.withColumn("keywords", keyword_score(F.col("query"), F.col("combined")))
+    rows = candidates.select("*", once(text).alias("combined"))
+    rows = rows.select("*", once(F.lower("query")).alias("query_low"))
+    rows = rows.select("*", once(keyword_score(F.col("query"), F.col("combined"))).alias("keywords"))
     return rows.withColumn("score", hybrid_score(F.col("distance"), F.col("keywords")) + reduce(add, boost_terms()))
 
 
@@ -134,7 +135,7 @@ def _rules() -> list[tuple[str, Column, Column, Column | None, bool]]:
         ("count_wtf", F.col("proxy_count"), ~hist & (lt == "System_Kill_Wtf_Event") & t.contains("am_wtf"), None, False),
         ("count_histogram", F.col("proxy_count"), hist, None, False),
         ("leak", F.col("leak_absence"), positive, None, True),
-        ("rca", ~F.col("crash_absence") & any_of(F.lower("query"), [w for w in W.RCA_ASK if w != "왜"]), rca, rca, False),
+        ("rca", ~F.col("crash_absence") & any_of("query_low", [w for w in W.RCA_ASK if w != "왜"]), rca, rca, False),
     ]
 
 
@@ -142,7 +143,12 @@ def ranked(scores: DataFrame) -> DataFrame:
     """The final ``top_k`` documents per question with forced evidence in front: adds ``rank``."""
     per = Window.partitionBy("question_id")
     rows = scores.withColumn("base", F.row_number().over(per.orderBy(F.col("score").desc(), "doc_id")))
-    rules = _rules()
+    tests = [x for _, active, cand, sat, _ in _rules() for x in (active, cand, sat if sat is not None else F.lit(False))]
+    rows = rows.select("*", once(F.array(*[F.coalesce(x, F.lit(False)) for x in tests])).alias("__t"))
+    rules = [
+        (name, F.col("__t")[3 * i], F.col("__t")[3 * i + 1], F.col("__t")[3 * i + 2] if sat is not None else None, every)
+        for i, (name, _, _, sat, every) in enumerate(_rules())
+    ]
     # a leak-absence question without positive evidence shows no plain failure reports
     positive = [r for r in rules if r[0] == "leak"][0][2]
     any_pos = F.max(positive.cast("int")).over(per) == 1
@@ -159,4 +165,4 @@ def ranked(scores: DataFrame) -> DataFrame:
     rows = rows.withColumn("__forced", forced).where(~F.col("__drop"))
     order = [F.col("__forced").desc(), F.col("base")]
     out = rows.withColumn("rank", F.row_number().over(per.orderBy(*order)))
-    return out.where(F.col("rank") <= F.col("top_k")).drop("__forced", "__drop")
+    return out.where(F.col("rank") <= F.col("top_k")).drop("__forced", "__drop", "__t")

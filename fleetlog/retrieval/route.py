@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetlog.functions import any_of
+from fleetlog.functions import any_of, once
 from fleetlog.operators import top_n
 from fleetlog.retrieval import words as W
 from fleetlog.retrieval.classify import route_classes
@@ -91,50 +91,61 @@ def route(questions: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
         soft = F.when(F.col("s_intents").isNotNull(), _expand(F.col("s_intents")))
     else:
         soft = F.lit(None).cast("struct<intents:array<string>,tools:array<string>,log_types:array<string>>")
-    rows = rows.withColumn("r", F.coalesce(hard_route(q), soft, fallback_route()))
-    c = route_classes(q)
+    rows = rows.select("*", once(q).alias("__q"))
+    q = F.col("__q")
 
     def has(group):
         return any_of(q, group)
 
+    classes = route_classes(q)
+    flags = {
+        "modem": has(W.OOS_WORDS) & has(W.MODEM_CAUSE_WORDS),
+        "kills": has(W.OOS_WORDS) & has(W.BINDER_CAUSE_WORDS),
+        "rca": classes["r_crash_rca"],
+        "rca_ipc": classes["r_crash_rca"] & has(W.IPC_WORDS),
+        "tc": classes["r_time_context"],
+        "air": has(W.AIRPLANE_WORDS),
+        "air_oos": has(W.AIRPLANE_WORDS) & has(W.RECOVERY_WORDS),
+        "modem_words": has(W.MODEM_WORDS),
+    }
+    # word tests and the base route are evaluated once per question
+    rows = rows.select("*", once(F.struct(*[v.alias(k) for k, v in flags.items()])).alias("__f"))
+    rows = rows.select("*", once(F.coalesce(hard_route(q), soft, fallback_route())).alias("r"))
+    modem, kills, rca, rca_ipc, tc, air, air_oos, modem_words = (F.col(f"__f.{k}") for k in flags)
     none = _route([], [], [])
-    modem = has(W.OOS_WORDS) & has(W.MODEM_CAUSE_WORDS)
-    kills = has(W.OOS_WORDS) & has(W.BINDER_CAUSE_WORDS)
-    rca_ipc = c["r_crash_rca"] & has(W.IPC_WORDS)
-    air = has(W.AIRPLANE_WORDS)
     additions = [
         F.when(modem, _route(["Crash_ANR", "Network_OOS"], ["get_crash_anr_analytics", "get_network_oos_analytics"], ["OOS_Event", "Native_Crash_Event", "RILJ_Transaction"])),
         F.when(kills, _route(["System_Kill_WTF", "Network_OOS"], ["get_binder_warning_analytics", "get_network_oos_analytics"], ["System_Kill_Wtf_Event", "Binder_Warning", "RCA_Event", "OOS_Event", "RILJ_Transaction"])),
-        F.when(c["r_crash_rca"], _route([], [], ["RCA_Event"])),
+        F.when(rca, _route([], [], ["RCA_Event"])),
         F.when(rca_ipc, _route(["System_Kill_WTF"], ["get_binder_warning_analytics"], ["System_Kill_Wtf_Event", "Binder_Warning"])),
-        F.when(c["r_time_context"], _route("Time_Context_Inference")),
+        F.when(tc, _route("Time_Context_Inference")),
         F.when(air, _route("Radio_Power")),
-        F.when(air & has(W.RECOVERY_WORDS), _route("Network_OOS")),
-        F.when(has(W.MODEM_WORDS), _route([], [], ["RILJ_Transaction"])),
+        F.when(air_oos, _route("Network_OOS")),
+        F.when(modem_words, _route([], [], ["RILJ_Transaction"])),
     ]
     parts = [F.col("r")] + [F.coalesce(a, none) for a in additions]
 
     def union(field: str) -> Column:
         return F.array_sort(F.array_distinct(F.flatten(F.array(*[p[field] for p in parts]))))
 
-    tc = c["r_time_context"]
     # a time comparison is not a plain call, power or coverage question, unless a later rule says so
     dropped = F.array_except(F.col("r")["intents"], _arr(["Radio_Power", "Call_Analysis", "Network_OOS"]))
     kept_adds = [F.coalesce(additions[i], none)["intents"] for i in (4, 5, 6)]
     intents = F.when(tc, F.array_sort(F.array_distinct(F.flatten(F.array(dropped, F.when(rca_ipc, _arr(["System_Kill_WTF"])).otherwise(_arr([])), F.when(modem, _arr(["Crash_ANR"])).otherwise(_arr([])), F.when(kills, _arr(["System_Kill_WTF"])).otherwise(_arr([])), *kept_adds))))).otherwise(union("intents"))
     types = F.when(tc, F.array_remove(union("log_types"), "IMS_SIP_Message")).otherwise(union("log_types"))
-    return rows.withColumns({"intents": intents, "tools": union("tools"), "log_types": types}).drop("r", "s_intents")
+    return rows.withColumns({"intents": intents, "tools": union("tools"), "log_types": types}).drop("r", "s_intents", "__q", "__f")
 
 
 def merge_routes(a: DataFrame, b: DataFrame) -> DataFrame:
     """Union of two routes of the same questions; a data-call question keeps only the data-call route."""
     both = a.join(b.select("question_id", *[F.col(c).alias(f"b_{c}") for c in ("intents", "tools", "log_types")]), "question_id", "left")
-    only = route_classes(F.lower("query"))["r_datacall"]
+    both = both.select("*", once(route_classes(F.lower("query"))["r_datacall"]).alias("__only"))
+    only = F.col("__only")
     fixed = dict(zip(("intents", "tools", "log_types"), (["Data_Call_Setup"], *W.INTENTS["Data_Call_Setup"])))
     for c in ("intents", "tools", "log_types"):
         merged = F.array_sort(F.array_union(F.col(c), F.coalesce(F.col(f"b_{c}"), _arr([]))))
         both = both.withColumn(c, F.when(only, _arr(fixed[c])).otherwise(merged))
-    return both.drop("b_intents", "b_tools", "b_log_types")
+    return both.drop("b_intents", "b_tools", "b_log_types", "__only")
 
 
 def overrides(routes: DataFrame) -> DataFrame:
