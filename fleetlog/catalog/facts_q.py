@@ -435,3 +435,41 @@ def limited_lookup(t):
     lists = o.select(F.col("o_custkey").alias("owner"), F.struct("o_orderdate", "o_orderkey").alias("seq"), F.concat(F.lit(" "), F.col("o_orderkey").cast("string"), F.lit(" ,")).alias("codes"))
     records = o.select(F.col("o_orderkey").cast("string").alias("code"), F.col("o_orderstatus").alias("status"))
     return rollups.limited_lookup(lists, records, "code", 5).select("owner", F.col("code").cast("bigint").alias("code"), "status", "total_codes", "truncated")
+
+
+@query(
+    "ps_facts",
+    f"""WITH {EV}, {CALL}, {SIP}, e AS (SELECT *, row_number() OVER (PARTITION BY dump_id ORDER BY line_no) AS rn FROM sp WHERE is_error)
+    SELECT dump_id, line_no, 'call' AS kind, CASE WHEN status='CALL_DROP' THEN end_ms ELSE start_ms END AS ts_ms, status AS label FROM cl WHERE call_type='PS' AND status <> 'SUCCESS'
+    UNION ALL SELECT dump_id, line_no, 'sip', ts_ms, method FROM e WHERE rn <= 5""",
+)
+def ps_facts(t):
+    """Failed IMS calls with the instant to correlate, and the first five SIP errors."""
+    c = rollups.ps_facts(calls(t)).where("failed").select("dump_id", "line_no", F.lit("call").alias("kind"), "ts_ms", F.col("status").alias("label"))
+    s = rollups.first_sip_errors(sip(t)).select("dump_id", "line_no", F.lit("sip").alias("kind"), "ts_ms", F.col("method").alias("label"))
+    return c.unionByName(s)
+
+
+@query(
+    "recovery_facts",
+    f"""WITH {EV}, s AS (SELECT dump_id, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE k % 2 = 0) AS BIGINT) AS r FROM (SELECT 'u' || CAST(user_id AS VARCHAR) AS dump_id, ty, k FROM ev) WHERE ty='signup' AND k < 5 GROUP BY dump_id)
+    SELECT dump_id, coalesce(n, 0) AS stall_events, coalesce(r, 0) AS recovered, CASE WHEN n IS NULL THEN 'CLEAN' ELSE 'STALLED' END AS state FROM (SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) AS dump_id FROM ev) LEFT JOIN s USING (dump_id)""",
+)
+def recovery_facts(t):
+    """Stall recovery per dump, or CLEAN."""
+    e = t.ev().withColumn("dump_id", F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    steps = e.where("ty = 'signup' and k < 5").select("dump_id", F.lit("DATA_STALL_RECOVERY").alias("event_type"), F.when(F.col("k") % 2 == 0, "true").otherwise("false").alias("is_recovered"))
+    return rollups.recovery_facts(steps, e)
+
+
+@query(
+    "crash_facts",
+    f"""WITH {EV} SELECT dump_id, CASE WHEN k % 3 = 0 THEN 'KERNEL_PANIC' ELSE 'FATAL_EXCEPTION' END AS crash_type, k % 4 = 1 AS transaction_too_large, CAST(count(*) AS BIGINT) AS n FROM ev WHERE ty='purchase' GROUP BY ALL""",
+)
+def crash_facts(t):
+    """Crashes by type with the too-large-transaction flag."""
+    c = t.ev().where("ty = 'purchase'").select(
+        "dump_id", (F.col("k") % 3 == 0).alias("is_kernel"), F.lit("x").alias("exception_info"),
+        F.array(F.when(F.col("k") % 4 == 1, "android.os.TransactionTooLargeException: data").otherwise("at a.b.c")).alias("top_stack"),
+    )
+    return rollups.distribution(rollups.crash_facts(c), ["dump_id", "crash_type", "transaction_too_large"])

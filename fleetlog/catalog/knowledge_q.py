@@ -9,6 +9,7 @@ from fleetlog.catalog.base import EV, query
 from fleetlog.operators import top_n
 from fleetlog.retrieval import classify, encode, rank, route, templates, verdicts
 from fleetlog.retrieval import words as W
+from fleetlog.session import stage
 from fleetlog.sources import append_new_docs, new_files, save_knowledge
 
 #: question openings put in front of every conversation turn
@@ -192,9 +193,10 @@ def boosted_rank(t):
     docs = e.select(F.col("line_no").alias("doc_id"), lt.alias("log_type"), F.concat_ws(" ", lt, "ty", F.col("k").cast("string"), F.lit("rild sip_480")).alias("document"), meta.alias("meta"), F.array(F.col("k").cast("double"), F.col("value")).alias("embedding"))
     q = classify.question_filters(questions(t)).withColumn("embedding", F.array((F.col("question_id") % 97).cast("double"), F.lit(50.0)))
     q = route.search_plan(q.withColumn("log_types", F.array().cast("array<string>"))).withColumn("search_types", F.array().cast("array<string>")).withColumn("dump_id", F.lit(None).cast("string")).withColumn("min_dns_avg", F.lit(None).cast("bigint"))
+    q, docs = stage(q), stage(docs)
     docs2 = docs.withColumn("dump_id", F.lit("x")).withColumn("dns_avg", F.lit(0).cast("bigint"))
     near = encode.nearest(q, docs2, 16, filtered=True).drop("rank")
-    rows = near.join(docs.drop("embedding"), "doc_id").join(q.drop("embedding", "dump_id"), "question_id")
+    rows = stage(near.join(docs.drop("embedding"), "doc_id").join(q.drop("embedding", "dump_id"), "question_id"))
     return rank.ranked(rank.scored(rows)).select("question_id", "doc_id", "log_type", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 

@@ -180,3 +180,29 @@ def limited_lookup(lists: DataFrame, records: DataFrame, key: str, limit: int =
     total = codes.groupBy("owner").agg(F.count("*").alias("total_codes"))
     first = top_n(codes, ["owner"], [F.col("seq"), F.col("pos")], limit)
     return first.join(records, key).join(total, "owner").withColumn("truncated", F.col("total_codes") > limit).drop("seq", "pos")
+
+
+def ps_facts(calls: DataFrame) -> DataFrame:
+    """IMS calls with the instant at which to look for radio trouble (the end of a dropped call, else its start)."""
+    ps = calls.where("call_type = 'PS'")
+    dropped = F.upper("status").contains("DROP")
+    return ps.withColumn("failed", F.upper("status").rlike("FAIL|DROP")).withColumn("ts_ms", F.when(dropped, F.col("end_ms")).otherwise(F.col("start_ms")))
+
+
+def first_sip_errors(sip: DataFrame, k: int = 5) -> DataFrame:
+    return top_n(sip.where("is_error"), ["dump_id"], [F.col("line_no")], k, "rank")
+
+
+def crash_facts(crashes: DataFrame) -> DataFrame:
+    """Java and kernel crashes with their type and the too-large-transaction flag."""
+    text = F.lower(F.concat_ws(" ", "exception_info", F.array_join("top_stack", " ")))
+    return crashes.withColumns({
+        "crash_type": F.when(F.col("is_kernel"), "KERNEL_PANIC").otherwise("FATAL_EXCEPTION"), "transaction_too_large": text.contains("transactiontoolargeexception"),
+    })
+
+
+def recovery_facts(calls: DataFrame, dumps: DataFrame) -> DataFrame:
+    """Stall recovery steps per dump; a dump without any is CLEAN."""
+    steps = calls.where("event_type = 'DATA_STALL_RECOVERY'").groupBy("dump_id").agg(F.count("*").alias("stall_events"), F.count_if(F.col("is_recovered") == "true").alias("recovered"))
+    out = dumps.select("dump_id").distinct().join(steps, "dump_id", "left").na.fill(0, ["stall_events", "recovered"])
+    return out.withColumn("state", F.when(F.col("stall_events") == 0, "CLEAN").otherwise("STALLED"))

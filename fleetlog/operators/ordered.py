@@ -54,9 +54,11 @@ def carry(
     for name, value in values.items():
         work = work.withColumn(f"__v_{name}", value)
     pick = F.min_by if backward else F.max_by
+    # a plain number as position lets Spark aggregate by hash where the value allows it
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     tails = work.groupBy(*keys, _SEG).agg(
         *[
-            pick(F.col(f"__v_{n}"), F.when(F.col(f"__v_{n}").isNotNull(), F.struct(*order))).alias(f"__t_{n}")
+            pick(F.col(f"__v_{n}"), F.when(F.col(f"__v_{n}").isNotNull(), place)).alias(f"__t_{n}")
             for n in values
         ]
     )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from fleetlog.extract import power, stall
+from fleetlog.facts import kpi, rollups
 from fleetlog.retrieval import classify, encode, rank, route, verdicts
 from fleetlog.session import stage
 
@@ -28,3 +30,35 @@ def answer(questions: DataFrame, docs: DataFrame, top_k: int = 3, semantic: Data
     found = verdicts.evidence(best)
     shown = best.select("question_id", "rank", "doc_id", "doc_dump", "log_type", "document", "meta", "score")
     return shown, verdicts.verdicts(found)
+
+
+def fact_rows(t: dict[str, DataFrame]) -> DataFrame:
+    """Facts by the name questions ask for them: ``(tool, dump_id, fact)``, the fact as JSON."""
+    by_tool = {
+        "get_cs_call_analytics": rollups.cs_facts(t["call_sessions"]),
+        "get_ps_ims_call_analytics": rollups.ps_facts(t["call_sessions"]),
+        "get_network_oos_analytics": t["oos_causes"],
+        "get_dns_latency_analytics": kpi.dns_latency(t["dns_queries"], t["net_perf"], t["dns_issues"]),
+        "get_data_stall_and_recovery_analytics": rollups.recovery_facts(t["data_calls"], t["dumps"]),
+        "get_datacall_setup_analytics": rollups.setup_failures(t["data_calls"]),
+        "get_internet_stall_analytics": stall.stall_kpi(t["stall_timeline"], t["stall_windows"], t["stall_causes"]),
+        "get_recent_data_usage_analytics": rollups.recent_usage(t["data_usage"]),
+        "get_radio_power_analytics": power.power_transitions(t["radio_power"]),
+        "get_crash_anr_analytics": kpi.crash_counts(t["java_crashes"], t["native_crashes"], t["anrs"], t["binder_events"]),
+        "get_binder_warning_analytics": rollups.binder_facts(t["binder_events"]),
+        "get_battery_thermal_analytics": kpi.heat(t["thermal"], t["wakelocks"], t["cpu_usage"]),
+        "get_ntn_spacex_analytics": kpi.ntn_count(t["ntn_events"]),
+        "get_tiantong_satellite_analytics": kpi.satellite_state(t["sat_metrics"], t["sat_registration"]),
+    }
+    parts = [df.select(F.lit(tool).alias("tool"), "dump_id", F.to_json(F.struct(*[c for c in df.columns if c != "dump_id"])).alias("fact")) for tool, df in by_tool.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def similar_cases(questions: DataFrame, knowledge: DataFrame, k: int = 2) -> DataFrame:
+    """The nearest known cases of every question; both sides carry ``embedding``."""
+    cases = knowledge.withColumnRenamed("case_id", "doc_id")
+    near = encode.nearest(questions, cases, k)
+    return near.join(cases.drop("embedding"), "doc_id").withColumnRenamed("doc_id", "case_id")

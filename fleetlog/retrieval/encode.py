@@ -93,7 +93,7 @@ def nearest(
     qid, did = questions.schema["question_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found: list[tuple] = []
         if len(left) and len(right):
             a = np.asarray(left["v"].tolist(), dtype=np.float64)
             b = np.asarray(right["v"].tolist(), dtype=np.float64)
@@ -128,8 +128,11 @@ def nearest(
                     far = dist[i, where]
                     where = where[far <= np.partition(far, want - 1)[want - 1]]
                 order = where[np.lexsort((ids[where], dist[i, where]))][:want]
-                out.append(pd.DataFrame({"question_id": row.question_id, "doc_id": ids[order], "distance": dist[i, order], "want": want}))
-        return pd.concat(out) if out else pd.DataFrame({"question_id": [], "doc_id": [], "distance": [], "want": []})
+                found.append((np.repeat(row.question_id, len(order)), ids[order], dist[i, order], np.repeat(want, len(order))))
+        names = ["question_id", "doc_id", "distance", "want"]
+        if not found:
+            return pd.DataFrame({n: [] for n in names})
+        return pd.DataFrame({n: np.concatenate(cols) for n, cols in zip(names, zip(*found))})
 
     near = q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(
         compare, f"question_id {qid}, doc_id {did}, distance double, want int"

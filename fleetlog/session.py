@@ -72,6 +72,12 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stage(spark: SparkSession) -> None:
+    """Remove this application's staged tables once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark)}/stage/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread_small(df: DataFrame, bytes_per_task: int = 4 << 20) -> DataFrame:
     """Deal a small input out to all cores.
 

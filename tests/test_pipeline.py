@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fleetlog.plans import analyse, answer
 from fleetlog.plans.analysis import documents
+from fleetlog.plans.ask import fact_rows, similar_cases
 from fleetlog.sources import read_table, write_artifacts, write_docs
 
 LOG = r"""Build fingerprint: 'brand/modelx/dev'
@@ -154,10 +155,18 @@ def test_documents_and_questions(spark, tables, tmp_path):
     got = {r.question_id: (r.verdict, r.value, r.subject) for r in verdicts.collect()}
     assert got[1] == ("BINDER_LEAK_RELATED", 5200, "com.android.phone")
     assert got[2][:2] == ("IPC_STARVATION", 4200)
+    facts = {(r.tool, r.dump_id): r.fact for r in fact_rows(tables).collect()}
+    assert len({tool for tool, _ in facts}) == 14 and '"primary_cause"' in facts[("get_internet_stall_analytics", "d1")]
     best = {(r.question_id, r.rank): (r.log_type, r.doc_dump) for r in shown.collect()}
     assert best[(4, 1)] == ("RILJ_Transaction", "d2") and all(d == "d2" for (qid, _), (_, d) in best.items() if qid >= 3)
 
 
+def test_similar_cases(spark):
+    cases = spark.createDataFrame([("a", "reset modem", [1.0, 0.0]), ("b", "other", [0.0, 1.0]), ("c", "modem again", [0.9, 0.1])], "case_id string, solution string, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "question_id long, embedding array<double>")
+    assert [r.case_id for r in similar_cases(q, cases).orderBy("rank").collect()] == ["a", "c"]
+
+
 def test_landing(spark, tmp_path):
     from fleetlog.streaming import follow_landing
 
