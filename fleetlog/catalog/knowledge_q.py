@@ -185,7 +185,7 @@ def hybrid_rank(t):
 
 @query("boosted_rank")
 def boosted_rank(t):
-    """Boosts and forced evidence over the fetched documents (checked against a plain re-ranker in the tests)."""
+    """Boosts and forced evidence over the fetched documents (the tests recompute the scores; forced evidence is tested by example)."""
     e = t.ev()
     types = ["Call_Session", "RCA_Event", "System_Kill_Wtf_Event", "Binder_Warning", "Network_DNS_Issue", "Nitz_Time_Event", "OOS_Event", "SetupDataCall_Failed"]
     lt = F.element_at(F.array(*[F.lit(x) for x in types]), (F.col("k") % len(types) + 1).cast("int"))
