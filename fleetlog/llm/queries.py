@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlog.llm import fingerprints, mixing, packing, quotes, rules, secret_scan, urls
+from fleetlog.llm import fingerprints, mixing, near_dup, packing, quotes, rules, secret_scan, urls
 from fleetlog.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,12 @@ def secrets(documents: DataFrame) -> DataFrame:
     return secret_scan.scan(documents).drop("text_hash", "marks")
 
 
+@query("op2_bayes_near_dup", "documents")
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """Groups of documents with 3-word shingle similarity of 0.85 or more."""
+    return near_dup.near_duplicates(documents, words=3, threshold=85).drop("text_hash", "kept_row")
+
+
 def _due_sql(done: str, schedule) -> str:
     area = [0.0]
     for (t0, w0), (t1, w1) in zip(schedule, schedule[1:]):
