@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fleetlog.llm.common import WORD, n_words, once, text_of
+from fleetlog.llm.common import WORD, n_words, text_of
 from fleetlog.session import stage
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -71,14 +71,14 @@ def targets(sized: DataFrame, weights: Sequence[float], share: float, max_repeat
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_repeat: int = MAX_REPEAT, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Words taken of every document, and when.
 
-    One row per input row: doc_id, source, size, source_size, target, taken (words, repeats counted), copies
+    One row per input row: doc_id, text_hash, source, size, source_size, target, taken (words, repeats counted), copies
     (array of structs: words taken of this copy, position from 0 to 1 at which it is due; copies of no
     words are left out) and position (of the first copy, null if none). ``taken`` of a source adds up to its
     target rounded down. The order inside a source is by the MD5 of the id, then size: repeated rows
     are interchangeable. Null texts have no words; null sources are one source, ordered last; null ids
     come first. An empty table gives no rows. Other columns are ignored.
     """
-    sized = stage(docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[source_col].cast("string").alias("source"), n_words(text_of(docs, text_col)).alias("size")))
+    sized = stage(docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[source_col].cast("string").alias("source"), F.xxhash64(text_of(docs, text_col)).alias("text_hash"), n_words(text_of(docs, text_col)).alias("size")))
     wanted = targets(sized, weights, share, max_repeat)
     if wanted.count() <= BROADCAST_SOURCES:
         wanted = F.broadcast(wanted)
@@ -86,7 +86,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     hashed = sized.withColumn("turn", F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(""))).withColumn("stretch", F.substring("turn", 1, 3))
     chain = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     base = hashed.groupBy("source", "stretch").agg(F.sum("size").alias("n")).select(F.col("source").alias("b_source"), F.col("stretch").alias("b_stretch"), F.coalesce(F.sum("n").over(chain), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "stretch").orderBy("turn", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "stretch").orderBy("turn", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     rows = hashed.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(base, rows.source.eqNullSafe(base.b_source) & (rows.stretch == base.b_stretch)).withColumn("first", F.col("base") + F.col("own"))
     w = wanted.withColumnRenamed("source", "w_source")
@@ -98,7 +98,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
         copies.append(F.struct(words.alias("words"), F.round(pick(F.col("place"), [due(begin / F.col("target"), s) for s in schedules]), 9).alias("position")))
     rows = rows.withColumn("copies", F.filter(F.array(*copies), lambda c: c["words"] > 0))
     return rows.select(
-        "doc_id", "source", "size", "source_size", "target",
+        "doc_id", "text_hash", "source", "size", "source_size", "target",
         F.coalesce(F.aggregate("copies", F.lit(0).cast("bigint"), lambda n, c: n + c["words"]), F.lit(0)).alias("taken"),
         "copies", F.get("copies", F.lit(0))["position"].alias("position"),
     )
@@ -115,4 +115,4 @@ def cut_to(text: Column, words: Column, size: Column) -> Column:
     return F.when(words < size, F.array_join(F.slice(lead, F.lit(1), words.cast("int")), "")).otherwise(text)
 
 
-__all__ = ["WEIGHTS", "curriculum", "cut_to", "due", "mix", "once", "targets"]
+__all__ = ["WEIGHTS", "curriculum", "cut_to", "due", "mix", "targets"]

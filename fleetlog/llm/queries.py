@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlog.llm import fingerprints, mixing, near_dup, packing, quotes, rules, secret_scan, urls
+from fleetlog.llm import cotrain, fingerprints, mixing, near_dup, packing, quotes, rules, secret_scan, urls
 from fleetlog.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,7 +96,7 @@ SELECT doc_id, source, size, source_size, target, CAST(a + b AS BIGINT) AS taken
 @query("op4_curriculum_mix", "documents", _MIX_SQL)
 def mixed(documents: DataFrame) -> DataFrame:
     """Words taken of every document and when, in reading order of the first copy."""
-    return mixing.mix(documents).withColumn("copies", F.size("copies").cast("bigint")).withColumnRenamed("copies", "n_copies").orderBy("position", "doc_id")
+    return mixing.mix(documents).drop("text_hash").withColumn("copies", F.size("copies").cast("bigint")).withColumnRenamed("copies", "n_copies").orderBy("position", "doc_id")
 
 
 def _rules_sql() -> str:
@@ -184,6 +184,15 @@ def weighted_fingerprint(documents: DataFrame) -> DataFrame:
     return fingerprints.fingerprint(documents)
 
 
+def cotrained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by two views that taught each other."""
+    table = lambda name: prepare(spark).read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return cotrain.classify(table("documents"), table("labels")).drop("text_hash")
+
+
+QUERIES["op9_cotrained_quality"] = cotrained
+
+
 @query("op10_best_fit_packing", "documents")
 def packed(documents: DataFrame) -> DataFrame:
     """All documents in windows of 2048 ids."""
