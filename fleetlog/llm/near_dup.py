@@ -29,18 +29,28 @@ from fleetlog.session import stage
 
 #: words of a shingle, threshold in hundredths
 WORDS, THRESHOLD = 5, 80
-#: values of a signature: BANDS x ROWS; at similarity 0.85 all bands fail with probability (1 - 0.85^6)^34 = 1e-7
-BANDS, ROWS = 34, 6
-#: probability with which the posterior bound may drop a pair at the threshold, per batch of BANDS values
+#: values of a signature; a batch of the sequential test
+VALUES, BATCH = 204, 34
+#: probability with which all bands of a pair at the threshold may differ
+BAND_MISS = 1e-6
+#: probability with which the posterior bound may drop a pair at the threshold, per batch
 MISS = 1e-9
 #: classes of a block in the second step, and pairs that share one copy of their first member
 BLOCK, CHUNK = 512, 128
-_A = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_X = np.random.Generator(np.random.PCG64(6)).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_A = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 62, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_X = np.random.Generator(np.random.PCG64(6)).integers(1, 1 << 63, VALUES, dtype=np.uint64)
 
 
 @lru_cache
-def bounds(threshold: int, miss: float = MISS, step: int = BANDS, steps: int = ROWS) -> tuple[int, ...]:
+def layout(threshold: int, miss: float = BAND_MISS) -> tuple[int, int]:
+    """Bands and values per band: the longest bands that miss a pair at the threshold rarely enough (0.85: 34 x 6, 0.8: 40 x 5)."""
+    fit = [rows for rows in range(1, 13) if (1 - (threshold / 100) ** rows) ** (VALUES // rows) <= miss]
+    rows = max(fit, default=1)
+    return VALUES // rows, rows
+
+
+@lru_cache
+def bounds(threshold: int, miss: float = MISS, step: int = BATCH, steps: int = VALUES // BATCH) -> tuple[int, ...]:
     """Least number of equal values after each batch of ``step`` with which a pair stays.
 
     P(similarity >= t | m of n equal) under a flat prior is P(Binomial(n + 1, t) <= m).
@@ -60,7 +70,7 @@ def survive(a: np.ndarray, b: np.ndarray, least: tuple[int, ...]) -> np.ndarray:
     """Places of the pairs of signatures (rows of ``a`` and ``b``) that outlive every batch."""
     left, equal = np.arange(len(a)), np.zeros(len(a), dtype=np.int64)
     for k, m in enumerate(least):
-        part = slice(k * BANDS, (k + 1) * BANDS)
+        part = slice(k * BATCH, (k + 1) * BATCH)
         equal[left] += (a[left, part] == b[left, part]).sum(axis=1)
         left = left[equal[left] >= m]
     return left
@@ -83,13 +93,13 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
                 values, at = shingle_sets(texts, words)
                 n = np.diff(at)
                 some = np.flatnonzero(n)
-                sig = np.zeros((len(some), BANDS * ROWS), dtype=np.uint32)
+                sig = np.zeros((len(some), VALUES), dtype=np.uint32)
                 keys: list[bytes | None] = [None] * len(texts)
                 sigs: list[bytes | None] = [None] * len(texts)
                 if len(some):
                     start = at[some]
                     with np.errstate(over="ignore"):
-                        for j in range(BANDS * ROWS):
+                        for j in range(VALUES):
                             sig[:, j] = np.minimum.reduceat(((values ^ _X[j]) * _A[j]) >> np.uint64(32), start)
                         low, high = np.bitwise_xor.reduceat(mix(values ^ _X[0]), start), np.add.reduceat(mix(values ^ _X[1]), start)
                     for k, i in enumerate(some.tolist()):
@@ -101,23 +111,24 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, BANDS * ROWS)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, VALUES)
 
 
-def buckets(classes: DataFrame) -> DataFrame:
+def buckets(classes: DataFrame, threshold: int) -> DataFrame:
     """A row per class and band: bucket, node, n."""
+    bands, rows = layout(threshold)
     schema = pa.schema([("bucket", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
 
     def band(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             if not batch.num_rows:
                 continue
-            sig = _matrix(batch.column(2)).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            h = np.broadcast_to(_X[:BANDS], sig.shape[:2])
+            sig = _matrix(batch.column(2))[:, : bands * rows].reshape(-1, bands, rows).astype(np.uint64)
+            h = np.broadcast_to(_X[:bands], sig.shape[:2])
             with np.errstate(over="ignore"):
-                for r in range(ROWS):
+                for r in range(rows):
                     h = mix(h + sig[:, :, r] * _A[r])
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.repeat(batch.column(1).to_numpy(), BANDS))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), bands)), pa.array(np.repeat(batch.column(1).to_numpy(), bands))], schema=schema)
 
     return classes.select("node", "n", "signature").mapInArrow(band, "bucket bigint, node bigint, n bigint")
 
@@ -271,7 +282,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "row")
     classes = stage(some.groupBy("set_key", "n_shingles").agg(F.min(order).alias("first"), F.count("*").alias("copies")).select("set_key", "n_shingles", "copies", F.col("first.id").alias("id"), F.col("first.row").alias("node")))
     reps = stage(some.select(F.col("row").alias("node"), "doc_id", "text_hash", "signature").join(classes.select("node", F.col("n_shingles").alias("n")), "node"))
-    banded = buckets(reps)
+    banded = buckets(reps, threshold)
     full = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("low")).where("size > 1")
     members = stage(banded.join(full, "bucket").select("bucket", "node", "n", "size", F.col("low.node").alias("pivot"), F.col("low.n").alias("pivot_n")))
     stars = members.where(F.col("node") != F.col("pivot")).where(alike(F.col("n"), F.col("pivot_n"), threshold)).groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.max("size").alias("size"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlog.llm import cotrain, fingerprints, mixing, near_dup, packing, quotes, rules, secret_scan, urls
+from fleetlog.llm import cotrain, fingerprints, mixing, near_dup, packing, quotes, rules, secret_scan, suffix_dedup, urls
 from fleetlog.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return near_dup.near_duplicates(documents, words=3, threshold=85).drop("text_hash", "kept_row")
 
 
+@query("op3_suffix_dedup", "documents")
+def repeated_strings(documents: DataFrame) -> DataFrame:
+    """All documents without the bytes covered by 400-byte strings that start anywhere else, too."""
+    return suffix_dedup.dedup(documents).drop("kept")
+
+
 def _due_sql(done: str, schedule) -> str:
     area = [0.0]
     for (t0, w0), (t1, w1) in zip(schedule, schedule[1:]):
