@@ -95,7 +95,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     for k in range(max_repeat):
         begin = F.col("first") + F.lit(k) * F.col("source_size")
         words = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - begin)).cast("bigint")
-        copies.append(F.struct(words.alias("words"), F.round(pick(F.col("place"), [due(begin / F.col("target"), s) for s in schedules]), 9).alias("position")))
+        copies.append(F.struct(words.alias("words"), F.round(pick(F.col("place"), [due(begin / F.nullif("target", F.lit(0.0)), s) for s in schedules]), 9).alias("position")))
     rows = rows.withColumn("copies", F.filter(F.array(*copies), lambda c: c["words"] > 0))
     return rows.select(
         "doc_id", "text_hash", "source", "size", "source_size", "target",
