@@ -9,8 +9,9 @@ probability. Survivors are verified on their whole shingle sets.
 A bucket of k classes never becomes k * k pairs. First every member is compared with the bucket's
 smallest one (k - 1 pairs), and the verified links give components. Then only members of *different*
 components of a bucket are compared: those outside its largest component against the rest, in blocks of a
-bounded size, and only pairs that outlive the posterior bound leave the block. A bucket full of
-copies is one component after the first step, so no verified link is lost and none is listed twice.
+bounded size. Pairs never leave a block: it reports the members that have a surviving pair; the block
+of those members gets their whole sets, verifies, and gives links only between what is not yet linked in the
+block. A pair that shares several bands is looked at in the first of them.
 """
 
 from __future__ import annotations
@@ -115,9 +116,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def buckets(classes: DataFrame, threshold: int) -> DataFrame:
-    """A row per class and band: bucket, node, n."""
+    """A row per class and band: bucket, band, node, n."""
     bands, rows = layout(threshold)
-    schema = pa.schema([("bucket", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("bucket", pa.int64()), ("band", pa.int32()), ("node", pa.int64()), ("n", pa.int64())])
 
     def band(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -128,9 +129,9 @@ def buckets(classes: DataFrame, threshold: int) -> DataFrame:
             with np.errstate(over="ignore"):
                 for r in range(rows):
                     h = mix(h + sig[:, :, r] * _A[r])
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), bands)), pa.array(np.repeat(batch.column(1).to_numpy(), bands))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)), pa.array(np.repeat(batch.column(0).to_numpy(), bands)), pa.array(np.repeat(batch.column(1).to_numpy(), bands))], schema=schema)
 
-    return classes.select("node", "n", "signature").mapInArrow(band, "bucket bigint, node bigint, n bigint")
+    return classes.select("node", "n", "signature").mapInArrow(band, "bucket bigint, band int, node bigint, n bigint")
 
 
 def _shipped(pairs: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
@@ -175,28 +176,28 @@ def by_signature(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFr
     return _pairs(_shipped(pairs, classes, "signature"), compare)
 
 
+def similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    place = np.searchsorted(a, b)
+    both = int((a[np.minimum(place, len(a) - 1)] == b).sum())
+    return 100 * both >= threshold * (len(a) + len(b) - both)
+
+
 def by_set(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     def compare(one: bytes, many: pa.Array) -> np.ndarray:
-        own, hits = np.frombuffer(one, dtype=np.uint64), []
-        for i, other in enumerate(many):
-            values = np.frombuffer(other.as_buffer(), dtype=np.uint64)
-            place = np.searchsorted(own, values)
-            both = int((own[np.minimum(place, len(own) - 1)] == values).sum())
-            if 100 * both >= threshold * (len(own) + len(values) - both):
-                hits.append(i)
-        return np.array(hits, dtype=np.int64)
+        own = np.frombuffer(one, dtype=np.uint64)
+        return np.array([i for i, other in enumerate(many) if similar(own, np.frombuffer(other.as_buffer(), dtype=np.uint64), threshold)], dtype=np.int64)
 
     return _pairs(_shipped(pairs, sets, "shingles"), compare)
 
 
-def across(members: DataFrame, classes: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of one bucket, but different components, that outlive the posterior bound.
+def across(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Blocks of bucket members of different components: bucket, x, y, band, probe, node, n, label, in_main.
 
     Members outside a bucket's largest component are probes. Bases (all members) and probes are dealt into
     blocks; every block of bases meets every block of probes of its bucket.
     """
-    least = bounds(threshold)
-    owned = members.where("size > 2").join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
+    owned = members.where("size > 2").join(labels, "node", "left").select("bucket", "band", "node", "n", F.coalesce("label", "node").alias("label"))
     counts = owned.groupBy("bucket", "label").agg(F.count("*").alias("k"))
     mixed = counts.groupBy("bucket").agg(F.sum("k").alias("size"), F.max(F.struct("k", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
     blocks = lambda c: F.ceil(c / BLOCK).cast("int")
@@ -204,24 +205,18 @@ def across(members: DataFrame, classes: DataFrame, labels: DataFrame, threshold:
     rows = owned.join(mixed, "bucket")
     base = rows.withColumn("x", F.pmod(F.xxhash64("node"), F.col("n_base")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("n_probe") - 1)))
     probe = rows.where("label <> main").withColumn("y", F.pmod(F.xxhash64("node"), F.col("n_probe")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("n_base") - 1)))
-    columns = ["bucket", "x", "y", "node", "n", "label"]
+    columns = ["bucket", "x", "y", "band", "node", "n", "label"]
     met = base.select(*columns, F.lit(False).alias("probe"), (F.col("label") == F.col("main")).alias("in_main"))
-    met = met.unionByName(probe.select(*columns, F.lit(True).alias("probe"), F.lit(False).alias("in_main")))
-    met = met.join(classes.select("node", "signature"), "node").select("bucket", "x", "y", "probe", "node", "n", "label", "in_main", "signature")
-    met = met.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    return met.unionByName(probe.select(*columns, F.lit(True).alias("probe"), F.lit(False).alias("in_main")))
 
-    def block(t: pa.Table) -> pa.RecordBatch:
-        probe, node, n, label, main = (t.column(c).to_numpy() for c in ("probe", "node", "n", "label", "in_main"))
-        sig = _matrix(t.column("signature"))
-        p, q, out = np.flatnonzero(probe), np.flatnonzero(~probe), []
-        for i in p.tolist():
-            fit = q[(label[q] != label[i]) & (main[q] | (node[q] > node[i])) & alike(n[q], n[i], threshold)]
-            if len(fit):
-                hit = fit[survive(np.broadcast_to(sig[i], (len(fit), sig.shape[1])), sig[fit], least)]
-                out.append(np.stack([np.minimum(node[i], node[hit]), np.maximum(node[i], node[hit])]))
-        both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], schema=schema)
+
+BLOCKS = "bucket bigint, x int, y int, band int, node bigint, n bigint, label bigint, probe boolean, in_main boolean"
+_NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
+
+
+def blocked(met: DataFrame, work, ddl: str) -> DataFrame:
+    """``work(table)`` for each block (bucket, x, y), whose rows arrive together."""
+    met = met.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -232,16 +227,74 @@ def across(members: DataFrame, classes: DataFrame, labels: DataFrame, threshold:
             edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for lo, hi in zip(edges, edges[1:]):
                 if lo == 0 and held and any(held[-1].column(c)[held[-1].num_rows - 1].as_py() != keys[0][c] for c in range(3)):
-                    yield block(pa.Table.from_batches(held))
+                    yield work(pa.Table.from_batches(held))
                     held = []
                 held.append(batch.slice(lo, hi - lo))
                 if hi < len(keys):
-                    yield block(pa.Table.from_batches(held))
+                    yield work(pa.Table.from_batches(held))
                     held = []
         if held:
-            yield block(pa.Table.from_batches(held))
+            yield work(pa.Table.from_batches(held))
 
-    return met.mapInArrow(run, "a bigint, b bigint").distinct()
+    return met.mapInArrow(run, ddl)
+
+
+def candidates(t: pa.Table, threshold: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Probes of a block and the bases with which they outlive the posterior bound, in the first band they share."""
+    bands, rows = layout(threshold)
+    probe, node, n, label, main = (t.column(c).to_numpy() for c in ("probe", "node", "n", "label", "in_main"))
+    sig, band, least = _matrix(t.column("signature")), int(t.column("band")[0].as_py()), bounds(threshold)
+    head = sig[:, : bands * rows].reshape(-1, bands, rows)
+    base = np.flatnonzero(~probe)
+    for i in np.flatnonzero(probe).tolist():
+        fit = base[(label[base] != label[i]) & (main[base] | (node[base] > node[i])) & alike(n[base], n[i], threshold)]
+        if len(fit):
+            fit = fit[survive(np.broadcast_to(sig[i], (len(fit), sig.shape[1])), sig[fit], least)]
+        if len(fit) and band:
+            fit = fit[~(head[fit, :band] == head[i, :band]).all(axis=2).any(axis=1)]
+        if len(fit):
+            yield i, fit
+
+
+def involved(met: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """The rows of all blocks that have a surviving pair."""
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        use = np.zeros(t.num_rows, dtype=bool)
+        for i, fit in candidates(t, threshold):
+            use[i] = use[fit] = True
+        return t.select(_NAMES).filter(pa.array(use)).combine_chunks().to_batches()[0] if use.any() else pa.RecordBatch.from_pylist([], schema=t.select(_NAMES).schema)
+
+    rows = met.join(classes.select("node", "signature"), "node").select(*_NAMES, "signature")
+    return blocked(rows, work, BLOCKS)
+
+
+def verified(met: DataFrame, classes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) inside the blocks, verified on whole sets; none between what the block has linked already."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        label, node, data = t.column("label").to_numpy(), t.column("node").to_numpy(), t.column("shingles")
+        up: dict[int, int] = {}
+
+        def top(v: int) -> int:
+            while v in up:
+                v = up[v]
+            return v
+
+        a, b = [], []
+        for i, fit in candidates(t, threshold):
+            own = np.frombuffer(data[i].as_buffer(), dtype=np.uint64)
+            for j in fit.tolist():
+                one, other = top(int(label[i])), top(int(label[j]))
+                if one != other and similar(own, np.frombuffer(data[j].as_buffer(), dtype=np.uint64), threshold):
+                    up[max(one, other)] = min(one, other)
+                    a.append(int(node[i]))
+                    b.append(int(node[j]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+
+    rows = met.join(classes.select("node", "signature"), "node").join(sets, "node").select(*_NAMES, "signature", "shingles")
+    return blocked(rows, work, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -284,20 +337,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     reps = stage(some.select(F.col("row").alias("node"), "doc_id", "text_hash", "signature").join(classes.select("node", F.col("n_shingles").alias("n")), "node"))
     banded = buckets(reps, threshold)
     full = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("low")).where("size > 1")
-    members = stage(banded.join(full, "bucket").select("bucket", "node", "n", "size", F.col("low.node").alias("pivot"), F.col("low.n").alias("pivot_n")))
+    members = stage(banded.join(full, "bucket").select("bucket", "band", "node", "n", "size", F.col("low.node").alias("pivot"), F.col("low.n").alias("pivot_n")))
     stars = members.where(F.col("node") != F.col("pivot")).where(alike(F.col("n"), F.col("pivot_n"), threshold)).groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.max("size").alias("size"))
-    found = stage(by_signature(stars, reps, threshold))
     # whole sets only of classes that share a bucket with another one
     active = reps.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash")
+    found = stage(by_signature(stars, reps, threshold))
     repeated = signed.count() > signed.select("doc_id", "text_hash").distinct().count()
     sets = stage(shingle_texts(docs, active, words, id_col, text_col, repeated))
     sized = found.groupBy("a").agg(F.count("*").alias("size"))
     first = stage(by_set(found.join(sized, "a"), sets, threshold))
     labels = components(first) if not first.isEmpty() else _empty(spark, "node bigint, label bigint")
-    rest = stage(across(members, reps, labels, threshold))
+    rest = stage(involved(across(members, labels), reps, threshold))
     if not rest.isEmpty():
-        sized = rest.groupBy("a").agg(F.count("*").alias("size"))
-        second = stage(by_set(rest.join(sized, "a"), sets, threshold))
+        second = stage(verified(rest, reps, sets, threshold))
         if not second.isEmpty():
             labels = components(first.unionByName(second))
     grouped = stage(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
