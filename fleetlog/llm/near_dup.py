@@ -339,8 +339,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     full = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("low")).where("size > 1")
     members = stage(banded.join(full, "bucket").select("bucket", "band", "node", "n", "size", F.col("low.node").alias("pivot"), F.col("low.n").alias("pivot_n")))
     stars = members.where(F.col("node") != F.col("pivot")).where(alike(F.col("n"), F.col("pivot_n"), threshold)).groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.max("size").alias("size"))
-    # whole sets only of classes that share a bucket with another one
-    active = reps.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash")
+    # from here on only classes that share a bucket with another one
+    reps = stage(reps.join(members.select("node").distinct(), "node", "left_semi"))
+    active = reps.select("node", "doc_id", "text_hash")
     found = stage(by_signature(stars, reps, threshold))
     repeated = signed.count() > signed.select("doc_id", "text_hash").distinct().count()
     sets = stage(shingle_texts(docs, active, words, id_col, text_col, repeated))
