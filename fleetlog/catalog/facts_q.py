@@ -183,9 +183,9 @@ def kpi_cards(t):
     "dns_facts",
     f"""WITH {EV}, q AS (SELECT *, k * 30 AS ms FROM ev WHERE ty='click'), p AS (SELECT *, k * 40 AS a FROM ev WHERE ty='view'),
     x AS (SELECT dump_id, CAST(count(*) AS BIGINT) AS dns_queries, CAST(count(*) FILTER (WHERE ms >= 1000) AS BIGINT) AS slow_dns_queries, CAST(max(ms) AS BIGINT) AS max_dns_latency_ms, CAST(count(DISTINCT user_id % 9) FILTER (WHERE ms >= 1000) AS BIGINT) AS slow_dns_apps FROM q GROUP BY dump_id),
-    y AS (SELECT dump_id, CAST(max(a) AS BIGINT) AS max_dns_avg_ms, CAST(count(*) FILTER (WHERE a >= 1000) AS BIGINT) AS dns_spikes FROM p GROUP BY dump_id),
+    y AS (SELECT dump_id, CAST(max(a) AS BIGINT) AS max_dns_avg_ms, CAST(count(*) FILTER (WHERE a > 2000) AS BIGINT) AS dns_spikes FROM p GROUP BY dump_id),
     z AS (SELECT dump_id, CAST(sum(line_no) AS BIGINT) AS top_slow_lines FROM (SELECT *, row_number() OVER (PARTITION BY dump_id ORDER BY ms DESC, line_no) AS rn FROM q WHERE ms >= 1000) WHERE rn <= 20 GROUP BY dump_id),
-    v AS (SELECT dump_id, CAST(sum(line_no) AS BIGINT) AS top_spike_lines FROM (SELECT *, row_number() OVER (PARTITION BY dump_id ORDER BY a DESC, line_no) AS rn FROM p WHERE a >= 1000) WHERE rn <= 10 GROUP BY dump_id),
+    v AS (SELECT dump_id, CAST(sum(line_no) AS BIGINT) AS top_spike_lines FROM (SELECT *, row_number() OVER (PARTITION BY dump_id ORDER BY a DESC, line_no) AS rn FROM p WHERE a > 2000) WHERE rn <= 10 GROUP BY dump_id),
     i AS (SELECT dump_id, CAST(count(*) AS BIGINT) AS dns_issues, CAST(count(DISTINCT user_id % 9) AS BIGINT) AS blocked_packages FROM ev WHERE ty='error' GROUP BY dump_id)
     SELECT * FROM x JOIN y USING (dump_id) JOIN z USING (dump_id) JOIN v USING (dump_id) JOIN i USING (dump_id)""",
 )
@@ -414,12 +414,11 @@ def satellite_kind(t):
 @query(
     "registration_flow",
     f"""WITH {EV}, s AS (SELECT dump_id, line_no, 'S' || CAST(k % 3 AS VARCHAR) AS st FROM ev WHERE ty='signup' AND k < 20),
-    c AS (SELECT * FROM (SELECT *, lag(st) OVER (PARTITION BY dump_id ORDER BY line_no) AS p FROM s) WHERE p IS NULL OR p <> st),
-    r AS (SELECT *, row_number() OVER (PARTITION BY dump_id ORDER BY line_no) AS a, row_number() OVER (PARTITION BY dump_id ORDER BY line_no DESC) AS b FROM c)
-    SELECT dump_id, string_agg(st, ' -> ' ORDER BY line_no) AS registration_flow FROM r WHERE a <= 150 OR b <= 150 GROUP BY dump_id""",
+    c AS (SELECT * FROM (SELECT *, lag(st) OVER (PARTITION BY dump_id ORDER BY line_no) AS p FROM s) WHERE p IS NULL OR p <> st)
+    SELECT dump_id, string_agg(st, ' -> ' ORDER BY line_no) AS registration_flow FROM c GROUP BY dump_id""",
 )
 def registration_flow(t):
-    """Distinct consecutive states as one flow (first and last 150 steps)."""
+    """Distinct consecutive states as one flow."""
     s = t.ev().where("ty = 'signup' and k < 20").select("dump_id", "line_no", F.concat(F.lit("S"), (F.col("k") % 3).cast("string")).alias("state"))
     return kpi.satellite_state(s.select("dump_id").distinct(), s).select("dump_id", "registration_flow")
 

@@ -22,7 +22,7 @@ TIMELINE_SQL = f"""WITH {EV}, raw AS (
         WHEN event_type IN ('VALIDATION_PASS','NETWORK_STATE','DEFAULT_NETWORK_CHANGE','POWER_IDLE_HINT','DNS_QUERY') THEN 'info' ELSE 'warning' END AS severity FROM raw WHERE event_type IS NOT NULL),
     w AS (SELECT dump_id, trigger, min(ts_ms) AS center_ms FROM (SELECT dump_id, event_type AS trigger, ts_ms, ts_ms // 1000 AS sec FROM tl
         WHERE event_type IN ('DATA_STALL_DETECTED','DATA_STALL_RECOVERY','VALIDATION_FAIL','DNS_ISSUE','DNS_SLOW_RESPONSE','PRIVATE_DNS_FAIL','TCP_TLS_TIMEOUT')) GROUP BY dump_id, trigger, sec),
-    l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dump_id ORDER BY center_ms DESC, trigger) AS rn FROM w) WHERE rn <= 200),
+    l AS (SELECT * FROM w),
     win AS (SELECT l.dump_id, l.trigger, l.center_ms, CAST(count(*) AS BIGINT) AS n_events,
       CAST(sum(CASE severity WHEN 'warning' THEN 3 WHEN 'critical' THEN 5 ELSE 1 END + CASE WHEN latency_ms >= 10000 THEN 10 WHEN latency_ms >= 5000 THEN 5 WHEN latency_ms >= 1000 THEN 2 ELSE 0 END) AS BIGINT) AS score,
       CAST(count(*) FILTER (WHERE layer='DNS') AS BIGINT) AS n_dns, CAST(count(*) FILTER (WHERE layer='DATA_STALL') AS BIGINT) AS n_data_stall, CAST(count(*) FILTER (WHERE layer='RF') AS BIGINT) AS n_rf,

@@ -122,10 +122,10 @@ def score() -> Column:
     return base + bonus
 
 
-def stall_windows(events: DataFrame, window_ms: int = WINDOW_MS, dedupe_ms: int = 1000, keep: int | None = 200) -> DataFrame:
+def stall_windows(events: DataFrame, window_ms: int = WINDOW_MS, dedupe_ms: int = 1000, keep: int | None = None) -> DataFrame:
     """Windows of +-10 s around trigger events with layer counts and a score over *all* events inside.
 
-    One window per trigger type and second (the first), the last 200 per dump. Every number is a
+    One window per trigger type and second (the first); ``keep`` leaves the last ones of a dump only. Every number is a
     difference of prefix sums, so events are never paired with the windows they fall into.
     """
     trig = events.where(F.col("event_type").isin(C.STALL_TRIGGERS) & F.col("ts_ms").isNotNull())

@@ -54,7 +54,7 @@ def heat(thermal: DataFrame, wakelocks: DataFrame, cpu: DataFrame | None = None)
     return out
 
 
-def dns_latency(queries: DataFrame, perf: DataFrame, issues: DataFrame, spike_ms: int = 1000) -> DataFrame:
+def dns_latency(queries: DataFrame, perf: DataFrame, issues: DataFrame, spike_ms: int = 2000) -> DataFrame:
     """Resolver latency maxima, slow calls, spikes of the network statistics, blocked apps."""
     slow = F.col("latency_ms") >= 1000
     q = queries.groupBy("dump_id").agg(
@@ -63,15 +63,15 @@ def dns_latency(queries: DataFrame, perf: DataFrame, issues: DataFrame, spike_ms
     )
     p = perf.groupBy("dump_id").agg(
         F.max("dns_avg").alias("max_dns_avg_ms"), F.max("dns_max").alias("max_dns_max_ms"), F.max("dns_delayed_cnt").alias("max_dns_delayed"),
-        F.max("dns_blocked_cnt").alias("max_dns_blocked"), F.count_if(F.col("dns_avg") >= spike_ms).alias("dns_spikes"),
+        F.max("dns_blocked_cnt").alias("max_dns_blocked"), F.count_if(F.col("dns_avg") > spike_ms).alias("dns_spikes"),
     )
     i = issues.groupBy("dump_id").agg(F.count("*").alias("dns_issues"), F.count_distinct("package").alias("blocked_packages"))
     return q.join(p, "dump_id", "full").join(i, "dump_id", "full")
 
 
-def dns_spikes(perf: DataFrame, above_ms: int = 1000, k: int = 10) -> DataFrame:
+def dns_spikes(perf: DataFrame, above_ms: int = 2000, k: int = 10) -> DataFrame:
     """Worst rows of the network statistics."""
-    hot = perf.where(F.col("dns_avg") >= above_ms)
+    hot = perf.where(F.col("dns_avg") > above_ms)
     return top_n(hot, ["dump_id"], [F.col("dns_avg").desc(), F.col("line_no"), F.col("block_no")], k, "rank")
 
 
@@ -106,11 +106,7 @@ def crash_counts(crashes: DataFrame, native: DataFrame, anrs: DataFrame, binder:
 def satellite_state(metrics: DataFrame, registration: DataFrame) -> DataFrame:
     """Satellite counters with the order in which registration states were reached."""
     steps = change_points(registration, ["dump_id"], ["line_no"], ["state"])
-    # states alternate between a handful of names; the flow shows the first and last 150 steps
-    head = top_n(steps, ["dump_id"], [F.col("line_no")], 150)
-    tail = top_n(steps, ["dump_id"], [F.col("line_no").desc()], 150)
-    shown = head.unionByName(tail).distinct()
-    flow = _list(shown, ["line_no"], F.col("state"), "states").select("dump_id", F.array_join("states", " -> ").alias("registration_flow"))
+    flow = _list(steps, ["line_no"], F.col("state"), "states").select("dump_id", F.array_join("states", " -> ").alias("registration_flow"))
     return metrics.join(flow, "dump_id", "left")
 
 

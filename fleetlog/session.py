@@ -53,6 +53,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     root = root or context.getCheckpointDir()
     if root is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="fleetlog-")
         context.setCheckpointDir(root)
     return root

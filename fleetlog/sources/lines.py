@@ -33,7 +33,6 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], year: int = DEFA
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     scan = spark.read.text(paths).select(
-        F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.[^.]*$", "").alias("dump_id"),
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("value"),
@@ -42,10 +41,18 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], year: int = DEFA
     splits = scan.groupBy("path", "block").agg(F.min("rid").alias("rid0"), F.count("*").alias("n"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = stage(splits.select("path", "block", "rid0", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")))
-    if starts.count() <= MAX_BROADCAST_SPLITS:
+    small = starts.count() <= MAX_BROADCAST_SPLITS
+    # a base name alone does not tell two devices apart: it is the id only where it is unique in the scan
+    files = starts.select("path").distinct().withColumn("stem", F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", ""))
+    shared = files.groupBy("stem").agg(F.count("*").alias("files"))
+    named = files.join(shared, "stem").select("path", F.when(F.col("files") == 1, F.col("stem")).otherwise(F.regexp_replace("path", r"\.[^./]*$", "")).alias("dump_id"))
+    starts = starts.join(named, "path")
+    if small:
         starts = F.broadcast(starts)
-    return scan.join(starts, ["path", "block"]).select(
-        "dump_id",
+    # a split that was not counted must not vanish: both passes have to cut the files alike
+    lost = F.raise_error(F.lit("the files were split differently while they were counted; set spark.sql.files.minPartitionNum"))
+    return scan.join(starts, ["path", "block"], "left").select(
+        F.when(F.col("first").isNull(), lost.cast("string")).otherwise(F.col("dump_id")).alias("dump_id"),
         (F.col("first") + F.col("rid") - F.col("rid0")).cast("bigint").alias("line_no"),
         F.lit(year).alias("year"),
         _readable(F.col("value")).alias("raw"),

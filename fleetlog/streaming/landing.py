@@ -23,8 +23,8 @@ def follow_landing(spark: SparkSession, landing: str, root: str, checkpoint: str
     )
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        # file names only, at most files_per_batch of them
-        paths = [r.path for r in batch.distinct().limit(files_per_batch).collect()]
+        # file names only; a replayed batch may hold more than files_per_batch of them
+        paths = [r.path for r in batch.distinct().collect()]
         if not paths:
             return
         tables = analyse(read_lines(spark, paths, year))
