@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fleetlog.llm.common import text_of
+from fleetlog.llm.common import look_up, text_of
 from fleetlog.llm.shingles import _table, mix
 from fleetlog.session import stage
 
@@ -221,8 +221,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     else:
         units = texts.withColumn("copies", F.lit(1).cast("bigint"))
     all_runs = stage(first_runs(units, length))
-    twice = all_runs.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    rows = all_runs.join(twice, "core", "left_semi").withColumn("gram", F.col("core")).withColumn("top", F.col("far")).withColumn("asks", F.lit(True))  # a long text's parts may share an anchor: top tells them apart
+    twice = stage(all_runs.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"))
+    rows = look_up(all_runs, twice, ["core"], "n").drop("n").withColumn("gram", F.col("core")).withColumn("top", F.col("far")).withColumn("asks", F.lit(True))  # a long text's parts may share an anchor: top tells them apart
     done, left = settle(rows)
     settled, kept = [done], None
     for step in STEPS:
