@@ -13,8 +13,10 @@ from fleetlog.operators import carry, numbered
 from fleetlog.session import SPAN_MILLIS, span, stage
 
 DEFAULT_YEAR = 2024
-#: one row per file split (about 200 bytes); two million splits are 256 TB of text
-MAX_BROADCAST_SPLITS = 2_000_000
+#: the split table is broadcast up to this size; at 128 MB a split and 150 bytes a path, that of some 150 TB of text
+MAX_BROADCAST_BYTES = 512 << 20
+#: bytes of a broadcast row beside its strings
+ROW_BYTES = 100
 
 
 def _readable(value: Column) -> Column:
@@ -30,30 +32,38 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], year: int = DEFA
     in a split is a subtraction, not a window: only one row per split is counted, prefix-summed and
     joined back. The counting pass runs once (its result is staged). The split table grows with the
     number of splits, so it is broadcast only while it is small; then the text is never shuffled.
+
+    Both passes have to cut the files alike. What the cut depends on is pinned for the session (where
+    nobody did so before); a pass with other splits, or with splits in other tasks, fails. Equal tasks
+    for all splits mean equal places in the tasks, since files are dealt out in one fixed order.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:  # else it follows the cores of the moment
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    split = ["path", "block", "length", "task"]
     scan = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_block_length").alias("length"),
+        F.spark_partition_id().alias("task"),
         F.col("value"),
         F.monotonically_increasing_id().alias("rid"),
     )
-    splits = scan.groupBy("path", "block").agg(F.min("rid").alias("rid0"), F.count("*").alias("n"))
+    splits = scan.groupBy(split).agg(F.min("rid").alias("rid0"), F.count("*").alias("n"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = stage(splits.select("path", "block", "rid0", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")))
-    small = starts.count() <= MAX_BROADCAST_SPLITS
+    starts = stage(splits.select(*split, "rid0", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")))
     # a base name alone does not tell two devices apart: it is the id only where it is unique in the scan
     files = starts.select("path").distinct().withColumn("stem", F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", ""))
     shared = files.groupBy("stem").agg(F.count("*").alias("files"))
     named = files.join(shared, "stem").select("path", F.when(F.col("files") == 1, F.col("stem")).otherwise(F.regexp_replace("path", r"\.[^./]*$", "")).alias("dump_id"))
-    starts = starts.join(named, "path")
-    if small:
+    starts = stage(starts.join(named, "path"))
+    size = starts.agg(F.sum(F.octet_length("path") + F.octet_length("dump_id") + F.lit(ROW_BYTES))).first()[0] or 0
+    if size <= MAX_BROADCAST_BYTES:
         starts = F.broadcast(starts)
-    # a split that was not counted must not vanish: both passes have to cut the files alike
     lost = F.raise_error(F.lit("the files were split differently while they were counted; set spark.sql.files.minPartitionNum"))
-    return scan.join(starts, ["path", "block"], "left").select(
-        F.when(F.col("first").isNull(), lost.cast("string")).otherwise(F.col("dump_id")).alias("dump_id"),
-        (F.col("first") + F.col("rid") - F.col("rid0")).cast("bigint").alias("line_no"),
+    return scan.join(starts, split, "left").select(
+        F.coalesce(F.col("dump_id"), lost.cast("string")).alias("dump_id"),
+        (F.coalesce(F.col("first"), lost.cast("bigint")) + F.col("rid") - F.col("rid0")).alias("line_no"),
         F.lit(year).alias("year"),
         _readable(F.col("value")).alias("raw"),
     )

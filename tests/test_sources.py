@@ -33,6 +33,28 @@ def test_line_numbers_do_not_depend_on_splits(spark, log_file, size):
     assert rows[0].dump_id == "dumpState_1"
 
 
+def test_line_numbers_survive_other_parallelism(spark, tmp_path):
+    """Two dumps of one base name; the parallelism changes between the counting pass and the reading pass."""
+    for k, folder in enumerate(("a", "b")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "dumpstate.log").write_text("".join(f"{folder} {i}\n" for i in range(40_000 + k)))
+    keys = ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set(keys[1], "0")
+        spark.conf.set(keys[0], "4")
+        lines = S.read_lines(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+        spark.conf.set(keys[0], "9")
+        got = lines.groupBy("dump_id").agg(F.count("*").alias("n"), F.min("line_no").alias("lo"), F.max("line_no").alias("hi"), F.count_distinct("line_no").alias("d"), F.count_if(~F.col("raw").endswith(F.concat(F.lit(" "), F.col("line_no").cast("string")))).alias("wrong")).collect()
+        spark.conf.set("spark.sql.files.minPartitionNum", "2")  # somebody cuts otherwise after all
+        with pytest.raises(Exception, match="split differently"):
+            lines.agg(F.sum("line_no")).collect()
+    finally:
+        for key in (*keys, "spark.sql.files.minPartitionNum"):
+            spark.conf.unset(key)
+    assert sorted((r.n, r.lo, r.hi, r.d, r.wrong) for r in got) == [(40_000, 0, 39_999, 40_000, 0), (40_001, 0, 40_000, 40_001, 0)]
+    assert len({r.dump_id for r in got}) == 2 and all(r.dump_id.endswith("/dumpstate") for r in got)
+
+
 @pytest.fixture(scope="module")
 def archive(tmp_path_factory):
     root = tmp_path_factory.mktemp("zips")
