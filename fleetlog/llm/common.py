@@ -23,8 +23,8 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("bigint")
 
 
-def look_up(rows: DataFrame, facts: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
-    """Inner join of rows with one fact per key, where a key may hold a third of all rows.
+def look_up(rows: DataFrame, facts: DataFrame, keys: Sequence[str], weight: str, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of rows with one fact per key, where a key may hold a third of all rows.
 
     ``weight`` of a fact says how many rows have its key. Facts of hot keys (fewer than ``HOT``, by
     counting) go to all executors; the other rows are shuffled. ``facts`` should be staged.
@@ -32,7 +32,7 @@ def look_up(rows: DataFrame, facts: DataFrame, keys: Sequence[str], weight: str)
     total = facts.agg(F.sum(weight)).first()[0] or 0
     heavy = F.col(weight) > F.lit(total / HOT)
     hot, cold, keys = F.broadcast(facts.where(heavy)), facts.where(~heavy), list(keys)
-    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(facts.where(heavy).select(*keys)), keys, "left_anti").join(cold, keys))
+    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(facts.where(heavy).select(*keys)), keys, "left_anti").join(cold, keys, how))
 
 
 __all__ = ["HOT", "WORD", "look_up", "n_words", "once", "text_of"]

@@ -196,13 +196,15 @@ def cut_runs(rows: DataFrame, step: int, length: int) -> DataFrame:
 def settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ranges whose span is repeated, and what has to be cut further: askers and one copy of each settled content."""
     place = F.struct("id", "hash", "pos", "top")
-    spans = rows.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(place).alias("one"), F.max("asks").alias("any")).withColumnRenamed("span", "s")
-    known = rows.join(spans.withColumnRenamed("gram", "g"), (F.col("gram") == F.col("g")) & (F.col("span") == F.col("s")))
-    known = stage(known.select("id", "hash", "pos", "top", "gram", "near", "far", "core", "asks", (F.col("n") > 1).alias("twice"), (place == F.col("one")).alias("first")))
+    rows = stage(rows)
+    # spans without a copy have no fact; a passage in very many texts is one key
+    spans = stage(rows.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(place).alias("one")).where("n > 1"))
+    known = look_up(rows, spans, ["gram", "span"], "n", "left")
+    known = stage(known.select("id", "hash", "pos", "top", "gram", "near", "far", "core", "asks", F.col("n").isNotNull().alias("twice"), F.coalesce(place == F.col("one"), F.lit(False)).alias("first")))
     done = known.where("asks and twice").select("id", "hash", "pos", "near", "far")
     left = known.where("not twice or first").withColumn("asks", F.col("asks") & ~F.col("twice"))
-    cores = left.groupBy("gram", "core").agg(F.count("*").alias("n"), F.max("asks").alias("any")).where("n > 1 and any").select("gram", "core")
-    return done, left.join(cores, ["gram", "core"], "left_semi").select("id", "hash", "pos", "top", "gram", "near", "far", "asks")
+    cores = stage(left.groupBy("gram", "core").agg(F.count("*").alias("n"), F.max("asks").alias("any")).where("n > 1 and any").select("gram", "core", "n"))
+    return done, look_up(left, cores, ["gram", "core"], "n").select("id", "hash", "pos", "top", "gram", "near", "far", "asks")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
