@@ -14,24 +14,36 @@ from fleetlog.operators import top_n
 DIM = 256
 #: rows per block on either side of a vector comparison
 DOC_BLOCK, QUESTION_BLOCK = 20_000, 500
+#: characters encoded at once, unless one text is longer
+TEXT_CHARS = 1 << 20
 
 
-def _hash_vector(text: str) -> list[float]:
-    """L2-normalised counts of hashed 3-byte pieces of the whole text."""
-    data = np.frombuffer(text.lower().encode("utf-8"), dtype=np.uint8).astype(np.uint64)
-    if len(data) < 3:
-        data = np.pad(data, (0, 3 - len(data)))
-    code = (data[:-2] * 65599 + data[1:-1]) * 65599 + data[2:]
+def _hash_vectors(texts: list[str]) -> np.ndarray:
+    """L2-normalised counts of hashed 3-byte pieces of whole texts, one row a text."""
+    data = [t.lower().encode("utf-8").ljust(3, b"\0") for t in texts]
+    sizes = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
+    buf = np.frombuffer(b"".join(data), dtype=np.uint8).astype(np.uint64)
+    code = (buf[:-2] * 65599 + buf[1:-1]) * 65599 + buf[2:]
     code ^= code >> np.uint64(15)
-    v = np.bincount((code % DIM).astype(np.int64), minlength=DIM).astype(np.float64)
-    norm = np.linalg.norm(v)
-    return (v / norm if norm else v).astype(np.float32).tolist()
+    owner = np.repeat(np.arange(len(data)), sizes)
+    own = owner[:-2] == owner[2:]  # not across two texts
+    counts = np.bincount(owner[:-2][own] * DIM + (code[own] % DIM).astype(np.int64), minlength=len(data) * DIM).reshape(-1, DIM).astype(np.float64)
+    return (counts / np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-300)).astype(np.float32)
 
 
 @F.pandas_udf(ArrayType(FloatType()))
 def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        yield texts.fillna("").map(_hash_vector)
+        out, part, size = [], [], 0
+        for text in texts.fillna(""):
+            part.append(text)
+            size += len(text)
+            if size > TEXT_CHARS:
+                out.extend(_hash_vectors(part))
+                part, size = [], 0
+        if part:
+            out.extend(_hash_vectors(part))
+        yield pd.Series(out, index=texts.index, dtype=object)
 
 
 def encode(text: Column | str) -> Column:
@@ -70,26 +82,49 @@ def question_chunks(questions: DataFrame) -> DataFrame:
 
 def nearest(
     questions: DataFrame, docs: DataFrame, k: int, *, metric: str = "l2", filtered: bool = False, doc_block: int = DOC_BLOCK, question_block: int = QUESTION_BLOCK,
-    max_fetch: int = 1024,
 ) -> DataFrame:
     """Exact ``k`` nearest documents of every question: ``(question_id, doc_id, distance, rank)``.
 
     Both sides are cut into bounded blocks by a hash of their id; a task compares one block with one
     block and emits at most ``k`` rows per question, so neither all pairs nor a whole side ever meet
-    in one place. Block counts follow from the row counts.
+    in one place. Block counts follow from the row counts. Both inputs should be staged.
 
     With ``filtered``, questions carry ``search_types array<string>``, ``dump_id`` and
     ``min_dns_avg`` (NULL = no test) and docs carry ``log_type``, ``dump_id`` and ``dns_avg``; ``k``
-    may then be overridden per question by ``fetch_k`` (up to ``max_fetch``).
+    may then be overridden per question by ``fetch_k``. A question about one dump meets that dump's
+    documents only: both sides are joined by dump, and documents of dumps nobody asks about stay out.
     """
-    n_doc = max(1, -(-docs.count() // doc_block))
-    n_q = max(1, -(-questions.count() // question_block))
     extra_q = ["search_types", "dump_id", "min_dns_avg", "fetch_k"] if filtered else []
     extra_d = ["log_type", "dump_id", "dns_avg"] if filtered else []
-    q = questions.select("question_id", F.col("embedding").alias("v"), *extra_q).withColumn("qb", F.pmod(F.xxhash64("question_id"), F.lit(n_q)))
-    d = docs.select("doc_id", F.col("embedding").alias("v"), *extra_d).withColumn("db", F.pmod(F.xxhash64("doc_id"), F.lit(n_doc)))
-    q = q.withColumn("db", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_doc - 1).cast("bigint"))))
-    d = d.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint"))))
+    q = questions.select("question_id", F.col("embedding").alias("v"), *extra_q).withColumn("scope", F.concat(F.lit("dump "), "dump_id") if filtered else F.lit(None).cast("string"))
+    d = docs.select("doc_id", F.col("embedding").alias("v"), *extra_d)
+
+    def blocks(n: Column, size: int) -> Column:
+        return F.ceil(n / size).cast("bigint").alias("n")
+
+    def dealt(left: DataFrame, right: DataFrame, n_q: Column, n_doc: Column) -> tuple[DataFrame, DataFrame]:
+        """Every block of questions once for every block of documents of its scope, and the other way round."""
+        left = left.withColumn("qb", F.pmod(F.xxhash64("question_id"), n_q)).withColumn("db", F.explode(F.sequence(F.lit(0).cast("bigint"), n_doc - 1)))
+        right = right.withColumn("db", F.pmod(F.xxhash64("doc_id"), n_doc)).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), n_q - 1)))
+        return left, right
+
+    most = questions.agg(F.max("fetch_k")).first()[0] or k if filtered else k
+    sides = []
+    n_free = q.where("scope is null").count()
+    if n_free:
+        n_q, n_doc = -(-n_free // question_block), max(1, -(-docs.count() // doc_block))
+        sides.append(dealt(q.where("scope is null").withColumn("scope", F.lit("all")), d.withColumn("scope", F.lit("all")), F.lit(n_q).cast("bigint"), F.lit(n_doc).cast("bigint")))
+    if filtered:
+        asked = q.where("scope is not null").groupBy("scope").agg(blocks(F.count("*"), question_block).alias("n_q"))
+        there = d.groupBy(F.concat(F.lit("dump "), "dump_id").alias("scope")).agg(blocks(F.count("*"), doc_block).alias("n_doc"))
+        plan = asked.join(there, "scope")
+        left, right = dealt(q.where("scope is not null").join(plan, "scope"), d.withColumn("scope", F.concat(F.lit("dump "), "dump_id")).join(plan, "scope"), F.col("n_q"), F.col("n_doc"))
+        sides.append((left.drop("n_q", "n_doc"), right.drop("n_q", "n_doc")))
+    if not sides:
+        sides.append(dealt(q, d.withColumn("scope", F.lit("all")), F.lit(1).cast("bigint"), F.lit(1).cast("bigint")))
+    q, d = sides[0]
+    for left, right in sides[1:]:
+        q, d = q.unionByName(left), d.unionByName(right)
     qid, did = questions.schema["question_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -134,8 +169,8 @@ def nearest(
             return pd.DataFrame({n: [] for n in names})
         return pd.DataFrame({n: np.concatenate(cols) for n, cols in zip(names, zip(*found))})
 
-    near = q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(
+    near = q.groupBy("scope", "qb", "db").cogroup(d.groupBy("scope", "qb", "db")).applyInPandas(
         compare, f"question_id {qid}, doc_id {did}, distance double, want int"
     )
-    ranked = top_n(near, ["question_id"], [F.col("distance"), F.col("doc_id")], max(k, max_fetch) if filtered else k, "rank")
+    ranked = top_n(near, ["question_id"], [F.col("distance"), F.col("doc_id")], max(k, most), "rank")
     return ranked.where("rank <= want").drop("want")
