@@ -249,7 +249,7 @@ def error_pivot(t):
 )
 def distributions(t):
     """Rows per type and file, with distinct sources."""
-    return t.ev().groupBy("dump_id", F.col("ty").alias("log_type")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+    return rollups.distribution(t.ev().withColumnRenamed("ty", "log_type"), ["dump_id", "log_type"], distinct={"users": "user_id"})
 
 
 @query(

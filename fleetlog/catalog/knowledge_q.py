@@ -109,7 +109,7 @@ CENT = """ce AS (SELECT label, list(x ORDER BY pos) AS c FROM (SELECT label, pos
 )
 def route_semantic(t):
     """R2: best intents by the highest cosine over a question's chunks."""
-    rows = _centroids(t).orderBy("label").limit(1000).collect()
+    rows = _centroids(t).orderBy("label").collect()  # one row a label
     chunks = t.embeddings.select(F.floor(F.col("vec_id") / 4).alias("question_id"), "embedding")
     scores = encode.intent_scores(chunks, [f"L{r.label}" for r in rows], [r.embedding for r in rows])
     return route.semantic_route(scores).select("question_id", F.array_join("intents", "|").alias("intents"), F.round("top1", 5).alias("top1"), F.round("top2", 5).alias("top2"))
@@ -285,11 +285,11 @@ def doc_caps(t):
 
 @query(
     "ingest_delta",
-    """WITH d AS (SELECT source, CAST(doc_id AS VARCHAR) AS id, left(text, 1200) AS x FROM documents), f AS (SELECT * FROM d WHERE id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 1))
+    """WITH d AS (SELECT source, CAST(doc_id AS VARCHAR) AS id, text AS x FROM documents), f AS (SELECT * FROM d WHERE id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 1))
     SELECT d.source AS dump_id, CAST(count(f.id) AS BIGINT) AS added, CAST(2 * count(*) - count(f.id) AS BIGINT) AS skipped, CAST(coalesce(sum(length(f.x)), 0) AS BIGINT) AS chars FROM d LEFT JOIN f USING (id) GROUP BY d.source""",
 )
 def ingest_delta(t):
-    """Rows to append, skipped and clipped; every id is offered twice."""
+    """Rows to append and skipped; every id is offered twice."""
     incoming = t.documents.select(F.col("source").alias("dump_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("document"))
     existing = t.labels.where("quality = 1").select(F.col("doc_id").cast("string").alias("doc_id"))
     fresh, stats = append_new_docs(existing, incoming.unionByName(incoming))
@@ -325,6 +325,17 @@ def knowledge_rows(t):
     return got.join(ids, "case_id").select("dump_id", F.md5("solution").alias("solution"), "severity", "model_name")
 
 
+@query(
+    "case_facets",
+    """SELECT CAST(c.conv_id AS VARCHAR) AS dump_id, c.turn, d.lang AS model_name FROM conversations c JOIN documents d ON d.doc_id = c.conv_id WHERE c.turn % 2 = 0 AND d.lang IN ('en', 'fr') AND d.source IS NOT NULL""",
+)
+def case_facets(t):
+    """Cases chosen by severity and device facets; a facet without values lets all pass."""
+    builds = t.documents.select(F.col("doc_id").alias("conv_id"), F.col("lang").alias("model_name"), F.col("source").alias("hardware")).where("hardware is not null")
+    cases = t.conversations.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, "Critical").otherwise("Normal").alias("severity")).join(builds, "conv_id")
+    return D.facets(cases, severity=["Critical"], model_name=["en", "fr"], hardware=None).select(F.col("conv_id").cast("string").alias("dump_id"), "turn", "model_name")
+
+
 def _eval_rows(t):
     q, x, d = F.col("quality"), F.col("toxic"), F.col("doc_id")
     return t.labels.select(

@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from fleetlog import operators as ops
 from fleetlog.catalog.base import EV, by_type, fmt, query, render
+from fleetlog.docs import metadata
 from fleetlog.extract import buckets as B
 from fleetlog.extract import device
-from fleetlog.functions import any_of, any_of_lower, clean, grab, log_millis, log_time
+from fleetlog.functions import any_of, any_of_lower, clean, grab, log_millis, log_time, to_int
 from fleetlog.sources import lines_from_texts, merge_lines, slice_lines
 
 DOC_LINES = r"""
@@ -205,8 +206,6 @@ def time_shapes(t):
 def typed_casts(t):
     """Casts with a default, and dropping empty fields."""
     ev = t.ev().withColumn("txt", F.when(F.col("ty") == "error", "n/a").when(F.col("ty") == "signup", F.concat(F.lit(","), F.col("k").cast("string"))).otherwise(F.col("k").cast("string")))
-    number = F.coalesce(F.replace("txt", F.lit(","), F.lit("")).try_cast("bigint"), F.lit(-1))
-    fields = F.map_filter(
-        F.create_map(F.lit("type"), F.when(F.col("ty") != "view", F.col("ty")), F.lit("k"), F.col("txt")), lambda k, v: v.isNotNull() & (v != "")
-    )
+    number = to_int("txt")
+    fields = metadata({"type": F.when(F.col("ty") != "view", F.col("ty")), "k": F.col("txt")})
     return ev.select("dump_id", "line_no", number.alias("number"), fields["type"].alias("label"), F.size(fields).cast("bigint").alias("filled"))

@@ -13,7 +13,8 @@ from fleetlog.operators import top_n
 COLUMNS = ["doc_id", "dump_id", "log_type", "document", "time", "meta", "dns_avg"]
 TRUNCATED = "\n...[TRUNCATED_BY_SYSTEM: TOO_LONG]"
 DEVICE_KEYS = ["model_name", "hardware", "android_sdk", "radio", "kernel"]
-_LONG = {"logs", "context", "stack", "top_stack", "main_stack", "callstack", "examples", "layer_counts"}
+#: how many of the latest (of windows: the worst) rows a dump a short prompt shows, by kind; ``all_docs(t, PROMPT)``
+PROMPT = {"sip": 10, "late": 5, "bad": 5, "call": 10, "registration": 5, "kill": 20, "critical": 30, "warning": 10, "window": 5}
 
 
 def _s(c: Column | str) -> Column:
@@ -39,10 +40,10 @@ def clip_text(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(TRUNCATED))).otherwise(text)
 
 
-def metadata(fields: Mapping[str, Column], max_chars: int = 2000) -> Column:
+def metadata(fields: Mapping[str, Column], max_chars: int | None = None) -> Column:
     """Flat string map without empty values; repeated device fields are left to the device table."""
     kept = {k: v for k, v in fields.items() if k not in DEVICE_KEYS and "stack" not in k}
-    pairs = [x for k, v in kept.items() for x in (F.lit(k), clip_text(_s(v), max_chars))]
+    pairs = [x for k, v in kept.items() for x in (F.lit(k), _s(v) if max_chars is None else clip_text(_s(v), max_chars))]
     return F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull() & (v != "") & (v != "[]") & (v != "{}"))
 
 
@@ -75,11 +76,16 @@ def latest(rows: DataFrame, n: int, by: str = "line_no") -> DataFrame:
     return top_n(rows, ["dump_id"], [F.col(by).desc()], n)
 
 
-def telephony_docs(t: Mapping[str, DataFrame]) -> list[DataFrame]:
-    sip = latest(t["sip_messages"], 10)
+def kept(rows: DataFrame, kind: str, caps: Mapping[str, int] | None, by: str = "line_no") -> DataFrame:
+    """All rows, or the latest ones of a dump where ``caps`` limits their kind."""
+    return latest(rows, caps[kind], by) if caps and kind in caps else rows
+
+
+def telephony_docs(t: Mapping[str, DataFrame], caps: Mapping[str, int] | None = None) -> list[DataFrame]:
+    sip = kept(t["sip_messages"], "sip", caps)
     tx = t["ril_transactions"]
-    late = latest(tx.where("status = 'TIMEOUT'"), 5)
-    bad = latest(tx.where("status in ('ERROR','SLOW')"), 5)
+    late = kept(tx.where("status = 'TIMEOUT'"), "late", caps)
+    bad = kept(tx.where("status in ('ERROR','SLOW')"), "bad", caps)
     late_text = F.concat(F.lit("[Modem no response (TIMEOUT)] time: "), "start_ts_raw", F.lit(", command: "), "command")
     bad_text = F.concat(
         F.lit("[Modem response ("), "status", F.lit(")] time: "), "start_ts_raw", F.lit(", command: "), "command", F.lit(", latency: "), _s("latency_ms"),
@@ -88,8 +94,8 @@ def telephony_docs(t: Mapping[str, DataFrame]) -> list[DataFrame]:
     tx_fields = lambda: {c: F.col(c) for c in ("status", "command", "latency_ms", "error_code")}
     return [
         generic(t["radio_power"], "Radio_Power_Event", ["seq", "phone", "power_on", "request_ts", "response_ts", "success", "error_code"], time="request_ts"),
-        generic(latest(t["call_sessions"].withColumn("at", F.struct("start_ms", "line_no")), 10, "at"), "Call_Session", ["call_type", "call_id", "slot", "start_ts_raw", "end_ts_raw", "status", "is_user_reject", "cause_code", "fail_reason"], time="start_ts_raw", part="stream"),
-        generic(latest(t["registration_events"], 5), "OOS_Event", ["slot", "event_type", "voice_reg", "data_reg", "rat", "reason", "operator_long", "reject_cause"], time="ts_raw"),
+        generic(kept(t["call_sessions"].withColumn("at", F.struct("start_ms", "line_no")), "call", caps, "at"), "Call_Session", ["call_type", "call_id", "slot", "start_ts_raw", "end_ts_raw", "status", "is_user_reject", "cause_code", "fail_reason"], time="start_ts_raw", part="stream"),
+        generic(kept(t["registration_events"], "registration", caps), "OOS_Event", ["slot", "event_type", "voice_reg", "data_reg", "rat", "reason", "operator_long", "reject_cause"], time="ts_raw"),
         make(sip, "IMS_SIP_Message", F.col("document"), {c: F.col(c) for c in ("call_id", "direction", "msg_type", "method", "tid", "is_error")}, time=F.col("ts_raw"), line=F.col("line_no")),
         make(late, "RILJ_Transaction", late_text, tx_fields(), time=F.col("start_ts_raw"), line=F.col("line_no")),
         make(bad, "RILJ_Transaction", bad_text, tx_fields(), time=F.col("start_ts_raw"), line=F.col("line_no")),
@@ -145,12 +151,13 @@ def network_docs(t: Mapping[str, DataFrame]) -> list[DataFrame]:
     ]
 
 
-def stall_docs(windows: DataFrame, causes: DataFrame) -> DataFrame:
-    """The five windows with the highest score per dump."""
+def stall_docs(windows: DataFrame, causes: DataFrame, caps: Mapping[str, int] | None = None) -> DataFrame:
+    """All stall windows with their causes, or those with the highest score of every dump."""
     from fleetlog.extract.stall import top_windows
 
     named = causes.groupBy("dump_id", "center_ms", "trigger").agg(F.array_sort(F.collect_set("category")).alias("root_causes"))
-    rows = top_windows(windows, 5).join(named, ["dump_id", "center_ms", "trigger"], "left")
+    shown = top_windows(windows, caps["window"]) if caps and "window" in caps else windows
+    rows = shown.join(named, ["dump_id", "center_ms", "trigger"], "left")
     layers = [f"n_{x.lower()}" for x in C.STALL_LAYERS]
     fields = {"center_time": _s(F.timestamp_millis("center_ms")), "trigger": F.col("trigger"), "severity_score": F.col("score"), "root_cause_candidates": F.array_join("root_causes", ", "), **{c: F.col(c) for c in layers}}
     return make(rows, "Internet_Stall_Analysis", markdown("Internet_Stall_Analysis", fields), fields, time=fields["center_time"], line=F.col("center_ms"), part=F.col("trigger"))
@@ -190,8 +197,8 @@ def device_docs(t: Mapping[str, DataFrame]) -> list[DataFrame]:
     ]
 
 
-def binder_docs(t: Mapping[str, DataFrame]) -> list[DataFrame]:
-    """Leak summaries, the last kills and reports, the last critical and ordinary warnings, root causes, context."""
+def binder_docs(t: Mapping[str, DataFrame], caps: Mapping[str, int] | None = None) -> list[DataFrame]:
+    """Leak summaries, kills and reports, critical and ordinary warnings, root causes, context."""
     b = t["binder_events"]
     ty = F.col("type")
     kill, critical, leak = ty.isin("SYSTEM_KILL", "SYSTEM_WTF"), ty.isin(C.BINDER_CRITICAL_TYPES), ty.isin(C.BINDER_LEAK_TYPES)
@@ -215,9 +222,9 @@ def binder_docs(t: Mapping[str, DataFrame]) -> list[DataFrame]:
     ts, ln = F.col("ts_raw"), F.col("line_no")
     return [
         make(leaks, "Binder_Warning", leak_text, {"type": F.lit("BINDER_PROXY_LEAK_SUMMARY"), "leaked_descriptor": F.col("target"), "max_proxy_count": F.col("max_count"), "raw_info": F.col("raw")}, time=ts, line=ln, part=F.lit("leak")),
-        make(latest(b.where(kill), 20), "System_Kill_Wtf_Event", text, fields(False), time=ts, line=ln, part=F.col("type")),
-        make(latest(b.where(critical), 30), "Binder_Warning", text, fields(True), time=ts, line=ln, part=F.col("type")),
-        make(latest(b.where(~kill & ~critical & ~leak), 10), "Binder_Warning", text, fields(False), time=ts, line=ln, part=F.concat_ws("/", "type", "target")),
+        make(kept(b.where(kill), "kill", caps), "System_Kill_Wtf_Event", text, fields(False), time=ts, line=ln, part=F.col("type")),
+        make(kept(b.where(critical), "critical", caps), "Binder_Warning", text, fields(True), time=ts, line=ln, part=F.col("type")),
+        make(kept(b.where(~kill & ~critical & ~leak), "warning", caps), "Binder_Warning", text, fields(False), time=ts, line=ln, part=F.concat_ws("/", "type", "target")),
         make(rca, "RCA_Event", rca_text, rca_fields, time=ts, line=ln),
         make(ctx, "Binder_Context", ctx_text, {"signals": F.to_json("signals"), "signal_keys": F.array_join(F.map_keys("signals"), ",")}),
     ]
@@ -241,10 +248,10 @@ def satellite_docs(t: Mapping[str, DataFrame]) -> list[DataFrame]:
     ]
 
 
-def all_docs(t: Mapping[str, DataFrame]) -> DataFrame:
-    """Every document of a set of domain tables."""
+def all_docs(t: Mapping[str, DataFrame], caps: Mapping[str, int] | None = None) -> DataFrame:
+    """Every document of a set of domain tables; ``caps`` (like ``PROMPT``) limits kinds of rows."""
     parts = [
-        *telephony_docs(t), *network_docs(t), stall_docs(t["stall_windows"], t["stall_causes"]), *crash_docs(t), *power_docs(t), *device_docs(t), *binder_docs(t), *satellite_docs(t),
+        *telephony_docs(t, caps), *network_docs(t), stall_docs(t["stall_windows"], t["stall_causes"], caps), *crash_docs(t), *power_docs(t), *device_docs(t), *binder_docs(t, caps), *satellite_docs(t),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -266,3 +273,11 @@ def search(docs: DataFrame, dump_id: str | None = None, log_types: list[str] | N
     if min_dns_avg is not None:
         docs = docs.where(F.col("dns_avg") >= min_dns_avg)
     return docs
+
+
+def facets(rows: DataFrame, **wanted: list[str] | None) -> DataFrame:
+    """Rows whose column is one of the wanted values, for every facet (severity, model_name, hardware, ...) that has some."""
+    for name, values in wanted.items():
+        if values:
+            rows = rows.where(F.col(name).isin(list(values)))
+    return rows

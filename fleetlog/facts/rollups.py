@@ -11,9 +11,9 @@ from fleetlog.operators import change_points, following, previous, top_n
 from fleetlog.session import SPAN_MILLIS, span
 
 
-def distribution(df: DataFrame, by: Sequence[str], name: str = "n") -> DataFrame:
-    """Value counts."""
-    return df.groupBy(*by).agg(F.count("*").alias(name))
+def distribution(df: DataFrame, by: Sequence[str], name: str = "n", distinct: dict[str, str] | None = None) -> DataFrame:
+    """Value counts, and numbers of distinct values by (new name, column)."""
+    return df.groupBy(*by).agg(F.count("*").alias(name), *[F.count_distinct(c).alias(n) for n, c in (distinct or {}).items()])
 
 
 def error_pivot(queries: DataFrame, codes: Sequence[str]) -> DataFrame:

@@ -19,6 +19,11 @@ def clean(c: Column | str) -> Column:
     return F.btrim(_col(c), F.lit(" \t\r\n\u000b\f"))
 
 
+def to_int(c: Column | str, default: int = -1) -> Column:
+    """A whole number, thousands separators allowed; the default where the text is none."""
+    return F.coalesce(F.replace(_col(c), F.lit(","), F.lit("")).try_cast("bigint"), F.lit(default).cast("bigint"))
+
+
 def lowered(c: Column | str) -> Column:
     return F.lower(_col(c))
 

@@ -14,10 +14,11 @@ def embedded(docs: DataFrame) -> DataFrame:
     return docs.withColumn("embedding", encode.encode("document"))
 
 
-def answer(questions: DataFrame, docs: DataFrame, top_k: int = 3, semantic: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def answer(questions: DataFrame, docs: DataFrame, top_k: int = 3, semantic: DataFrame | None = None, calls: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(evidence, verdicts)`` for ``questions(question_id, query, dump_id)``.
 
-    ``dump_id`` NULL searches all dumps. ``semantic`` may hold the semantic route of the questions.
+    ``dump_id`` NULL searches all dumps. ``semantic`` may hold the semantic route of the questions,
+    ``calls`` the call sessions, which tell whether any call was dropped.
     """
     routed = route.overrides(route.route(questions, semantic))
     plan = route.search_plan(classify.question_filters(routed), top_k).withColumn("embedding", encode.encode("query"))
@@ -29,7 +30,16 @@ def answer(questions: DataFrame, docs: DataFrame, top_k: int = 3, semantic: Data
     best = stage(rank.ranked(rank.scored(rows)))
     found = verdicts.evidence(best)
     shown = best.select("question_id", "rank", "doc_id", "doc_dump", "log_type", "document", "meta", "score")
-    return shown, verdicts.verdicts(found)
+    return shown, verdicts.verdicts(found, None if calls is None else dropped_calls(questions, calls))
+
+
+def dropped_calls(questions: DataFrame, calls: DataFrame) -> DataFrame:
+    """Dropped calls of each question's dump, or of all dumps: ``(question_id, dropped_calls)``."""
+    own, every = F.concat(F.lit("d"), "dump_id"), F.lit("all")
+    drops = calls.where("status = 'CALL_DROP'").select(F.explode(F.array(own, every)).alias("scope"))
+    counts = drops.groupBy("scope").agg(F.count("*").alias("n"))
+    asked = questions.select("question_id", F.coalesce(own, every).alias("scope"))
+    return asked.join(counts, "scope", "left").select("question_id", F.coalesce("n", F.lit(0)).alias("dropped_calls"))
 
 
 def fact_rows(t: dict[str, DataFrame]) -> DataFrame:

@@ -18,7 +18,6 @@ from fleetlog.functions.text import _col
 from fleetlog.sources.lines import DEFAULT_YEAR
 
 MAX_DEPTH = 3
-MAX_BYTES = 2 * 1024**3
 _BATCH = 20000
 
 
@@ -75,8 +74,8 @@ def list_archives(spark: SparkSession, path: str, recursive: bool = True) -> Dat
 def read_archives(spark: SparkSession, path: str, all_files: bool = False, year: int = DEFAULT_YEAR) -> DataFrame:
     """Lines of the log files inside archives: ``(archive, member, dump_id, line_no, year, raw)``.
 
-    Nested archives are opened down to three levels. Files beyond 2 GiB of text per archive and
-    unreadable members are left out, as ``list_archives`` shows. A base name that occurs twice keeps
+    Nested archives are opened down to three levels; deeper and unreadable members are left out, as the status
+    in ``list_archives`` shows. A base name that occurs twice keeps
     its inner path.
     """
     import re
@@ -87,14 +86,12 @@ def read_archives(spark: SparkSession, path: str, all_files: bool = False, year:
         for batch in batches:
             for archive, content in zip(batch["path"], batch["content"]):
                 seen: set[str] = set()
-                used = 0
                 for member, size, status, opener in _walk(content):
                     base = member.rsplit("/", 1)[-1]
-                    if status != "OK" or not (all_files or name.match(base)) or used + size > MAX_BYTES:
+                    if status != "OK" or not (all_files or name.match(base)):
                         continue
                     label = base if base not in seen else member
                     seen.add(label)
-                    used += size
                     with opener() as handle:
                         text = io.TextIOWrapper(handle, encoding="utf-8", errors="ignore")
                         rows = []

@@ -50,17 +50,17 @@ def write_docs(docs: DataFrame, root: str, batch: str = "0") -> str:
 
 
 def append_new_docs(
-    existing: DataFrame | None, incoming: DataFrame, *, force: bool = False, max_doc_chars: int = 1200
+    existing: DataFrame | None, incoming: DataFrame, *, force: bool = False, max_doc_chars: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Rows to append and counts ``(added, skipped)`` per dump for an idempotent ingest.
 
-    Items without text are skipped, texts are clipped, ids already stored are skipped (unless
+    Items without text are skipped, texts are clipped only where a length is given, ids already stored are skipped (unless
     ``force``: the caller then replaces the dump's partition), and of equal ids in one batch the
     first stays.
     """
-    valid = incoming.where(F.col("document").isNotNull()).withColumn(
-        "document", F.substring("document", 1, max_doc_chars)
-    )
+    valid = incoming.where(F.col("document").isNotNull())
+    if max_doc_chars is not None:
+        valid = valid.withColumn("document", F.substring("document", 1, max_doc_chars))
     fresh = first_per(valid, ["doc_id"], ["doc_id", "document"])
     if existing is not None and not force:
         fresh = fresh.join(existing.select("doc_id"), "doc_id", "left_anti")

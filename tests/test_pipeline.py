@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from fleetlog.plans import analyse, answer
 from fleetlog.retrieval import words as W
 from fleetlog.plans.analysis import documents
-from fleetlog.plans.ask import fact_rows, similar_cases
+from fleetlog.plans.ask import dropped_calls, fact_rows, similar_cases
 from fleetlog.sources import read_table, write_artifacts, write_docs
 
 LOG = r"""Build fingerprint: 'brand/modelx/dev'
@@ -170,6 +170,20 @@ def test_similar_cases(spark):
     assert [r.case_id for r in similar_cases(q, cases).orderBy("rank").collect()] == ["a", "c"]
 
 
+def test_dropped_calls(spark, tables):
+    q = spark.createDataFrame([(1, "call drop 발생 여부", "d1"), (2, "call drop 발생 여부", "d9"), (3, "call drop 발생 여부", None)], "question_id long, query string, dump_id string")
+    assert {r.question_id: r.dropped_calls for r in dropped_calls(q, tables["call_sessions"]).collect()} == {1: 1, 2: 0, 3: 2}
+
+
+def test_documents_keep_all_rows(spark):
+    from fleetlog import docs as D
+
+    rows = spark.createDataFrame([("d1", i, f"t{i}", "TX", "Req", "INVITE", "tid", False, "c", "x" * 3000) for i in range(30)], "dump_id string, line_no long, ts_raw string, direction string, msg_type string, method string, tid string, is_error boolean, call_id string, document string")
+    assert D.kept(rows, "sip", None).count() == 30 and D.kept(rows, "sip", D.PROMPT).count() == 10
+    meta = rows.select(D.metadata({"text": F.col("document")}).alias("m")).first().m
+    assert len(meta["text"]) == 3000
+
+
 def test_landing(spark, tmp_path):
     from fleetlog.streaming import follow_landing
 
