@@ -200,6 +200,16 @@ BINDER TRANSACTIONS
     assert (r.pid, r.intent_action, r.main_tid, r.main_lines, r.blocker_tid, r.lock_addr, r.blocker_lines, r.binder_tx, r.evidence_level) == ("77", "com.x.GO", "1", 3, "12", "0x0a1b2c3d", 2, 1, "TRACE_INCLUDED")
 
 
+def opens_call(p):
+    p = p.upper()
+    return "> DIAL" in p or "> EMERGENCY_DIAL" in p or "[UNSL]< UNSOL_CALL_RING" in p or ("< GET_CURRENT_CALLS" in p and "INCOMING" in p)
+
+
+def closes_call(p):
+    p = p.upper()
+    return "< LAST_CALL_FAIL_CAUSE" in p or "< GET_CURRENT_CALLS {}" in p or "< {}" in p
+
+
 def read_cs(rows):
     active, done, section = [], [], None
     for n, t in rows:
@@ -210,7 +220,7 @@ def read_cs(rows):
         if not section or t.startswith("---------") or "RILJ" not in t:
             continue
         p = t.split(":", 1)[1].strip()
-        if re.search(calls.CS_START, p):
+        if opens_call(p):
             active.append(dict(line=n, active=False, cause=None, ended=False, events=1))
             continue
         late = not active and "LAST_CALL_FAIL_CAUSE" in p
@@ -222,7 +232,7 @@ def read_cs(rows):
         m = re.search(r"causeCode:\s*(\d+)", p)
         if m and "LAST_CALL_FAIL_CAUSE" in p:
             call["cause"] = int(m.group(1))
-        if not late and re.search(calls.CS_END, p):
+        if not late and closes_call(p):
             call["ended"] = True
             done.append(active.pop())
     return active + done
