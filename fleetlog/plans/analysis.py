@@ -131,7 +131,7 @@ def analyse(lines: DataFrame) -> dict[str, DataFrame]:
     t["stall_windows"] = stage(stall.stall_windows(t["stall_timeline"]))
     t["stall_causes"] = stall.window_causes(t["stall_windows"])
     t["oos_causes"] = correlate.oos_causes(t["registration_events"], t["radio_power"], t["native_crashes"], correlate.airplane_marks(cand))
-    t["dumps"] = lines.select("dump_id").distinct()
+    t["dumps"] = cand.select("dump_id").distinct()  # a dump's first lines are always candidates
     return t
 
 
