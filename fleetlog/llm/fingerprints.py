@@ -1,63 +1,49 @@
 """Document fingerprints by consistent weighted sampling.
 
 A document is a bag of words, a word's weight its count. For hash k each word draws r and c from Gamma(2, 1) and
-beta from (0, 1), all from a hash of (word, k). With t = floor(ln(w) / r + beta) the word's value is
+beta from (0, 1), all from hashes of (word, k). With t = floor(ln(w) / r + beta) the word's value is
 ln(c) - r * (t - beta + 1); the word of the least value and its t are sample k. Two documents agree on a sample
 with the probability of their generalised Jaccard similarity, sum of least over sum of greatest weights.
 
 The value and the sample's hash are packed into one long (value in the upper 33 bits), so that a
-sample is a plain ``min`` that code generation and map-side combining handle. Gamma quantiles come
-from a table of 4096 steps; the steps are the same for all documents, so samples stay consistent.
+sample is a plain ``min`` that code generation and map-side combining handle. A Gamma(2, 1) value is
+-ln(u1 * u2) of two 32-bit uniforms, so its tails, which decide in texts of many distinct words, are there.
 """
 
 from __future__ import annotations
 
-import json
-import math
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetlog.llm.common import WORD, text_of
 from fleetlog.session import stage
 
 SAMPLES = 32
-STEPS = 4096
 #: code points of text per partition of the counting step
 PART_CHARS = 4_000_000
 NO_ID = -(1 << 63)
 
 
-@lru_cache
-def gamma_quantiles(steps: int = STEPS) -> tuple[float, ...]:
-    """Quantiles of Gamma(2, 1), whose distribution function is 1 - (1 + x) * exp(-x), by bisection."""
-    out = []
-    for i in range(steps):
-        p, lo, hi = (i + 0.5) / steps, 0.0, 40.0
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if 1 - (1 + mid) * math.exp(-mid) < p else (lo, mid)
-        out.append(lo)
-    return tuple(out)
+def uniforms(h: Column) -> tuple[Column, Column]:
+    """Two numbers inside (0, 1) from the halves of a hash."""
+    return tuple((x + F.lit(0.5)) / F.lit(float(1 << 32)) for x in (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit((1 << 32) - 1))))
 
 
-def table(values) -> Column:
-    """A constant array (folded to a literal by the optimizer)."""
-    return F.from_json(F.lit(json.dumps(list(values))), "array<double>")
+def gamma(h: Column) -> Column:
+    """A Gamma(2, 1) value, the sum of two exponential ones: between 2e-10 and 46."""
+    u, v = uniforms(h)
+    return -F.ln(u * v)
 
 
 def draw(term: Column, k: Column) -> tuple[Column, Column, Column]:
-    """r, ln(c) and beta of a term for hash ``k``, from separate bits of one hash."""
-    h = F.xxhash64(term, k)
-    r = F.get(table(gamma_quantiles()), h.bitwiseAND(F.lit(STEPS - 1)).cast("int"))
-    ln_c = F.get(table(math.log(q) for q in gamma_quantiles()), F.shiftrightunsigned(h, 12).bitwiseAND(F.lit(STEPS - 1)).cast("int"))
-    return r, ln_c, F.shiftrightunsigned(h, 24).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
+    """r, ln(c) and beta of a term for hash ``k``, each from a hash of its own."""
+    r, c, beta = (F.xxhash64(term, k, F.lit(i)) for i in range(3))
+    return gamma(r), F.ln(gamma(c)), F.shiftrightunsigned(beta, 12) / F.lit(float(1 << 52))
 
 
 def packed(term: Column, ln_weight: Column) -> Column:
     """Value and sample of a term (columns r, ln_c, beta) as one long; the least one of a document is its sample. Null without weight."""
     t = F.floor(ln_weight / F.col("r") + F.col("beta"))
-    value = F.col("ln_c") - F.col("r") * (t - F.col("beta") + F.lit(1.0))  # between -60 and 3
+    value = F.col("ln_c") - F.col("r") * (t - F.col("beta") + F.lit(1.0))  # between -128 and 4
     order = F.shiftleft(((value + F.lit(64.0)) * F.lit(float(1 << 25))).cast("bigint"), 31)
     return order.bitwiseOR(F.xxhash64(term, t).bitwiseAND(F.lit((1 << 31) - 1)))
 

@@ -279,6 +279,17 @@ def test_fingerprints(make):
     assert fingerprints.fingerprint(make(rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n_words", (10_000, 50_000))
+def test_collision_rate_on_long_texts(spark, n_words):
+    n = 600
+    half = F.col("id") % 2 == 0
+    terms = spark.range(n_words).select(F.lit(1).alias("key"), F.xxhash64("id").alias("term"), F.lit(1).alias("ones"), F.when(half, 5).otherwise(1).alias("fives"), F.when(half, 2).otherwise(1).alias("twos"))
+    r = fingerprints.samples(terms.repartition(8), ["key"], {"ones": "ones", "fives": "fives", "twos": "twos"}, n).first()
+    for other, true in ((r.fives, 1 / 3), (r.twos, 2 / 3)):
+        assert len(r.ones) == len(other) == n
+        assert abs(sum(x == y for x, y in zip(r.ones, other)) / n - true) <= 4 * math.sqrt(true * (1 - true) / n)
+
+
 # -- classifier
 
 
