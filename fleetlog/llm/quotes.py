@@ -1,8 +1,9 @@
 """Chat formatting by quotation linking.
 
 Lines that begin with quote marks (``>``, nested, blanks between) are quoted. Passages, runs of lines of one
-level, are normalised and hashed, and joined to the messages that first said them. A message belongs
-after the message it quotes; what remains of it without quotes is its turn in the conversation.
+level, are normalised and hashed, and joined to the messages that first said them; so are their paragraphs
+and lines, for quotes that were trimmed or put together. A message belongs after the message it quotes;
+what remains of it without quotes is its turn in the conversation.
 """
 
 from __future__ import annotations
@@ -46,14 +47,49 @@ def digest(passage: Column) -> Column:
     return F.sha2(normal(passage).cast("binary"), 256)
 
 
+def paragraphs(text: Column | str) -> Column:
+    return F.split(text, r"\n[\x20\x09-\x0D]*\n", -1)
+
+
+def spoken(units: Column) -> Column:
+    return F.filter(units, lambda u: normal(u) != "")
+
+
+def parts(passage: Column) -> Column:
+    """What of a quoted run is looked up: array of (para, kind, hash). Kind 0 is the whole run (para -1), 1 a paragraph, 2 a line of it."""
+
+    def part(para: Column, kind: int, unit: Column) -> Column:
+        return F.struct(para.alias("para"), F.lit(kind).alias("kind"), digest(unit).alias("hash"))
+
+    def below(p: Column, i: Column) -> Column:
+        return F.concat(F.array(part(i, 1, p)), F.transform(spoken(F.split(p, "\n", -1)), lambda x: part(i, 2, x)))
+
+    return F.concat(F.array(part(F.lit(-1), 0, passage)), F.flatten(F.transform(spoken(paragraphs(passage)), below)))
+
+
+def latest(found: DataFrame) -> DataFrame:
+    """row, n_linked and reply_turn from the parts of its runs (row, run, para, kind, origin_turn).
+
+    A run is linked if it is found whole or if each of its paragraphs is, whole or by all its lines.
+    """
+    origin = F.col("origin_turn")
+    by_lines = F.when(F.count_if((F.col("kind") == 2) & origin.isNull()) == 0, F.max(F.when(F.col("kind") == 2, origin)))
+    paras = found.groupBy("row", "run", "para").agg(F.coalesce(F.max(F.when(F.col("kind") < 2, origin)), by_lines).alias("origin_turn"))
+    inside = F.col("para") >= 0
+    by_paras = F.when(F.count_if(inside & origin.isNull()) == 0, F.max(F.when(inside, origin)))
+    runs = paras.groupBy("row", "run").agg(F.coalesce(F.max(F.when(~inside, origin)), by_paras).alias("origin_turn"))
+    return runs.groupBy("row").agg(F.count("origin_turn").alias("n_linked"), F.max("origin_turn").alias("reply_turn"))
+
+
 def link(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Conversations in reply order, without quotes.
 
     One row per input row: conv_id, thread_turn, turn, role, reply_turn, n_quotes, n_linked, body, body_sha256,
     formatted; sorted by conversation, thread and turn. ``reply_turn`` is the turn of the latest
     message quoted (null if none is found): the original of a passage is the earliest message of the same
-    conversation that said it itself, as its whole body, a paragraph or a line. ``thread_turn`` is the
-    first message up the chain of replies. ``n_quotes`` counts quoted passages, ``n_linked`` those found. Null
+    conversation that said it itself, as its whole body, a paragraph or a line. A passage that nobody said
+    whole is found if all its paragraphs are, and a paragraph if all its lines are; its original is then the latest
+    of theirs. ``thread_turn`` is the first message up the chain of replies. ``n_quotes`` counts quoted passages, ``n_linked`` those found. Null
     texts are empty; messages with a null conversation or turn quote nothing and are not quoted; equal
     turns share their links; an empty table gives no rows; other columns are ignored.
     """
@@ -65,18 +101,17 @@ def link(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     runs = passages(own)
     said = F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: r["passage"])
     body = F.regexp_replace(F.array_join(said, "\n"), r"\A[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
-    quoted = F.transform(F.filter("runs", lambda r: (r["level"] > 0) & (normal(r["passage"]) != "")), lambda r: digest(r["passage"]))
+    quoted = F.transform(F.filter("runs", lambda r: (r["level"] > 0) & (normal(r["passage"]) != "")), lambda r: parts(r["passage"]))
     rows = stage(runs.select("row", "conv_id", "turn", "role", body.alias("body"), quoted.alias("quoted")))
-    asked = rows.where("size(quoted) > 0 and turn is not null").select("row", "conv_id", "turn", F.explode("quoted").alias("hash"))
+    asked = rows.where("size(quoted) > 0 and turn is not null").select("row", "conv_id", "turn", F.posexplode("quoted").alias("run", "parts")).select("row", "conv_id", "turn", "run", F.inline("parts"))
     # only conversations in which something is quoted have to be hashed
     asking = asked.select("conv_id").distinct()
-    units = F.concat(F.array("body"), F.split("body", r"\n[\x20\x09-\x0D]*\n", -1), F.split("body", "\n", -1))
-    units = F.array_distinct(F.transform(F.filter(units, lambda u: normal(u) != ""), digest))
+    units = F.concat(F.array("body"), paragraphs("body"), F.split("body", "\n", -1))
+    units = F.array_distinct(F.transform(spoken(units), digest))
     origin = rows.where("turn is not null").join(asking, "conv_id", "left_semi").select("conv_id", "turn", F.explode(units).alias("hash"))
     origin = origin.groupBy("conv_id", "hash").agg(F.min("turn").alias("origin_turn"))  # combined before the shuffle: no group grows
-    found = asked.join(origin, ["conv_id", "hash"]).where("origin_turn < turn")
-    per_row = found.groupBy("row").agg(F.count("*").alias("n_linked"), F.max("origin_turn").alias("reply_turn"))
-    linked = stage(rows.join(per_row, "row", "left").withColumn("n_linked", F.coalesce("n_linked", F.lit(0).cast("bigint"))))
+    found = asked.join(origin, ["conv_id", "hash"], "left").withColumn("origin_turn", F.when(F.col("origin_turn") < F.col("turn"), F.col("origin_turn")))
+    linked = stage(rows.join(latest(found), "row", "left").withColumn("n_linked", F.coalesce("n_linked", F.lit(0).cast("bigint"))))
     threads = roots(linked.where("reply_turn is not null").groupBy("conv_id", "turn").agg(F.max("reply_turn").alias("up")))
     out = linked.join(threads, ["conv_id", "turn"], "left")
     role, said_ = F.coalesce("role", F.lit("unknown")), F.col("body")

@@ -252,6 +252,18 @@ def test_quotes(spark):
     assert quotes.link(df.limit(0)).count() == 0
 
 
+def test_trimmed_quotes(spark):
+    rows = [
+        (1, 0, "Dear all,\n\nfirst part\n\nsecond part,\nsecond line\nthird line\n\nlast part\nBob"), (1, 1, "short answer\nand more"), (1, 2, "> first part\n>\n> second part,\n> second line\n> third line\nTwo paragraphs"),
+        (1, 3, "> second part,\n> second line\nTwo lines"), (1, 4, "> first part\n>\n> second part, second line third line\n>\n> last part\nNo greeting"), (1, 5, "> last part\n> short answer\nOf two messages"),
+        (1, 6, "> > first part\n> > nobody said this\n> first part\n>\n> third line\nOne of two"), (1, 7, "> first part\n> not said yet\nx"), (1, 8, "not said yet"), (2, 0, "> first part\n>\n> last part\nOther conversation"),
+    ]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id bigint, turn bigint, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_turn, r.thread_turn, r.n_quotes, r.n_linked) for r in quotes.link(df).collect()}
+    assert {t: got[1, t] for t in range(2, 8)} == {2: (0, 0, 1, 1), 3: (0, 0, 1, 1), 4: (0, 0, 1, 1), 5: (1, 1, 1, 1), 6: (0, 0, 2, 1), 7: (None, 7, 1, 0)}
+    assert got[2, 0] == (None, 0, 1, 0)
+
+
 # -- fingerprints
 
 
