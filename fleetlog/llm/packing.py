@@ -13,6 +13,7 @@ the placements are bounded by the window size too (about 11 x 3 x window), and a
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -36,15 +37,23 @@ NUMBERED = 50_000
 class Coder:
     """Ids of texts by a tokenizer that never joins what white space separates.
 
-    Each distinct word goes through the tokenizer once while it is remembered, so a text costs a split
-    and lookups. ASCII letters are lower-cased first, as the tokenizer does itself.
+    A text is first cut at the literals of the tokenizer's added tokens, such as ``<|endoftext|>``, which get their
+    ids in exactly that spelling. Between them, each distinct word goes through the tokenizer once while it is
+    remembered, so a text costs a split and lookups. ASCII letters are lower-cased first, as the tokenizer does
+    itself; a word that lower-casing turns into such a literal is none.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if odd := [t.content for t in added.values() if not t.special or t.normalized or t.single_word or t.lstrip or t.rstrip]:
+            raise ValueError(f"added tokens that are not plain literals: {odd}")
+        self.added = {t.content: np.array([k], dtype="<u4").tobytes() for k, t in added.items()}
+        # the longest first, as the tokenizer matches them
+        self.marks = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")")
+        self.tokenizer.encode_special_tokens = True  # words have no added tokens
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, words: list[bytes]) -> None:
@@ -60,13 +69,20 @@ class Coder:
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         for text in texts:
-            words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-            if fresh := set(words).difference(self.known):
-                if len(self.known) + len(fresh) > CACHE_WORDS:
-                    self.known.clear()
-                    fresh = set(words)
-                self.learn(list(fresh))
-            yield b"".join(map(self.known.__getitem__, words))
+            if text and any(x in text for x in self.added):
+                yield b"".join(self.added[x] if k % 2 else self.stretch(x) for k, x in enumerate(self.marks.split(text)))
+            else:
+                yield self.stretch(text or "")
+
+    def stretch(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
+        words = text.encode("utf-8", "surrogatepass").lower().split()
+        if fresh := set(words).difference(self.known):
+            if len(self.known) + len(fresh) > CACHE_WORDS:
+                self.known.clear()
+                fresh = set(words)
+            self.learn(list(fresh))
+        return b"".join(map(self.known.__getitem__, words))
 
 
 @lru_cache(maxsize=2)

@@ -349,6 +349,17 @@ def test_packing(make):
     assert packing.pack(make(rows).limit(0), TOKENS).count() == 0
 
 
+def test_added_tokens_in_texts(make):
+    from tokenizers import Tokenizer
+
+    texts = ["hello <|endoftext|> world", "a<|startoftext|><|endoftext|>b", "<|endoftext|>", "x <|EndOfText|> <|endoftext|>'s <|ENDOFTEXT|>", "<|end\noftext|> don'<|endoftext|>t Don't", "<|<|endoftext|>|> \u00c9\u0301<|startoftext|>\u0301", prose(3000, 4) + "<|endoftext|>\n" + prose(3000, 5)]
+    tokenizer = Tokenizer.from_file(TOKENS)
+    got = {}
+    for r in packing.pack(make(list(enumerate(texts))), TOKENS, with_ids=True).orderBy("doc_id", "start").collect():
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    assert got == {i: tokenizer.encode(t, add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_best_fit_decreasing_is_the_sequential_one(seed):
     rng = random.Random(seed)
