@@ -1,8 +1,8 @@
 """Secret scans weighed by corpus-wide ownership.
 
-Patterns find candidates in every text. The same value pasted into many repositories of many owners is an
-example out of some manual; a value that one owner alone has looks live. So all candidate hashes are
-counted by distinct repositories and owners, and every span gets the class of its value. Loose
+Patterns find candidates in every text. The same value pasted into many repositories or by many owners is an
+example out of some manual; a value that one repository alone has looks live. So all candidate hashes are
+counted by distinct repositories and owners, and every span gets both counts and the class of its value. Loose
 candidates (long mixed runs that no pattern claims) are reported only if they are owner-specific.
 """
 
@@ -22,6 +22,8 @@ BASE = 3
 LEAST_ASSIGNED = 12
 #: owners from which on a value is a copied example
 EXAMPLE_OWNERS = 3
+#: repositories from which on it is one whoever owns them; more than owners, as each owner has a repository at least
+EXAMPLE_REPOS = 4
 
 
 def candidates(texts: DataFrame) -> DataFrame:
@@ -63,13 +65,13 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: Sequence[str] = ("source", "lang"), example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: Sequence[str] = ("source", "lang"), example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """Secrets of every document.
 
     One row per input row: doc_id, text_hash, n_assign, n_access, n_hex, n_opaque, n_live, n_example,
-    base_sha256, spans, and marks (array of structs kind, start, end, class; places in code points, end
-    exclusive). A value is ``example`` with ``example_owners`` owners or more, ``live`` with one, else
-    ``shared``. Opaque spans are those of live values that touch no other span. Null texts are empty; null
+    base_sha256, spans, and marks (array of structs start, kind, end, class, n_repos, n_owners; places in code
+    points, end exclusive). A value is ``example`` with ``example_owners`` owners or ``example_repos`` repositories
+    or more, ``live`` with one of each, else ``shared``. Opaque spans are those of live values that touch no other span. Null texts are empty; null
     owners or repositories count as one of their own; repeated rows give a row each and count once as
     owner; an empty table gives no rows. Other columns are ignored.
     """
@@ -82,17 +84,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     spans = stage(placed(scanned.where(F.size("found") > 0)))
     facts = stage(ownership(spans))
     known = look_up(spans, facts, ["hash"], "n_spans")
-    cls = F.when(F.col("n_owners") >= example_owners, "example").when(F.col("n_owners") == 1, "live").otherwise("shared")
-    known = known.select("row", "kind", "start", "end", cls.alias("class"))
+    example = (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)
+    cls = F.when(example, "example").when((F.col("n_owners") == 1) & (F.col("n_repos") == 1), "live").otherwise("shared")
+    known = known.select("row", "kind", "start", "end", cls.alias("class"), "n_repos", "n_owners")
     own = Window.partitionBy("row").orderBy("start", "kind", "end")
     base = F.col("kind") < BASE
     left = F.max(F.when(base, F.col("end"))).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     right = F.min(F.when(base, F.col("start"))).over(own.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     free = F.coalesce(left <= F.col("start"), F.lit(True)) & F.coalesce(right >= F.col("end"), F.lit(True))
     kept = known.withColumn("free", free).where(base | (F.col("free") & (F.col("class") == "live")))
-    marks = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "class"))).alias("marks"))
+    marks = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "class", "n_repos", "n_owners"))).alias("marks"))
     rows = scanned.select("row", "doc_id", "text_hash").join(marks, "row", "left")
-    rows = rows.withColumn("marks", F.coalesce("marks", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,class:string>>")))
+    rows = rows.withColumn("marks", F.coalesce("marks", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,class:string,n_repos:bigint,n_owners:bigint>>")))
 
     def count(field: str, value: int | str) -> Column:
         return F.size(F.filter("marks", lambda m: m[field] == value)).cast("bigint")

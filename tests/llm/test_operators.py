@@ -60,6 +60,18 @@ def test_secrets(make):
     assert secret_scan.scan(make(rows)).count() == len(rows) and secret_scan.scan(make(rows).limit(0)).count() == 0
 
 
+def test_secrets_by_repositories_and_owners(make):
+    value = {"one": "Token=oneoneoneoneone", "two": "Token=twotwotwotwotwo", "four": "Token=fourfourfourfour", "owners": "Token=ownersownersown"}
+    places = {"one": ["en"] * 2, "two": ["en", "de"], "four": ["en", "de", "fr", "es"]}
+    rows = [(k, value[name], lang, "s1") for at, (name, langs) in enumerate(places.items()) for k, lang in enumerate(langs, 10 * at)] + [(60 + k, value["owners"], "en", f"s{k}") for k in range(2)]
+    rows += [(90, "Zx9" + "aB3dE6" * 5, "en", "s1"), (91, "Zx9" + "aB3dE6" * 5, "de", "s1"), (92, "Yx9" + "aB3dE6" * 5, "de", "s1")]
+    got = {(r.doc_id, r.text_hash): r for r in secret_scan.scan(make(rows)).collect()}
+    text = {(i, n): t for i, t, *_ in rows for n, v in value.items() if v == t}
+    seen = {n: {(m["class"], m["n_repos"], m["n_owners"], r.n_live, r.n_example) for (i, _), r in got.items() if (i, n) in text for m in r.marks} for n in value}
+    assert seen == {"one": {("live", 1, 1, 1, 0)}, "two": {("shared", 2, 1, 0, 0)}, "four": {("example", 4, 1, 0, 1)}, "owners": {("shared", 2, 2, 0, 0)}}
+    assert {i: r.n_opaque for (i, _), r in got.items() if i >= 90} == {90: 0, 91: 0, 92: 1}
+
+
 def test_redact(spark):
     df = spark.createDataFrame([("ab SECRET cd KEY", [(3, 9), (5, 8), (13, 16)]), ("éx", [])], "t string, m array<struct<start:bigint,end:bigint>>")
     assert [r[0] for r in df.select(secret_scan.redact(F.col("t"), F.col("m"), "*")).collect()] == ["ab * cd *", "éx"]
