@@ -73,8 +73,8 @@ def with_text(rows: DataFrame, text, docs: DataFrame) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows of 2048 ids."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Pieces of all documents in windows of 2048 ids, with their ids: the texts of the stages before are not kept."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = [("quality classifier", quality), ("near duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixture), ("packing", packed)]

@@ -1,6 +1,12 @@
 """The corpus pipeline, stage by stage, against brute-force versions."""
 
 import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
 from fleetlog.session import stage
@@ -43,3 +49,19 @@ def test_edges(spark):
             assert empty == docs.isEmpty() or k == 0
         if empty:
             assert docs.isEmpty()
+
+
+def test_windows_hold_their_ids(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [(1, prose(900, 1)), (1, prose(900, 1)), (1, prose(300, 1)), (2, prose(3000, 2)), (3, None), (None, "a [secret] b"), (4, "x <|endoftext|> y")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    rows = dict(pipeline.STAGES)["packing"](spark, docs, SF).collect()
+    all_ids = [(i, tokenizer.encode(t or "", add_special_tokens=False).ids + [1]) for i, t in texts]
+    assert Counter((r.doc_id, r.start, tuple(r.ids)) for r in rows) == Counter((i, s, tuple(x[s : s + 2048])) for i, x in all_ids for s in range(0, len(x), 2048))
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+    windows = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        window = windows.setdefault(r.sequence_id, [])
+        assert r.offset == len(window)
+        window += r.ids
+    assert sorted(windows) == list(range(len(windows))) and all(len(w) <= 2048 for w in windows.values())
