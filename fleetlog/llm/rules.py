@@ -22,7 +22,7 @@ STOP_WORDS = (
 ).split()
 #: (rule, measure, least, most); null is no bound
 RULES: tuple[tuple[str, str, float | None, float | None], ...] = (
-    ("words", "n_words", 50, 1_000_000),
+    ("words", "n_words", 50, None),
     ("word_length", "word_chars / n_words", 2.0, 14.0),
     ("symbols", "n_symbols / n_words", None, 0.2),
     ("stop_words", "n_stop_words / n_words", 0.02, None),

@@ -230,6 +230,13 @@ def test_rules(make):
     assert rules.judge(make(rows).limit(0)).count() == 0
 
 
+def test_size_alone_rejects_nothing(make):
+    rng = random.Random(6)
+    text = " ".join("the" if k % 20 == 0 else "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for k in range(1_000_001))
+    r = rules.judge(make([(1, text)])).first()
+    assert r.n_words == 1_000_001 and r.kept and not r.failed
+
+
 # -- URLs
 
 
