@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlog.llm import cotrain, fingerprints, mixing, near_dup, packing, quotes, rules, secret_scan, suffix_dedup, urls
+from fleetlog.llm import ann, cotrain, fingerprints, mixing, near_dup, packing, quotes, repair, rules, secret_scan, spelling, suffix_dedup, urls
 from fleetlog.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,3 +203,74 @@ QUERIES["op9_cotrained_quality"] = cotrained
 def packed(documents: DataFrame) -> DataFrame:
     """All documents in windows of 2048 ids."""
     return packing.pack(documents, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def _crc_sql(text: str) -> str:
+    """Unsigned CRC-32 of a string's UTF-8 bytes in DuckDB, four bits at a time."""
+    table = []
+    for n in range(16):
+        for _ in range(4):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    digits = f"list_transform(range(1, length(hex({text})) + 1), lambda i: instr('0123456789ABCDEF', hex({text})[CASE WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END]) - 1)"
+    return f"xor(list_reduce(list_concat([{0xFFFFFFFF}::BIGINT], {digits}), lambda c, d: xor(c >> 4, {table}[(xor(c, d) & 15) + 1])), {0xFFFFFFFF}::BIGINT)"
+
+
+_SPELLING_SQL = f"""
+WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}'), '{spelling.LETTERS}{{7,}}')) AS run FROM documents),
+h AS (SELECT doc_id, run, count(*) AS k, {_crc_sql("(doc_id || ':' || run)")} AS h FROM r GROUP BY doc_id, run),
+o AS (SELECT k, CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM h),
+w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM o WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+g AS (SELECT word, i, word[:i - 1] || word[i + 1:] AS gap FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word, b.word AS near FROM g a JOIN g b ON a.i = b.i AND a.gap = b.gap AND a.word <> b.word
+      UNION SELECT g.word, w.word FROM g JOIN w ON g.gap = w.word UNION SELECT w.word, g.word FROM g JOIN w ON g.gap = w.word),
+b AS (SELECT p.word, near, w.n, row_number() OVER (PARTITION BY p.word ORDER BY w.n DESC, near) AS place, count(*) OVER (PARTITION BY p.word) AS n_near FROM p JOIN w ON p.near = w.word),
+f AS (SELECT w.word, CASE WHEN b.n >= 10 * w.n THEN near END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 10 * w.n THEN b.n END AS form_n FROM w LEFT JOIN b ON w.word = b.word AND place = 1),
+c AS (SELECT word, word AS root, 0 AS depth FROM f UNION ALL SELECT c.word, f.form, depth + 1 FROM c JOIN f ON c.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(root, depth) AS root FROM c GROUP BY word) USING (word)"""
+
+
+@query("op11_trie_spelling", "documents", _SPELLING_SQL)
+def spelling_variants(documents: DataFrame) -> DataFrame:
+    """Near words, form and root of every word of at least seven letters in all documents."""
+    return spelling.variants(documents)
+
+
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_REPAIR_SQL = f"""
+WITH RECURSIVE r AS (SELECT coalesce('c' || conv_id, '') AS k, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc_sql("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS h FROM conversations),
+d AS (SELECT k, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE h WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM r WHERE h <> 0),
+o AS (SELECT *, row_number() OVER w AS p, count(*) OVER (PARTITION BY k) AS size, row_number() OVER (PARTITION BY k, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, rtrim(text, {_BLANKS}) AS body, substr(role, 1, 1) AS i
+      FROM d WINDOW w AS (PARTITION BY k ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text), copy)),
+f AS (SELECT *, CASE WHEN body = '' THEN 'b' WHEN again THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, lag(i) OVER (PARTITION BY k ORDER BY p) || i NOT IN ('su', 'ua', 'au') AS odd FROM o),
+e AS (SELECT *, fault IN ('b', 'd') AS goes, CASE fault WHEN 't' THEN 5 ELSE 0 END AS m FROM f),
+b AS (SELECT DISTINCT k, size + 1 AS p, [0, 10, 5, 0] AS c FROM e
+      UNION ALL SELECT k, p, [least(v[1], 5 + v[3], 10 + v[4]), least(v[2], 5 + v[3], 10 + v[4]), least(v[3], 5 + v[4]), least(v[4], 5 + v[3])] FROM (
+        SELECT e.k, e.p, CASE WHEN goes THEN [2 + c[1], 2 + c[2], 2 + c[3], 2 + c[4]] ELSE
+          [least(2 + c[1], CASE i WHEN 's' THEN m + c[2] WHEN 'u' THEN m + c[3] ELSE 1000000 END, 1 + m + c[3]), least(2 + c[2], CASE i WHEN 'u' THEN m + c[3] ELSE 1000000 END, 1 + m + c[3]),
+           least(2 + c[3], CASE i WHEN 'a' THEN m + c[4] ELSE 1000000 END, 1 + m + c[4]), least(2 + c[4], CASE i WHEN 'u' THEN m + c[3] ELSE 1000000 END, 1 + m + c[3])] END AS v
+        FROM b JOIN e ON b.k = e.k AND b.p = e.p + 1)),
+q AS (SELECT b.k, b.p, b.c AS here, a.c AS there, e.role, e.text, e.i, e.goes, e.m FROM b LEFT JOIN b a ON a.k = b.k AND a.p = b.p + 1 LEFT JOIN e ON e.k = b.k AND e.p = b.p),
+s AS (SELECT k, 1 AS p, 1 AS s, '' AS audit, []::VARCHAR[] AS lines FROM b WHERE p = 1
+      UNION ALL SELECT k, CASE l WHEN 'I' THEN p ELSE p + 1 END, CASE l WHEN 'D' THEN s WHEN 'K' THEN CASE i WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END ELSE CASE s WHEN 3 THEN 4 ELSE 3 END END, audit || l,
+        CASE l WHEN 'D' THEN lines ELSE list_append(lines, CASE WHEN l = 'K' THEN role || ':' || text ELSE CASE s WHEN 3 THEN 'assistant:' ELSE 'user:' END || CASE l WHEN 'R' THEN text ELSE '' END END) END
+      FROM (SELECT s.*, i, role, text, CASE WHEN there IS NOT NULL AND 2 + there[s] = here[s] THEN 'D' WHEN here[s] > 0 AND (there IS NULL OR 5 + here[CASE s WHEN 3 THEN 4 ELSE 3 END] = here[s]) THEN 'I' WHEN there IS NULL THEN NULL
+              WHEN CASE WHEN s IN (1, 2, 4) AND i = 'u' THEN m + there[3] WHEN s = 1 AND i = 's' THEN m + there[2] WHEN s = 3 AND i = 'a' THEN m + there[4] END = here[s] THEN 'K' ELSE 'R' END AS l
+            FROM s JOIN q ON s.k = q.k AND s.p = q.p) WHERE l IS NOT NULL),
+z AS (SELECT k, arg_max(audit, length(audit)) AS audit, arg_max(lines, length(audit)) AS lines FROM s GROUP BY k),
+n AS (SELECT k, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (odd) AS illegal FROM f GROUP BY k),
+i AS (SELECT DISTINCT conv_id, coalesce('c' || conv_id, '') AS k FROM conversations)
+SELECT conv_id, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal"))}, CAST(coalesce(b.c[1], 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256 FROM i LEFT JOIN n USING (k) LEFT JOIN z USING (k) LEFT JOIN b ON b.k = i.k AND b.p = 1"""
+
+
+@query("op12_conversation_repair", "conversations", _REPAIR_SQL)
+def repaired(conversations: DataFrame) -> DataFrame:
+    """Faults, cheapest repair and its audit of every damaged conversation."""
+    return repair.audited(conversations)
+
+
+@query("op13_learned_neighbours", "embeddings")
+def neighbours(embeddings: DataFrame) -> DataFrame:
+    """The ten nearest vectors found for every hundredth."""
+    return ann.search(embeddings, F.col("vec_id") % 100 == 0)
