@@ -71,12 +71,24 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/stage/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing will read any more: all that was made of them is staged itself or collected."""
+    for table in tables:
+        _remove(table.sparkSession, table.staged_at)
 
 
 def drop_stage(spark: SparkSession) -> None:
     """Remove this application's staged tables once its results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark)}/stage/{spark.sparkContext.applicationId}")
+    _remove(spark, f"{checkpoint_root(spark)}/stage/{spark.sparkContext.applicationId}")
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
