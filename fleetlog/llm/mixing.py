@@ -71,7 +71,7 @@ def targets(sized: DataFrame, weights: Sequence[float], share: float, max_repeat
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_repeat: int = MAX_REPEAT, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Words taken of every document, and when.
 
-    One row per input row: doc_id, text_hash, source, size, source_size, target, taken (words, repeats counted), copies
+    One row per input row: doc_id, size, source_size, target, taken (words, repeats counted), source, text_hash, copies
     (array of structs: words taken of this copy, position from 0 to 1 at which it is due; copies of no
     words are left out) and position (of the first copy, null if none). ``taken`` of a source adds up to its
     target rounded down. The order inside a source is by the MD5 of the id, then size: repeated rows
@@ -98,9 +98,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
         copies.append(F.struct(words.alias("words"), F.round(pick(F.col("place"), [due(begin / F.nullif("target", F.lit(0.0)), s) for s in schedules]), 9).alias("position")))
     rows = rows.withColumn("copies", F.filter(F.array(*copies), lambda c: c["words"] > 0))
     return rows.select(
-        "doc_id", "text_hash", "source", "size", "source_size", "target",
+        "doc_id", "size", "source_size", "target",
         F.coalesce(F.aggregate("copies", F.lit(0).cast("bigint"), lambda n, c: n + c["words"]), F.lit(0)).alias("taken"),
-        "copies", F.get("copies", F.lit(0))["position"].alias("position"),
+        "source", "text_hash", "copies", F.get("copies", F.lit(0))["position"].alias("position"),
     )
 
 

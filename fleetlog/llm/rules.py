@@ -97,11 +97,13 @@ def failed(rules: Sequence[tuple[str, str, float | None, float | None]] = RULES)
 
 
 def judge(docs: DataFrame, rules: Sequence[tuple[str, str, float | None, float | None]] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Measures, base_failed, failed (names of rules) and kept of every document.
+    """Measures, base_failed and kept, then further measures and failed (names of rules) of every document.
 
     Null and blank texts have no words and fail. Repeated rows give a row each; null ids stay null; an
     empty table gives no rows; other columns are ignored.
     """
     base = (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
     rows = measured(docs, id_col, text_col).withColumn("base_failed", base).withColumn("failed", failed(rules))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    rows = rows.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return rows.select(*first, *[c for c in rows.columns if c not in first])

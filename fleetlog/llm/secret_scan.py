@@ -68,8 +68,8 @@ def joined(spans: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: Sequence[str] = ("source", "lang"), example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """Secrets of every document.
 
-    One row per input row: doc_id, text_hash, n_assign, n_access, n_hex, n_opaque, n_live, n_example,
-    base_sha256, spans, and marks (array of structs start, kind, end, class, n_repos, n_owners; places in code
+    One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_opaque, n_live, n_example,
+    text_hash, and marks (array of structs start, kind, end, class, n_repos, n_owners; places in code
     points, end exclusive). A value is ``example`` with ``example_owners`` owners or ``example_repos`` repositories
     or more, ``live`` with one of each, else ``shared``. Opaque spans are those of live values that touch no other span. Null texts are empty; null
     owners or repositories count as one of their own; repeated rows give a row each and count once as
@@ -101,11 +101,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
         return F.size(F.filter("marks", lambda m: m[field] == value)).cast("bigint")
 
     return rows.select(
-        "doc_id", "text_hash",
-        *[count("kind", k).alias(f"n_{name}") for k, (name, _) in enumerate(KINDS)],
-        *[count("class", c).alias(f"n_{c}") for c in ("live", "example")],
+        "doc_id",
+        *[count("kind", k).alias(f"n_{name}") for k, (name, _) in enumerate(KINDS) if k < BASE],
         F.sha2(joined(F.filter("marks", lambda m: m["kind"] < BASE)).cast("binary"), 256).alias("base_sha256"),
-        joined(F.col("marks")).alias("spans"), "marks",
+        joined(F.col("marks")).alias("spans"),
+        *[count("kind", k).alias(f"n_{name}") for k, (name, _) in enumerate(KINDS) if k >= BASE],
+        *[count("class", c).alias(f"n_{c}") for c in ("live", "example")], "text_hash", "marks",
     )
 
 
