@@ -48,7 +48,8 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     asked = asked.withColumn("digest", F.sha2(F.col("form").cast("binary"), 256))
     held = clean.select(F.concat("r_host", "r_path").alias("rule"), "r_verdict").groupBy("rule").agg(F.max("r_verdict").alias("r_verdict"))  # block over allow
     held = held.withColumn("r_digest", F.sha2(F.col("rule").cast("binary"), 256)).withColumn("r_prefix", F.substring("r_digest", 1, PREFIX))
-    hits = asked.join(held, (F.substring("digest", 1, PREFIX) == F.col("r_prefix")) & (F.col("digest") == F.col("r_digest")), "left")
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), F.col("rule"), F.col("r_verdict"))))
+    # the join sees short prefixes only; a prefix that another digest shares finds a rule which is then refused
+    hits = asked.join(held, F.substring("digest", 1, PREFIX) == F.col("r_prefix"), "left")
+    best = F.max(F.when(F.col("digest") == F.col("r_digest"), F.struct(F.length("rule").alias("n"), F.col("rule"), F.col("r_verdict"))))
     done = hits.groupBy("row").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), best.alias("best"))
     return done.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
