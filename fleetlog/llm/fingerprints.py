@@ -97,7 +97,7 @@ def neighbours(small: DataFrame) -> DataFrame:
     inside = Window.partitionBy("part").orderBy("id", "hash")
     rows = dealt.withColumn("p", F.lag(me).over(inside)).withColumn("q", F.lead(me).over(inside)).join(F.broadcast(ends), "part")
     p, q = F.coalesce("p", "before"), F.coalesce("q", "after")
-    return rows.select("id", "hash", "doc_id", "n", p["id"].alias("prev_id"), p["hash"].alias("prev_hash"), p["n"].alias("prev_n"), q["id"].alias("next_id"), q["hash"].alias("next_hash"))
+    return rows.select("id", "hash", "doc_id", "n", p["id"].alias("prev_id"), p["hash"].alias("prev_hash"), p["n"].alias("prev_n"), "rows", q["id"].alias("next_id"), q["hash"].alias("next_hash"))
 
 
 def fingerprint(docs: DataFrame, n: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,7 +106,7 @@ def fingerprint(docs: DataFrame, n: int = SAMPLES, id_col: str = "doc_id", text_
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Words are
     lower-cased. Null texts are empty; an empty text has an empty fingerprint, which is like an empty one
     (1) and unlike others (0). Documents are ordered by id (null first), then by a hash of the text; rows equal
-    in both are one document and give one row. A single document is its own next one. An empty table
+    in both are one document in this order, and give a row each. A single document is its own next one. An empty table
     gives no rows. Other columns are ignored.
     """
     text = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_of(docs, text_col).alias("text"))
@@ -137,7 +137,8 @@ def fingerprint(docs: DataFrame, n: int = SAMPLES, id_col: str = "doc_id", text_
     found = stage(hashed.join(drawn, by, "left"))
     empty = F.array().cast("array<int>")
     nxt = found.select(F.col("id").alias("next_id"), F.col("hash").alias("next_hash"), F.coalesce("own", empty).alias("next"))
-    out = chain.select("id", "hash", "doc_id", "n", "next_id", "next_hash").join(found, by).join(nxt, ["next_id", "next_hash"])
+    # one row for each of equal rows
+    out = chain.select("id", "hash", "doc_id", "n", "next_id", "next_hash", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).drop("col").join(found, by).join(nxt, ["next_id", "next_hash"])
     own, edited = F.coalesce("own", empty), F.coalesce("edited", empty)
     return out.select(
         "doc_id", F.col("n").alias("n_chars"), "edited_sha256", printed(own).alias("fingerprint"), printed(edited).alias("edited_fingerprint"),
