@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetlog.functions import once
 
@@ -14,6 +14,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT = 1000
 
 
+#: rows of texts that go to a Python worker at once; Spark's own 10,000 would hold 100 MB of web pages, several times over
+ARROW_ROWS = 512
+
+
+def lean(spark: SparkSession) -> None:
+    """Smaller Arrow batches for operators that read whole texts in Python workers; a session that asks for fewer rows keeps them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def text_of(df: DataFrame, text_col: str) -> Column:
     """The text column; null is empty."""
     return F.coalesce(df[text_col].cast("string"), F.lit(""))
@@ -35,4 +47,4 @@ def look_up(rows: DataFrame, facts: DataFrame, keys: Sequence[str], weight: str,
     return rows.join(hot, keys).unionByName(rows.join(F.broadcast(facts.where(heavy).select(*keys)), keys, "left_anti").join(cold, keys, how))
 
 
-__all__ = ["HOT", "WORD", "look_up", "n_words", "once", "text_of"]
+__all__ = ["HOT", "WORD", "lean", "look_up", "n_words", "once", "text_of"]

@@ -69,7 +69,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 @query("op3_suffix_dedup", "documents")
 def repeated_strings(documents: DataFrame) -> DataFrame:
     """All documents without the bytes covered by 400-byte strings that start anywhere else, too."""
-    return suffix_dedup.dedup(documents).drop("kept")
+    kept = F.make_valid_utf8(F.col("kept").cast("string"))
+    return suffix_dedup.dedup(documents).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", kept.alias("kept_text"))
 
 
 def _due_sql(done: str, schedule) -> str:

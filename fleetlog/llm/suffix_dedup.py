@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fleetlog.llm.common import look_up, text_of
+from fleetlog.llm.common import lean, look_up, text_of
 from fleetlog.llm.shingles import _table, mix
 from fleetlog.session import stage
 
@@ -215,6 +215,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     strings are judged on the input. Repeated rows (equal id and text) repeat each other. An empty table gives no
     rows. Other columns are ignored. ``length`` is at most 400 and at least 64.
     """
+    lean(docs.sparkSession)
     texts = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text_of(docs, text_col).alias("text"))
     texts = texts.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("hash"), "doc_id", "text")
     count = texts.groupBy("id", "hash").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.count("*").alias("units")).first()
