@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from fleetlog import operators as ops
+from fleetlog import codes as C, operators as ops
 from fleetlog.catalog.base import EV, by_type, fmt, query, render
 from fleetlog.session import stage
 from fleetlog.extract import anr, calls, crash
@@ -72,24 +72,64 @@ def anr_blocks(t):
     )
 
 
-def cs_lines(t):
-    """Radio-log call rows of nested calls; some carry a telecom id."""
+def cs_lines(t, named=False):
+    """Radio-log call rows; ``named``: some carry a telecom id, so that calls interleave and close in any order."""
     m = F.col("k") % 10
     ev = t.ev().withColumn("ph", F.col("user_id") % 2).withColumn("cause", F.when(m < 3, 41).when(m < 6, 16).otherwise(31))
+    has = (F.col("k") % 3 == 0) & (F.col("ty") == "click") | (F.col("k") % 4 == 0) & (F.col("ty") == "view") | (F.col("k") % 2 == 0) & (F.col("ty") == "purchase")
+    ev = ev.withColumn("id", F.when(has, F.concat(F.lit(" TC@"), (F.col("user_id") % 40).cast("string"))).otherwise("") if named else F.lit(""))
     head = "{ts_raw} radio  1  2 D RILJ    : "
-    click = F.when(F.col("k") < 2, fmt("--------- beginning of main")).when(F.col("k") < 12, fmt("--------- beginning of radio")).otherwise(fmt(head + "[{k}]> DIAL [PHONE{ph}]"))
-    view = fmt(head + "[{k}]< GET_CURRENT_CALLS {{[id=1,ACTIVE,]}} [PHONE{ph}]")
-    buy = F.when(m < 5, fmt(head + "[{k}]< GET_CURRENT_CALLS {{}} [PHONE{ph}]")).otherwise(fmt(head + "[{k}]< LAST_CALL_FAIL_CAUSE causeCode: {cause} vendorCause: 24 [PHONE{ph}]"))
+    click = F.when(F.col("k") < 2, fmt("--------- beginning of main")).when(F.col("k") < 12, fmt("--------- beginning of radio")).otherwise(fmt(head + "[{k}]> DIAL{id} [PHONE{ph}]"))
+    view = fmt(head + "[{k}]< GET_CURRENT_CALLS {{[id=1,ACTIVE,]}}{id} [PHONE{ph}]")
+    buy = F.when(m < 5, fmt(head + "[{k}]< GET_CURRENT_CALLS {{}}{id} [PHONE{ph}]")).otherwise(fmt(head + "[{k}]< LAST_CALL_FAIL_CAUSE causeCode: {cause} vendorCause: 24{id} [PHONE{ph}]"))
     raw = F.when(F.col("ty") == "click", click).when(F.col("ty") == "view", view).when(F.col("ty") == "purchase", buy).otherwise(fmt("{ts_raw} other"))
     return stage(render(ev, raw))
 
 
-@query("cs_calls")
+def cs_sql(named: bool) -> str:
+    """The calls by one walk over the list of open calls, a row of every dump at a time."""
+    has = "CASE WHEN (ty='click' AND k % 3 = 0) OR (ty='view' AND k % 4 = 0) OR (ty='purchase' AND k % 2 = 0) THEN 'TC@' || CAST(user_id % 40 AS VARCHAR) END" if named else "CAST(NULL AS VARCHAR)"
+    reasons = " ".join(f"WHEN {c} THEN '{C.CALL_FAIL_REASONS[c]}'" for c in (41, 16, 31) if c in C.CALL_FAIL_REASONS)
+    drops = ", ".join(str(c) for c in sorted(C.CALL_DROP_CAUSES))
+    return f"""WITH RECURSIVE {EV.strip()},
+    sec AS (SELECT *, last_value(CASE WHEN ty='click' AND k < 2 THEN 0 WHEN ty='click' AND k < 12 THEN 1 END IGNORE NULLS) OVER (PARTITION BY dump_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS radio FROM ev),
+    e AS (SELECT dump_id, line_no, ts_ms, CAST(user_id % 2 AS VARCHAR) AS slot, {has} AS id, ty='click' AS is_start, ty='purchase' AS is_end, ty='view' AS act, ty='purchase' AND k % 10 >= 5 AS is_cause,
+        CASE WHEN ty='purchase' AND k % 10 >= 5 THEN CASE WHEN k % 10 < 6 THEN 16 ELSE 31 END END AS cause, row_number() OVER (PARTITION BY dump_id ORDER BY line_no) AS n
+      FROM sec WHERE radio = 1 AND (ty IN ('view','purchase') OR (ty='click' AND k >= 12))),
+    st AS (SELECT DISTINCT dump_id, CAST(0 AS BIGINT) AS n, []::BIGINT[] AS calls, []::VARCHAR[] AS ids, CAST(NULL AS BIGINT) AS ended, CAST(NULL AS BIGINT) AS own FROM e
+      UNION ALL SELECT dump_id, n, CASE WHEN is_start THEN list_append(calls, line_no) WHEN is_end AND pos > 0 THEN list_concat(calls[1:pos - 1], calls[pos + 1:]) ELSE calls END,
+        CASE WHEN is_start THEN list_append(ids, coalesce(id, '')) WHEN pos = 0 THEN ids WHEN is_end THEN list_concat(ids[1:pos - 1], ids[pos + 1:]) WHEN id IS NULL THEN ids ELSE list_concat(ids[1:pos - 1], [id], ids[pos + 1:]) END,
+        CASE WHEN is_end AND pos > 0 THEN calls[pos] ELSE ended END, CASE WHEN is_start THEN line_no WHEN pos > 0 THEN calls[pos] WHEN is_cause THEN ended END
+      FROM (SELECT st.calls, st.ids, st.ended, e.*, CASE WHEN is_start THEN 0 WHEN id IS NULL THEN len(calls) ELSE coalesce(nullif(list_position(ids, id), 0), nullif(list_position(ids, ''), 0), 0) END AS pos FROM st JOIN e ON e.dump_id = st.dump_id AND e.n = st.n + 1)),
+    o AS (SELECT e.*, own FROM st JOIN e USING (dump_id, n) WHERE own IS NOT NULL),
+    c AS (SELECT dump_id, own AS line_no, arg_min(slot, line_no) AS slot, arg_min(ts_ms, line_no) AS start_ms, arg_min(ts_ms, line_no) FILTER (is_end) AS end_ms, arg_min(id, line_no) FILTER (id IS NOT NULL) AS id,
+        bool_or(act) AS act, bool_or(is_end) AS has_end, arg_max(cause, line_no) FILTER (cause IS NOT NULL) AS cause, bool_or(cause IS NOT NULL) AS has_cause, count(*) AS events FROM o GROUP BY dump_id, own)
+    SELECT dump_id, 'radio' AS stream, line_no, slot, start_ms, end_ms, CASE WHEN cause IN ({drops}) THEN 'CALL_DROP' WHEN cause = 16 AND NOT act THEN 'CANCELED' WHEN cause IS NOT NULL OR act THEN 'SUCCESS' WHEN has_end THEN 'CALL_DROP' ELSE 'DIALING' END AS status,
+      CAST(cause AS INTEGER) AS cause_code, CASE WHEN has_cause THEN 24 END AS vendor_cause, CASE cause {reasons} ELSE 'Code:' || CAST(cause AS VARCHAR) END AS fail_reason, CAST(events AS BIGINT) AS events{", coalesce(id, 'Unknown_' || CAST(line_no AS VARCHAR)) AS call_id" if named else ""} FROM c"""
+
+
+CS_COLUMNS = ["dump_id", "stream", "line_no", "slot", "start_ms", "end_ms", "status", "cause_code", "vendor_cause", "fail_reason", "events"]
+
+
+@query("cs_calls", cs_sql(False))
 def cs_calls(t):
-    """Circuit-switched calls of a nested, partly broken event stream (checked in the tests)."""
-    return calls.cs_sessions(calls.cs_owned(calls.cs_events(cs_lines(t)))).select(
-        "dump_id", "stream", "line_no", "slot", "start_ms", "end_ms", "status", "cause_code", "vendor_cause", "fail_reason", "events"
-    )
+    """Circuit-switched calls of a nested, partly broken event stream."""
+    return calls.cs_sessions(calls.cs_owned(calls.cs_events(cs_lines(t)))).select(*CS_COLUMNS)
+
+
+@query("cs_interleaved", cs_sql(True))
+def cs_interleaved(t):
+    """Calls of which some rows carry an id: they interleave, close in any order, and ids name calls begun without one."""
+    return calls.cs_sessions(calls.cs_owned(calls.cs_events(cs_lines(t, named=True)))).select(*CS_COLUMNS, "call_id")
+
+
+@query("chosen_calls", f"""WITH s AS (SELECT * REPLACE (CASE WHEN dump_id < 'd4' AND line_no % 3 = 0 THEN 'dump' ELSE 'radio' END AS stream) FROM ({cs_sql(True)}))
+    SELECT * FROM s WHERE stream = 'dump' OR dump_id NOT IN (SELECT dump_id FROM s WHERE stream = 'dump')""")
+def chosen_calls(t):
+    """Sessions of the telecom dump where a dump has any, else those of its radio log."""
+    found = stage(calls.cs_sessions(calls.cs_owned(calls.cs_events(cs_lines(t, named=True)))))
+    stream = F.when((F.col("dump_id") < "d4") & (F.col("line_no") % 3 == 0), "dump").otherwise("radio")
+    return calls.chosen_cs(found.withColumn("stream", stream)).select(*CS_COLUMNS, "call_id")
 
 
 IMS_SQL = f"""WITH {EV}, r AS (SELECT *, CASE WHEN ty IN ('view','purchase','error') THEN user_id % 20 END AS own FROM ev WHERE ty <> 'signup'),

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fleetlog import codes as C
 from fleetlog.functions import any_of, any_of_lower, capture, clean, day_millis, grab, log_millis, log_time
 from fleetlog.functions.timeutil import STAMP
-from fleetlog.operators import carry, carry_from, previous, running_min, running_total
+from fleetlog.extract.callstate import call_lines
+from fleetlog.operators import carry, carry_from, previous
 from fleetlog.session import stage
 
 TC_ID = r"(TC@[a-zA-Z0-9_]+)"
@@ -107,34 +108,9 @@ def cs_events(lines: DataFrame) -> DataFrame:
 
 
 def cs_owned(events: DataFrame) -> DataFrame:
-    """Give every call row the start row (``call_line``) of the call it belongs to.
-
-    With an id: the latest start of that id. Without: the most recent call still open. Open calls
-    nest, so that is bracket matching: the depth is a prefix sum reflected at zero, and the owner of
-    a row at depth d is the last start that reached depth d. A fail cause that finds no open call
-    belongs to the call that ended last.
-    """
-    key = ["dump_id", "stream"]
-    step = F.when(F.col("is_start"), 1).when(F.col("is_end"), -1).otherwise(0)
-    rows = stage(running_total(stage(events), key, ["line_no"], {"s_in": step}).withColumn("step", step))
-    rows = running_min(rows, key, ["line_no"], {"low": F.col("s_in")}, inclusive=False)
-    s_before = F.col("s_in") - F.col("step")
-    depth = s_before - F.least(F.lit(0), F.coalesce("low", F.lit(0)))
-    rows = rows.withColumn("level", F.when(F.col("is_start"), depth + 1).otherwise(depth).cast("bigint")).drop("s_in", "low", "step")
-    rows = stage(rows)
-    start = F.when(F.col("is_start"), F.col("line_no"))
-    rows = carry(rows, [*key, "level"], ["line_no"], {"by_depth": start})
-    rows = rows.withColumn("by_depth", F.when(F.col("level") > 0, F.col("by_depth")))
-    # rows without an id get a key of their own so that they do not meet in one group
-    rows = rows.withColumn("id_key", F.coalesce("call_id", F.concat(F.lit("#"), F.col("line_no").cast("string"))))
-    rows = carry(stage(rows), [*key, "id_key"], ["line_no"], {"by_id": start})
-    rows = rows.withColumn("owner", F.coalesce("by_id", "by_depth"))
-    ended = F.when(F.col("is_end") & F.col("owner").isNotNull(), F.col("owner"))
-    rows = carry(stage(rows), key, ["line_no"], {"last_ended": ended}, inclusive=False)
-    late = F.when(F.col("is_cause"), F.col("last_ended"))
-    return rows.withColumn("call_line", F.coalesce("owner", late)).drop("level", "by_depth", "by_id", "id_key", "owner", "last_ended").where(
-        "call_line is not null"
-    )
+    """Give every call row the start row (``call_line``) of the call it belongs to, by the open calls of its stream."""
+    events = stage(events)
+    return events.join(call_lines(events), ["dump_id", "stream", "line_no"])
 
 
 def cs_sessions(owned: DataFrame) -> DataFrame:
