@@ -34,7 +34,11 @@ def connection_id(p: Column) -> Column:
 
 def bare_reason(text: Column) -> Column:
     """The number of an IMS reason printed without its name."""
-    return grab(text, r"(?i)ImsReasonInfo[\s:(=]*(?:code=[\s:(=]*)?(\d+)")
+    name, marks = "imsreasoninfo", F.lit(" \t:=(")
+    at = F.locate(name, F.lower(text))
+    rest = F.when(at > 0, F.ltrim(F.substring(text, at + len(name), F.lit(80)), marks))
+    rest = F.when(F.lower(F.left(rest, F.lit(5))) == "code=", F.ltrim(F.substring(rest, 6, 80), marks)).otherwise(rest)
+    return grab(rest, r"^(\d+)")
 
 
 def ims_reason(text: Column) -> Column:

@@ -59,6 +59,22 @@ def any_of_lower(c: Column | str, words: list[str] | tuple[str, ...]) -> Column:
     return any_of(F.lower(_col(c)), [w.lower() for w in words])
 
 
+def named_values(c: Column | str, stops: str = r",}\s") -> Column:
+    """The pieces of a text that hold a key and a value, as an array of (key, value); keys in lower case.
+
+    Pieces end at ``stops`` (part of a regex character class); a key ends at its first ``=`` or ``:``, blanks around it do not count.
+    """
+    tight = F.ltrim(F.regexp_replace(_col(c), r"\s*([=:])\s*", "$1"), F.lit("=:"))
+    cuts = F.filter(F.transform(F.split(tight, f"[{stops}]+"), lambda x: F.split(x, "[=:]", 2)), lambda p: F.get(p, 1) != "")
+    return F.transform(cuts, lambda p: F.struct(F.lower(p[0]).alias("key"), p[1].alias("value")))
+
+
+def value_of(pairs: Column | str, *names: str) -> Column:
+    """The first value whose key ends in one of the names (lower case); NULL if none does."""
+    own = F.filter(_col(pairs), lambda p: reduce(or_, [p["key"].endswith(n) for n in names]))
+    return F.get(own, F.lit(0))["value"]
+
+
 def once(c: Column) -> Column:
     """Evaluate an expression once, however often its column is used later.
 
