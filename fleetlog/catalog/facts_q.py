@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fleetlog.catalog.base import EV, c10, query
+from fleetlog.extract import registration
 from fleetlog.facts import correlate, kpi, rollups
 
 HALF_HOUR = 1_800_000
@@ -411,16 +412,57 @@ def satellite_kind(t):
     return rollups.satellite_kind(e.where("ty = 'view' and k > 90"), e.where("ty = 'click' and k > 80"), e)
 
 
+STEPS = """s AS (SELECT dump_id, line_no, 'S' || CAST(k % 3 AS VARCHAR) AS st FROM ev WHERE ty='signup'),
+    c AS (SELECT *, row_number() OVER (PARTITION BY dump_id ORDER BY line_no) AS pos, count(*) OVER (PARTITION BY dump_id) AS total FROM (SELECT *, lag(st) OVER (PARTITION BY dump_id ORDER BY line_no) AS p FROM s) WHERE p IS NULL OR p <> st)"""
+
+
+def registered(t):
+    """All signup rows as polls of a state."""
+    return t.ev().where("ty = 'signup'").select("dump_id", "line_no", F.concat(F.lit("S"), (F.col("k") % 3).cast("string")).alias("state"))
+
+
 @query(
     "registration_flow",
-    f"""WITH {EV}, s AS (SELECT dump_id, line_no, 'S' || CAST(k % 3 AS VARCHAR) AS st FROM ev WHERE ty='signup' AND k < 20),
-    c AS (SELECT * FROM (SELECT *, lag(st) OVER (PARTITION BY dump_id ORDER BY line_no) AS p FROM s) WHERE p IS NULL OR p <> st)
-    SELECT dump_id, string_agg(st, ' -> ' ORDER BY line_no) AS registration_flow FROM c GROUP BY dump_id""",
+    f"""WITH {EV}, {STEPS}
+    SELECT dump_id, concat_ws(' -> ', string_agg(st, ' -> ' ORDER BY pos) FILTER (pos <= 20), CASE WHEN max(total) > 40 THEN '(' || CAST(max(total) - 40 AS VARCHAR) || ' more)' END,
+      string_agg(st, ' -> ' ORDER BY pos) FILTER (pos > 20 AND pos > total - 20)) AS registration_flow, CAST(max(total) AS BIGINT) AS registration_states FROM c GROUP BY dump_id""",
 )
 def registration_flow(t):
-    """Distinct consecutive states as one flow."""
-    s = t.ev().where("ty = 'signup' and k < 20").select("dump_id", "line_no", F.concat(F.lit("S"), (F.col("k") % 3).cast("string")).alias("state"))
-    return kpi.satellite_state(s.select("dump_id").distinct(), s).select("dump_id", "registration_flow")
+    """Distinct consecutive states as one flow of bounded length."""
+    s = registered(t)
+    return kpi.satellite_state(s.select("dump_id").distinct(), s).select("dump_id", "registration_flow", "registration_states")
+
+
+@query("registration_steps", f"""WITH {EV}, {STEPS} SELECT dump_id, CAST(pos AS BIGINT) AS pos, line_no, st AS state FROM c""")
+def registration_steps(t):
+    """Every step of the flows as a row."""
+    return kpi.flow_steps(registered(t)).select("dump_id", "pos", "line_no", "state")
+
+
+@query(
+    "ntn_facts",
+    f"""WITH {EV}, n AS (SELECT dump_id, line_no, k % 7 = 0 AS bad, row_number() OVER (PARTITION BY dump_id ORDER BY line_no) AS p, row_number() OVER (PARTITION BY dump_id, k % 7 = 0 ORDER BY line_no) AS q FROM ev WHERE ty IN ('view', 'click'))
+    SELECT dump_id, CAST(count(*) AS BIGINT) AS ntn_events, CAST(count(*) FILTER (bad) AS BIGINT) AS ntn_errors, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY p) FILTER (p <= 10) AS first_events,
+      string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY q) FILTER (bad AND q <= 10) AS first_errors FROM n GROUP BY dump_id""",
+)
+def ntn_facts(t):
+    """Satellite events of each dump with their errors and the first ten of both."""
+    n = t.ev().where("ty in ('view', 'click')")
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return kpi.ntn_facts(n, F.col("k") % 7 == 0).select("dump_id", "ntn_events", "ntn_errors", joined("first_events"), joined("first_errors"))
+
+
+@query(
+    "registration_context",
+    f"""WITH {EV}, {STEPS}, r AS (SELECT dump_id, line_no, ty || CAST(k AS VARCHAR) AS raw, row_number() OVER (PARTITION BY dump_id ORDER BY line_no) AS n FROM ev WHERE ty IN ('view', 'error', 'signup')),
+    a AS (SELECT c.dump_id, c.line_no, r.n FROM c JOIN r USING (dump_id, line_no))
+    SELECT a.dump_id, a.line_no, CAST(a.n - r.n AS INTEGER) AS back, r.line_no AS context_line, r.raw FROM a JOIN r ON r.dump_id = a.dump_id AND r.n BETWEEN a.n - 15 AND a.n - 1""",
+)
+def registration_context(t):
+    """WF2: the last fifteen retained lines before each change of state."""
+    kept = t.ev().where("ty in ('view', 'error', 'signup')").select("dump_id", "line_no", F.concat("ty", F.col("k").cast("string")).alias("raw"))
+    changes = kpi.flow_steps(registered(t)).withColumn("slot", F.lit("0"))
+    return registration.change_context(changes, kept).select("dump_id", "line_no", "back", "context_line", "raw")
 
 
 @query(
@@ -451,14 +493,16 @@ def ps_facts(t):
 
 @query(
     "recovery_facts",
-    f"""WITH {EV}, s AS (SELECT dump_id, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE k % 2 = 0) AS BIGINT) AS r FROM (SELECT 'u' || CAST(user_id AS VARCHAR) AS dump_id, ty, k FROM ev) WHERE ty='signup' AND k < 5 GROUP BY dump_id)
-    SELECT dump_id, coalesce(n, 0) AS stall_events, coalesce(r, 0) AS recovered, CASE WHEN n IS NULL THEN 'CLEAN' ELSE 'STALLED' END AS state FROM (SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) AS dump_id FROM ev) LEFT JOIN s USING (dump_id)""",
+    f"""WITH {EV}, s AS (SELECT dump_id, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE k % 2 = 0) AS BIGINT) AS r FROM (SELECT 'u' || CAST(user_id AS VARCHAR) AS dump_id, ty, k FROM ev) WHERE ty='signup' GROUP BY dump_id)
+    SELECT dump_id, coalesce(n, 0) AS stall_events, coalesce(r, 0) AS recovered, CASE WHEN n IS NULL THEN 'CLEAN' ELSE 'STALLED' END AS state
+    FROM (SELECT 'u' || CAST(user_id AS VARCHAR) AS dump_id FROM ev UNION SELECT 'u' || CAST(c_custkey AS VARCHAR) FROM customer) LEFT JOIN s USING (dump_id)""",
 )
 def recovery_facts(t):
-    """Stall recovery per dump, or CLEAN."""
+    """Stall recovery per dump, or CLEAN: every signup row is a step, and customers without one are clean owners."""
     e = t.ev().withColumn("dump_id", F.concat(F.lit("u"), F.col("user_id").cast("string")))
-    steps = e.where("ty = 'signup' and k < 5").select("dump_id", F.lit("DATA_STALL_RECOVERY").alias("event_type"), F.when(F.col("k") % 2 == 0, "true").otherwise("false").alias("is_recovered"))
-    return rollups.recovery_facts(steps, e)
+    owners = e.select("dump_id").unionByName(t.customer.select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("dump_id")))
+    steps = e.where("ty = 'signup'").select("dump_id", F.lit("DATA_STALL_RECOVERY").alias("event_type"), F.when(F.col("k") % 2 == 0, "true").otherwise("false").alias("is_recovered"))
+    return rollups.recovery_facts(steps, owners)
 
 
 @query(

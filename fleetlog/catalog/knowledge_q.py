@@ -1,6 +1,9 @@
 """Documents, ingest, routing, retrieval, evaluation, tracker records."""
 
-from pyspark.sql import functions as F
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from fleetlog import docs as D
 from fleetlog import evaluate as E
@@ -9,8 +12,8 @@ from fleetlog.catalog.base import EV, query
 from fleetlog.operators import top_n
 from fleetlog.retrieval import classify, encode, rank, route, templates, verdicts
 from fleetlog.retrieval import words as W
-from fleetlog.session import stage
-from fleetlog.sources import append_new_docs, new_files, save_knowledge
+from fleetlog.session import checkpoint_root, stage
+from fleetlog.sources import append_new_docs, ingest_docs, new_files, read_table, save_knowledge
 
 #: question openings put in front of every conversation turn
 OPENINGS = [
@@ -297,6 +300,26 @@ def ingest_delta(t):
     return stats.join(chars, "dump_id", "left").na.fill(0, ["chars"])
 
 
+@query(
+    "ingest_force",
+    """WITH d AS (SELECT source AS dump_id, doc_id, text, lang, doc_id IN (SELECT doc_id FROM labels) AS early FROM documents WHERE text IS NOT NULL),
+    a AS (SELECT dump_id, count(*) AS n, count(*) FILTER (early) AS e, count(*) FILTER (lang = 'de') AS g FROM d GROUP BY dump_id)
+    SELECT dump_id, 'first' AS run, CAST(e AS BIGINT) AS added, CAST(0 AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS errors, CAST(e AS BIGINT) AS stored FROM a WHERE e > 0
+    UNION ALL SELECT dump_id, 'all', n - e, e, 0, n FROM a UNION ALL SELECT dump_id, 'again', 0, n, 0, n FROM a UNION ALL SELECT dump_id, 'force', g, 0, 0, g FROM a WHERE g > 0""",
+)
+def ingest_force(t):
+    """Labelled documents are stored, then all, then all again, then every dump is replaced by its German ones."""
+    docs = t.documents.where("text is not null").select(F.col("source").alias("dump_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("document"), "lang")
+    early = docs.join(t.labels.select(F.col("doc_id").cast("string").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    root = f"{checkpoint_root(t.spark)}/ingest/{uuid.uuid4().hex}"
+    runs = []
+    for name, rows, force in (("first", early, False), ("all", docs, False), ("again", docs, False), ("force", docs.where("lang = 'de'"), True)):
+        stats = ingest_docs(rows.select(early.columns), root, force=force)
+        stored = read_table(t.spark, root, "store", "dump_id string, doc_id string, document string").groupBy("dump_id").agg(F.count("*").alias("stored"))
+        runs.append(stage(stats.join(stored, "dump_id").select("dump_id", F.lit(name).alias("run"), "added", "skipped", "errors", "stored")))
+    return reduce(DataFrame.unionByName, runs)
+
+
 @query(
     "metadata_scan",
     """SELECT source, CAST(count(*) AS BIGINT) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, bool_and(doc_id IN (SELECT doc_id FROM labels)) AS all_known FROM documents WHERE lang IN ('en', 'de') AND n_chars >= 1000 GROUP BY source""",

@@ -7,11 +7,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fleetlog import codes as C
 from fleetlog.functions import any_of, any_of_lower, clean, grab, log_millis
 from fleetlog.functions.timeutil import STAMP
-from fleetlog.operators import carry_from, change_points, numbered, window_totals
+from fleetlog.operators import carry_from, change_points, numbered, running_total, window_totals
 from fleetlog.session import SPAN_LINES, span, stage
 
 TAG = r"(?i)[VDIWE]\s+([a-zA-Z0-9_\-]+)\s*(?=:)"
 CONTEXT_LINES = 20
+#: retained lines kept with a change
+CONTEXT_ROWS = 15
 
 
 def radio_marks(lines: DataFrame) -> DataFrame:
@@ -82,6 +84,23 @@ def registration_events(states: DataFrame) -> DataFrame:
     return changes.withColumn("event_type", kind).withColumn("reason", reason).drop("v", "d", "prev_v", "prev_d", "rrc", "lost")
 
 
+def change_context(changes: DataFrame, retained: DataFrame, n: int = CONTEXT_ROWS) -> DataFrame:
+    """The last n retained lines before each change: dump_id, slot, line_no (of the change), back (1 is the nearest), context_line, raw.
+
+    Retained lines are numbered once per dump; a change then looks up n positions, so no range is joined.
+    """
+    lines = stage(retained.select("dump_id", "line_no", "raw"))
+    both = lines.select("dump_id", "line_no", F.lit(1).alias("own"), "raw").unionByName(
+        changes.select("dump_id", "line_no").distinct().withColumn("own", F.lit(0)).withColumn("raw", F.lit(None).cast("string"))
+    )
+    # a change's own line, retained or not, comes after it in this count
+    placed = stage(running_total(both, ["dump_id"], ["line_no", "own"], {"pos": F.col("own")}))
+    at = placed.where("own = 0").select("dump_id", "line_no", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("back"), "pos")
+    at = at.select("dump_id", "line_no", "back", (F.col("pos") + 1 - F.col("back")).alias("pos")).where("pos > 0")
+    found = placed.where("own = 1").select("dump_id", "pos", F.col("line_no").alias("context_line"), "raw")
+    return changes.select("dump_id", "slot", "line_no").join(at.join(found, ["dump_id", "pos"]).drop("pos"), ["dump_id", "line_no"])
+
+
 def is_out_of_service() -> Column:
     v, d = F.coalesce("voice_reg", F.lit("")), F.coalesce("data_reg", F.lit(""))
     return (v == "1") | (d == "1") | v.contains("OUT_OF_SERVICE") | d.contains("OUT_OF_SERVICE")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlog.functions import any_of
-from fleetlog.operators import change_points, top_n
+from fleetlog.operators import change_points, ends, numbered, top_n
+from fleetlog.session import stage
+
+#: states that a flow names at either end, satellite events that an answer shows
+FLOW_ENDS, NTN_SHOWN = 20, 10
 
 
 def _list(df: DataFrame, order: list[str], item, name: str, keys=("dump_id",)) -> DataFrame:
@@ -103,10 +107,24 @@ def crash_counts(crashes: DataFrame, native: DataFrame, anrs: DataFrame, binder:
     return c.join(n, "dump_id", "full").join(a, "dump_id", "full").join(b, "dump_id", "full")
 
 
-def satellite_state(metrics: DataFrame, registration: DataFrame) -> DataFrame:
-    """Satellite counters with the order in which registration states were reached."""
-    steps = change_points(registration, ["dump_id"], ["line_no"], ["state"])
-    flow = _list(steps, ["line_no"], F.col("state"), "states").select("dump_id", F.array_join("states", " -> ").alias("registration_flow"))
+def flow_steps(registration: DataFrame) -> DataFrame:
+    """Registration states in the order they were reached: dump_id, pos, line_no, state."""
+    steps = stage(change_points(registration, ["dump_id"], ["line_no"], ["state"]).select("dump_id", "line_no", "state"))
+    return numbered(steps, ["dump_id"], ["line_no"], "pos")
+
+
+def satellite_state(metrics: DataFrame, registration: DataFrame, first: int = FLOW_ENDS, last: int = FLOW_ENDS) -> DataFrame:
+    """Satellite counters with the order in which registration states were reached.
+
+    The flow names the first and the last states and how many lie between; all steps are the rows of :func:`flow_steps`.
+    """
+    steps = stage(change_points(registration, ["dump_id"], ["line_no"], ["state"]).select("dump_id", "line_no", "state"))
+    kept = ends(steps, ["dump_id"], ["line_no"], first, last)
+    part = lambda inside: F.transform(F.array_sort(F.collect_list(F.when(inside, F.struct("pos", "state")))), lambda x: x["state"])
+    lists = kept.groupBy("dump_id").agg(part(F.col("pos") <= first).alias("head"), part(F.col("pos") > first).alias("tail"), F.max("total").alias("states"))
+    between = F.col("states") - F.size("head") - F.size("tail")
+    gap = F.when(between > 0, F.array(F.concat(F.lit("("), between.cast("string"), F.lit(" more)")))).otherwise(F.array().cast("array<string>"))
+    flow = lists.select("dump_id", F.array_join(F.concat("head", gap, "tail"), " -> ").alias("registration_flow"), F.col("states").alias("registration_states"))
     return metrics.join(flow, "dump_id", "left")
 
 
@@ -116,6 +134,15 @@ def nitz_ends(nitz: DataFrame) -> DataFrame:
     )
 
 
+def ntn_facts(ntn: DataFrame, bad: Column, k: int = NTN_SHOWN) -> DataFrame:
+    """Satellite events of a dump: how many, how many ``bad`` ones, and the lines of the first k of either."""
+    marked = stage(ntn.select("dump_id", "line_no", F.coalesce(bad, F.lit(False)).alias("bad")))
+    counts = marked.groupBy("dump_id").agg(F.count("*").alias("ntn_events"), F.count_if("bad").alias("ntn_errors"))
+    shown = _list(top_n(marked, ["dump_id"], [F.col("line_no")], k), ["line_no"], F.col("line_no"), "first_events")
+    wrong = _list(top_n(marked.where("bad"), ["dump_id"], [F.col("line_no")], k), ["line_no"], F.col("line_no"), "first_errors")
+    return counts.join(shown, "dump_id", "left").join(wrong, "dump_id", "left")
+
+
 def ntn_count(ntn: DataFrame) -> DataFrame:
     return ntn.groupBy("dump_id").agg(F.count("*").alias("ntn_events"))
 

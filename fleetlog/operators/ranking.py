@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fleetlog.operators.ordered import numbered
+
 
 def top_n(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None
@@ -28,6 +30,17 @@ def last_per(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     return _edge(df, keys, order, F.max_by)
 
 
+def ends(df: DataFrame, keys: Sequence[str], order: Sequence[str], first: int, last: int, **kw) -> DataFrame:
+    """The first and the last rows per key, with ``pos`` (from 1) and ``total`` of the key.
+
+    Positions are numbered by segments and totals are combined before their shuffle, so a key's rows never meet; what
+    is left is at most ``first + last`` rows a key. ``order`` is as in ``numbered``.
+    """
+    placed = numbered(df, keys, order, "pos", **kw)
+    totals = df.groupBy(*keys).agg(F.count("*").alias("total"))
+    return placed.join(totals, list(keys)).where((F.col("pos") <= first) | (F.col("pos") > F.col("total") - last))
+
+
 def _edge(df, keys, order, pick) -> DataFrame:
     box = pick(F.struct(*df.columns), F.struct(*order)).alias("__row")
     return df.groupBy(*keys).agg(box).select("__row.*")

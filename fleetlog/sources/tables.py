@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from fleetlog.operators import first_per
+from fleetlog.session import stage, unstage
+
+#: folders of a table, by a hash of the dump
+BUCKETS = 256
 
 DEFECT_SCHEMA = (
     "defectCode string, plmTitle string, content string, reason string, countermeasure string, "
@@ -18,14 +22,18 @@ DEFECT_SCHEMA = (
 )
 
 
-def write_table(df: DataFrame, root: str, name: str, batch: str = "0", buckets: int = 256) -> str:
+def dump_bucket(buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64("dump_id"), F.lit(buckets)).cast("int")
+
+
+def write_table(df: DataFrame, root: str, name: str, batch: str = "0", buckets: int = BUCKETS) -> str:
     """Write one domain table below ``<root>/<name>/batch=<batch>``; re-running a batch replaces it.
 
     Folders are hash buckets of ``dump_id``, so their number does not grow with the fleet. The
     rebalance hint lets Spark split a bucket that a hot dump has filled and merge small ones.
     """
     path = os.path.join(root, name, f"batch={batch}")
-    spread = df.withColumn("dump_bucket", F.pmod(F.xxhash64("dump_id"), F.lit(buckets)).cast("int"))
+    spread = df.withColumn("dump_bucket", dump_bucket(buckets))
     spread.hint("rebalance", "dump_bucket").write.mode("overwrite").partitionBy("dump_bucket").parquet(path)
     return path
 
@@ -74,6 +82,34 @@ def append_new_docs(
     return fresh, stats
 
 
+def ingest_docs(incoming: DataFrame, root: str, *, force: bool = False, max_doc_chars: int | None = None) -> DataFrame:
+    """Store documents below ``<root>/store``; counts per dump: dump_id, added, skipped, errors.
+
+    Rows without an id or a dump are errors (a null dump counts under null); rows without text, ids that are stored already, and
+    equal ids of one batch but the first are skipped. Only the folders (hash buckets of dumps) that the batch
+    touches are read or written. ``force`` replaces all that is stored of the batch's dumps: the new content of those folders is
+    written aside and then swapped in by a dynamic partition overwrite, so a reader sees the old or the new folder, and a job that
+    fails leaves the old one. Running a batch again adds nothing; an empty batch changes nothing.
+    """
+    spark, path = incoming.sparkSession, os.path.join(root, "store")
+    batch = stage(incoming.withColumn("dump_bucket", dump_bucket()))
+    sound = batch.where(F.col("doc_id").isNotNull() & F.col("dump_id").isNotNull())
+    touched = [r.dump_bucket for r in sound.select("dump_bucket").distinct().collect()]  # at most BUCKETS numbers
+    # the folder column is not part of what the files hold
+    stored = read_table(spark, root, "store", batch.schema).where(F.col("dump_bucket").isin(touched))
+    fresh, counts = append_new_docs(None if force else stored, sound, force=force, max_doc_chars=max_doc_chars)
+    if force:
+        fresh = fresh.unionByName(stored.join(sound.select("dump_id").distinct(), "dump_id", "left_anti"))
+    content, wrong = stage(fresh), batch.where(F.col("doc_id").isNull() | F.col("dump_id").isNull()).groupBy("dump_id").agg(F.count("*").alias("errors"))
+    # null dumps meet their counts, too
+    stats = stage(counts.withColumn("errors", F.lit(0).cast("bigint")).unionByName(wrong.select("dump_id", F.lit(0).cast("bigint").alias("added"), F.lit(0).cast("bigint").alias("skipped"), "errors")).groupBy("dump_id").agg(*[F.sum(c).alias(c) for c in ("added", "skipped", "errors")]))
+    writer = content.hint("rebalance", "dump_bucket").write.partitionBy("dump_bucket")
+    if touched and not content.isEmpty():
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path) if force else writer.mode("append").parquet(path)
+    unstage(batch, content)
+    return stats
+
+
 def new_files(available: DataFrame, ingested: DataFrame, key: str = "dump_id") -> DataFrame:
     """Files of a folder that are not stored yet."""
     return available.select(key).distinct().join(ingested.select(key), key, "left_anti")
