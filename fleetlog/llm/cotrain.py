@@ -5,7 +5,7 @@ sees what a crawler knows about the page (source, language, length, layout). Bot
 every round each view scores *all* documents, and documents of which it is sure teach the other view. In the
 end both are calibrated on labelled rows that no fit has seen, and their log-odds are combined.
 
-Bounds: a fit uses at most ``MAX_LABELLED`` labelled and ``MAX_TAUGHT`` pseudo-labelled rows per class and
+Bounds: a fit uses at most ``MAX_LABELLED`` labelled rows in all, and ``MAX_TAUGHT`` pseudo-labelled rows per class and
 view, chosen by a hash of their id; models have a fixed size. Scoring covers every document.
 """
 
@@ -15,13 +15,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fleetlog.llm.common import text_of
+from fleetlog.llm.common import lean, text_of
 from fleetlog.llm.shingles import BATCH, mix, word_hashes
-from fleetlog.session import stage
+from fleetlog.session import stage, unstage
 
 MAX_LABELLED, MAX_TAUGHT = 8_000, 1_000
 ROUNDS, SURE = 2, 0.98
@@ -53,9 +52,8 @@ METADATA = SOURCES + LANGS + NUMBERS
 
 def _slot(values: list[str | None], dims: int) -> np.ndarray:
     """A stable slot of every name; null is a name of its own."""
-    codes, names = pd.factorize(np.array([v if v is not None else "\0" for v in values], dtype=object))
-    slots = np.array([int(mix(word_hashes(("." + n).encode("utf-8", "surrogatepass").replace(b" ", b"_"))[1][:1])[0] % np.uint64(dims)) for n in names], dtype=np.int64)
-    return slots[codes]
+    slots = {v: int(mix(word_hashes(("." + ("\0" if v is None else v)).encode("utf-8", "surrogatepass").replace(b" ", b"_"))[1][:1])[0] % np.uint64(dims)) for v in set(values)}
+    return np.array([slots[v] for v in values], dtype=np.int64)
 
 
 def features(texts: list[bytes], sources: list[str | None], langs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,11 +116,11 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Stretches of a batch with their features."""
-    texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
-    for lo in range(0, len(texts), 256):
-        part = slice(lo, lo + 256)
-        yield lo, len(texts[part]), *features(texts[part], batch.column(3).to_pylist()[part], batch.column(4).to_pylist()[part])
+    """Stretches of a batch with their features; texts are taken out of it a stretch at a time."""
+    for lo in range(0, batch.num_rows, 256):
+        part = batch.slice(lo, 256)
+        texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in part.column(2)]
+        yield lo, len(texts), *features(texts, part.column(3).to_pylist(), part.column(4).to_pylist())
 
 
 def score(rows: DataFrame, model: Model) -> DataFrame:
@@ -143,8 +141,8 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, content_score double, metadata_score double, score double")
 
 
-def fetch(rows: DataFrame, wanted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids and features of a bounded set of rows, on the driver, ordered by id."""
+def fetch(rows: DataFrame, wanted: DataFrame) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """(id, hash of the text) and features of a bounded set of rows, on the driver, ordered by both."""
     chosen = rows.join(F.broadcast(wanted), ["doc_id", "text_hash"] if "text_hash" in wanted.columns else "doc_id", "left_semi")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +153,7 @@ def fetch(rows: DataFrame, wanted: DataFrame) -> tuple[np.ndarray, np.ndarray, n
 
     got = chosen.select("doc_id", "text_hash", "text", "source", "lang").mapInArrow(run, "doc_id bigint, text_hash bigint, x binary").toPandas().sort_values(["doc_id", "text_hash"])
     x = np.frombuffer(b"".join(got.x), dtype=np.float32).reshape(-1, CONTENT + METADATA)
-    return got.doc_id.to_numpy(), x[:, :CONTENT], x[:, CONTENT:]
+    return list(zip(got.doc_id.tolist(), got.text_hash.tolist())), x[:, :CONTENT], x[:, CONTENT:]
 
 
 def train(rows: DataFrame, labels: DataFrame, label_id: str, label_col: str, rounds: int, max_labelled: int, max_taught: int, sure: float) -> Model:
@@ -163,28 +161,32 @@ def train(rows: DataFrame, labels: DataFrame, label_id: str, label_col: str, rou
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     truth = {r.doc_id: float(r.y > 0.5) for r in sample.collect()}  # at most max_labelled rows
     spark = rows.sparkSession
-    ids, content, meta = fetch(rows, spark.createDataFrame([(i,) for i in truth], "doc_id bigint"))
-    y = np.array([truth[i] for i in ids])
+    found, content, meta = fetch(rows, spark.createDataFrame([(i,) for i in truth], "doc_id bigint"))
+    ids = np.array([i for i, _ in found], dtype=np.int64)
+    y = np.array([truth[i] for i in ids.tolist()])
     turn = mix(ids.astype(np.uint64) + np.uint64(7)) % np.uint64(HELD_OUT) if len(ids) else np.zeros(0, dtype=np.uint64)
     own, held = turn != 0, turn == 0
     if len(set(y[own])) < 2 or len(set(y[held])) < 2:
         return Model(np.zeros(CONTENT + 1), np.zeros(METADATA + 1), np.zeros(3), float(y.mean()) if len(y) else 1.0)
     model = Model(fit(content[own], y[own]), fit(meta[own], y[own]), np.array([0.5, 0.5, 0.0]))
     for _ in range(rounds):
-        scored = stage(score(rows, model)).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti")  # not those with a label in use
+        all_scores = stage(score(rows, model))
+        scored = all_scores.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti")  # not those with a label in use
         lessons = []
         for view in ("content_score", "metadata_score"):
             for good in (True, False):
                 confident = scored.where(F.col(view) >= sure if good else F.col(view) <= 1 - sure)
                 lessons.append(confident.orderBy(F.xxhash64("doc_id", "text_hash"), "doc_id", "text_hash").limit(max_taught).select("doc_id", "text_hash", F.lit(view).alias("view"), F.lit(float(good)).alias("y")))
         taught = lessons[0].unionByName(lessons[1]).unionByName(lessons[2]).unionByName(lessons[3]).collect()  # at most 4 * max_taught rows
-        pupils = {view: {r.doc_id: r.y for r in taught if r.view == view} for view in ("content_score", "metadata_score")}
+        unstage(all_scores)
+        # a lesson is about one text: an id may stand for several
+        pupils = {view: {(r.doc_id, r.text_hash): r.y for r in taught if r.view == view} for view in ("content_score", "metadata_score")}
         chosen = spark.createDataFrame([(r.doc_id, r.text_hash) for r in taught], "doc_id bigint, text_hash bigint").distinct()
         more, more_content, more_meta = fetch(rows, chosen)
 
         def joined(x: np.ndarray, extra: np.ndarray, teacher: str) -> np.ndarray:
             use = np.array([i in pupils[teacher] for i in more], dtype=bool)
-            said = np.array([pupils[teacher][i] for i in more[use]])
+            said = np.array([pupils[teacher][i] for i in more if i in pupils[teacher]])
             return fit(np.concatenate((x[own], extra[use])), np.concatenate((y[own], said)))
 
         model = Model(joined(content, more_content, "metadata_score"), joined(meta, more_meta, "content_score"), model.combined)
@@ -196,6 +198,7 @@ def train(rows: DataFrame, labels: DataFrame, label_id: str, label_col: str, rou
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", label_id: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """The rows of ``docs``, all columns, that the classifier keeps; scored where they are read, without a shuffle."""
+    lean(docs.sparkSession)
     model = train(_rows(docs, id_col, text_col, source_col, lang_col), labels, label_id, label_col, ROUNDS, MAX_LABELLED, MAX_TAUGHT, SURE)
     least = np.log(keep / (1 - keep))
     places = [docs.columns.index(c) for c in (text_col, source_col, lang_col)]
@@ -226,6 +229,7 @@ def classify(
     labels of both kinds every score is the share of good labels (1 without any). Repeated rows get the same
     score; an empty table gives no rows; other columns are ignored.
     """
+    lean(docs.sparkSession)
     rows = _rows(docs, id_col, text_col, source_col, lang_col)
     model = train(rows, labels, label_id, label_col, rounds, max_labelled, max_taught, sure)
     return score(rows, model).withColumn("kept", F.col("score") >= keep)

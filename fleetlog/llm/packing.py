@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from fleetlog.llm.common import lean
 from fleetlog.session import stage
 
 WINDOW = 2048
@@ -197,6 +198,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     Other columns are ignored. ``with_ids`` adds the ids themselves.
     """
     spark = docs.sparkSession
+    lean(spark)
     cut = stage(pieces(docs, tokenizer_path, window, end_id, id_col, text_col, with_ids))
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most window rows
     placed = best_fit_decreasing(counts, window)

@@ -9,8 +9,8 @@ import numpy as np
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: bytes hashed at once
-CHUNK = 1 << 20
+#: bytes hashed at once: the temporaries of a worker are some sixteen times as large
+CHUNK = 1 << 16
 #: bytes of text that a task works on at once, unless one text is longer
 BATCH = 2 << 20
 
@@ -21,8 +21,8 @@ def _table(seed: int, n: int) -> np.ndarray:
 
 _BYTE = _table(11, 256)
 with np.errstate(over="ignore"):
-    _POWER = np.cumprod(np.full(CHUNK * 2, _ODD, dtype=np.uint64))
-    _INVERSE = np.cumprod(np.full(CHUNK * 2, np.uint64(pow(int(_ODD), -1, 1 << 64)), dtype=np.uint64))
+    _POWER = np.cumprod(np.full(CHUNK, _ODD, dtype=np.uint64))
+    _INVERSE = np.cumprod(np.full(CHUNK, np.uint64(pow(int(_ODD), -1, 1 << 64)), dtype=np.uint64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -34,7 +34,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _words_of(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words in at most 2 * CHUNK bytes."""
+    """Starts and hashes of the words in at most CHUNK bytes."""
     space = _SPACE[buf]
     edge = np.diff(np.concatenate(([True], space, [True])).view(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
@@ -46,31 +46,41 @@ def _words_of(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return starts, mix(h + (ends - starts).astype(np.uint64) * _ODD)
 
 
+def _long_word(buf: np.ndarray, at: int) -> tuple[int, np.uint64]:
+    """End and hash of the word that begins at a place, read in parts: the same hash as that of a short word's rule."""
+    total, shift, to = np.uint64(0), np.uint64(1), at
+    with np.errstate(over="ignore"):
+        while to < len(buf):
+            part = buf[to : to + CHUNK]
+            space = _SPACE[part]
+            n = int(space.argmax()) if space.any() else len(part)
+            total += (_BYTE[part[:n]] * _POWER[:n]).sum(dtype=np.uint64) * shift
+            shift *= _POWER[n - 1] if n else np.uint64(1)
+            to += n
+            if n < len(part):
+                break
+        return to, mix(np.array([total * _INVERSE[0] + np.uint64(to - at) * _ODD]))[0]
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Byte offsets and 64-bit hashes of the words of a byte string (words: runs without ASCII white space)."""
+    """Byte offsets and 64-bit hashes of the words of a byte string (words: runs without ASCII white space).
+
+    Equal words have equal hashes, however long they are and wherever they stand.
+    """
     buf = np.frombuffer(data, dtype=np.uint8)
     if len(buf) <= CHUNK:
         return _words_of(buf)
     at, out = 0, []
     while at < len(buf):
         to = min(at + CHUNK, len(buf))
-        while to < len(buf) and not _SPACE[buf[to]] and to - at < 2 * CHUNK:
-            to += 1
-        if to < len(buf) and not _SPACE[buf[to]]:  # one word longer than a chunk
-            end = to
-            while end < len(buf) and not _SPACE[buf[end]]:
-                end += 1
-            cut = to
-            while cut > at and not _SPACE[buf[cut - 1]]:
-                cut -= 1
-            starts, h = _words_of(buf[at:cut])
-            long = np.uint64(0)
-            for lo in range(cut, end, CHUNK):
-                part = _words_of(buf[lo : min(lo + CHUNK, end)])[1]
-                long = mix(np.array([long], dtype=np.uint64) + part * _ODD)[0]
-            out.append((np.append(starts + at, cut), np.append(h, long)))
-            at = end
-            continue
+        if to < len(buf) and not _SPACE[buf[to]]:  # cut after the last space
+            spaces = np.flatnonzero(_SPACE[buf[at:to]])
+            if not len(spaces):
+                end, h = _long_word(buf, at)
+                out.append((np.array([at]), np.array([h])))
+                at = end
+                continue
+            to = at + int(spaces[-1]) + 1
         starts, h = _words_of(buf[at:to])
         out.append((starts + at, h))
         at = to
