@@ -24,9 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlog.llm.common import text_of
+from fleetlog.llm.common import lean, text_of
 from fleetlog.llm.shingles import batches, mix, shingle_sets
-from fleetlog.session import stage
+from fleetlog.session import stage, unstage
 
 #: words of a shingle, threshold in hundredths
 WORDS, THRESHOLD = 5, 80
@@ -38,6 +38,8 @@ BAND_MISS = 1e-6
 MISS = 1e-9
 #: classes of a block in the second step, and pairs that share one copy of their first member
 BLOCK, CHUNK = 512, 128
+#: room for the number of a band in a bucket's name
+BANDS = 256
 _A = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 62, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _X = np.random.Generator(np.random.PCG64(6)).integers(1, 1 << 63, VALUES, dtype=np.uint64)
 
@@ -116,9 +118,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def buckets(classes: DataFrame, threshold: int) -> DataFrame:
-    """A row per class and band: bucket, band, node, n."""
+    """A row per class and band: bucket (its last eight bits: the band), node, n."""
     bands, rows = layout(threshold)
-    schema = pa.schema([("bucket", pa.int64()), ("band", pa.int32()), ("node", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("bucket", pa.int64()), ("node", pa.int64()), ("n", pa.int32())])
 
     def band(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -129,9 +131,10 @@ def buckets(classes: DataFrame, threshold: int) -> DataFrame:
             with np.errstate(over="ignore"):
                 for r in range(rows):
                     h = mix(h + sig[:, :, r] * _A[r])
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)), pa.array(np.repeat(batch.column(0).to_numpy(), bands)), pa.array(np.repeat(batch.column(1).to_numpy(), bands))], schema=schema)
+            h = h & ~np.uint64(BANDS - 1) | np.arange(bands, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), bands)), pa.array(np.repeat(batch.column(1).to_numpy().astype(np.int32), bands))], schema=schema)
 
-    return classes.select("node", "n", "signature").mapInArrow(band, "bucket bigint, band int, node bigint, n bigint")
+    return classes.select("node", "n", "signature").mapInArrow(band, "bucket bigint, node bigint, n int")
 
 
 def _shipped(pairs: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
@@ -330,17 +333,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     columns are ignored.
     """
     spark = docs.sparkSession
-    signed = stage(signatures(docs, words, id_col, text_col))
-    some = signed.where("n_shingles > 0")
+    lean(spark)
+    whole = stage(signatures(docs, words, id_col, text_col))
+    signed = stage(whole.drop("signature"))
+    some = whole.where("n_shingles > 0")
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "row")
     classes = stage(some.groupBy("set_key", "n_shingles").agg(F.min(order).alias("first"), F.count("*").alias("copies")).select("set_key", "n_shingles", "copies", F.col("first.id").alias("id"), F.col("first.row").alias("node")))
     reps = stage(some.select(F.col("row").alias("node"), "doc_id", "text_hash", "signature").join(classes.select("node", F.col("n_shingles").alias("n")), "node"))
-    banded = buckets(reps, threshold)
+    unstage(whole)
+    banded = buckets(reps, threshold).repartition("bucket")  # dealt out once, counted and kept where it lies
     full = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("low")).where("size > 1")
-    members = stage(banded.join(full, "bucket").select("bucket", "band", "node", "n", "size", F.col("low.node").alias("pivot"), F.col("low.n").alias("pivot_n")))
+    band = F.col("bucket").bitwiseAND(F.lit(BANDS - 1)).cast("int").alias("band")
+    members = stage(banded.join(full, "bucket").select("bucket", band, "node", F.col("n").cast("bigint").alias("n"), "size", F.col("low.node").alias("pivot"), F.col("low.n").cast("bigint").alias("pivot_n")))
     stars = members.where(F.col("node") != F.col("pivot")).where(alike(F.col("n"), F.col("pivot_n"), threshold)).groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.max("size").alias("size"))
     # from here on only classes that share a bucket with another one
+    all_reps = reps
     reps = stage(reps.join(members.select("node").distinct(), "node", "left_semi"))
+    unstage(all_reps)
     active = reps.select("node", "doc_id", "text_hash")
     found = stage(by_signature(stars, reps, threshold))
     repeated = signed.count() > signed.select("doc_id", "text_hash").distinct().count()
@@ -349,10 +358,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     first = stage(by_set(found.join(sized, "a"), sets, threshold))
     labels = components(first) if not first.isEmpty() else _empty(spark, "node bigint, label bigint")
     rest = stage(involved(across(members, labels), reps, threshold))
+    unstage(members, found)
     if not rest.isEmpty():
         second = stage(verified(rest, reps, sets, threshold))
         if not second.isEmpty():
             labels = components(first.unionByName(second))
+    unstage(reps, sets, rest)
     grouped = stage(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     heads = grouped.groupBy("label").agg(F.min(F.struct("id", "node")).alias("head"))
     named = grouped.join(heads, "label").select("set_key", F.col("n_shingles").alias("n"), F.col("head.id").alias("component"), F.col("head.node").alias("head_row"))
