@@ -14,25 +14,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlog.llm import cotrain, mixing, near_dup, packing, secret_scan
 from fleetlog.llm.common import text_of
-from fleetlog.session import prepare, stage
+from fleetlog.session import prepare, stage, unstage
 
 #: stands for a null id where rows are matched
 NO_ID = -(1 << 63)
 
 
+KEYS = ["id", "hash"]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """Documents with the key of their decisions, ``__id`` and ``__hash``."""
-    return docs.withColumns({"__id": F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)), "__hash": F.xxhash64(text_of(docs, "text"))})
+    """id and hash, the key of a document's decisions, and the document itself as ``doc``: its own columns may have any names."""
+    return docs.select(F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_of(docs, "text")).alias("hash"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
 
 
 def decisions(table: DataFrame, *columns) -> DataFrame:
-    return table.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("text_hash").alias("__hash"), *columns)
+    return table.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text_hash").alias("hash"), *columns)
 
 
 def single(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Keyed documents without repeated rows. ``keys``: staged decisions, a row per document."""
-    both = ["__id", "__hash"]
-    return docs.dropDuplicates(both) if keys.count() > keys.select(*both).distinct().count() else docs
+    return docs.dropDuplicates(KEYS) if keys.count() > keys.select(*KEYS).distinct().count() else docs
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,33 +45,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that with the smallest id."""
     found = stage(decisions(near_dup.near_duplicates(docs), "kept_row"))
-    kept = found.where("kept_row").select("__id", "__hash").distinct()
-    return single(keyed(docs), found).join(kept, ["__id", "__hash"], "left_semi").select(*docs.columns)
+    kept = found.where("kept_row").select(*KEYS).distinct()
+    return single(keyed(docs), found).join(kept, KEYS, "left_semi").select("doc.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with secrets that are not widely copied examples replaced by a sign."""
     own = F.filter("marks", lambda m: m["class"] != "example")
-    found = decisions(secret_scan.scan(docs), own.alias("__marks")).where(F.size("__marks") > 0).dropDuplicates(["__id", "__hash"])
-    rows = keyed(docs).join(found, ["__id", "__hash"], "left")
-    text = F.when(F.col("__marks").isNull(), docs["text"]).otherwise(secret_scan.redact(docs["text"], F.col("__marks")))
-    return with_text(rows, text, docs)
+    found = decisions(secret_scan.scan(docs), own.alias("marks")).where(F.size("marks") > 0).dropDuplicates(KEYS)
+    rows = keyed(docs).join(found, KEYS, "left")
+    text = F.col("doc.text")
+    return with_text(rows, F.when(F.col("marks").isNull(), text).otherwise(secret_scan.redact(text, F.col("marks"))), docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, as often as it takes them, in curriculum order; the last copy of a source may be cut."""
     mixed = stage(decisions(mixing.mix(docs), "size", "copies"))
-    taken = mixed.groupBy("__id", "__hash").agg(F.first("size").alias("__size"), F.flatten(F.collect_list("copies")).alias("__copies"))
-    rows = single(keyed(docs), mixed).join(taken, ["__id", "__hash"]).select("*", F.explode("__copies").alias("__copy"))
-    rows = rows.orderBy("__copy.position", "__id", "__hash")
-    return with_text(rows, mixing.cut_to(rows["text"], F.col("__copy.words"), F.col("__size")), docs)
+    taken = mixed.groupBy(*KEYS).agg(F.first("size").alias("size"), F.flatten(F.collect_list("copies")).alias("copies"))
+    rows = single(keyed(docs), mixed).join(taken, KEYS).select(*KEYS, "doc", "size", F.explode("copies").alias("copy"))
+    rows = rows.orderBy("copy.position", *KEYS)
+    return with_text(rows, mixing.cut_to(F.col("doc.text"), F.col("copy.words"), F.col("size")), docs)
 
 
 def with_text(rows: DataFrame, text, docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` with a new text and, where it changed, its number of characters."""
-    made = rows.withColumn("__text", text)
-    n = F.when(F.col("__text").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("__text").cast("bigint")) if "n_chars" in docs.columns else None
-    return made.select(*[F.col("__text").alias(c) if c == "text" else n.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """The columns of ``docs`` (rows: ``doc``) with a new text and, where it changed, its number of characters."""
+    made, new = rows.select("doc", text.alias("text")), F.col("text")
+    n = F.when(new.eqNullSafe(F.col("doc.text")), F.col("doc")["n_chars"]).otherwise(F.length(new).cast("bigint")) if "n_chars" in docs.columns else None
+    return made.select(*[new.alias(c) if c == "text" else n.alias(c) if c == "n_chars" else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,9 +85,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written and read again before the next."""
+    """All stages over ``documents``; each is written and read again before the next, which then replaces it."""
     docs = prepare(spark).read.parquet(os.path.join(sf_dir, "documents.parquet"))
-    for k, (_, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        docs = stage(docs) if k + 1 < len(STAGES) else docs
-    return docs
+    for k, (_, step) in enumerate(STAGES[:-1]):
+        done, docs = docs, stage(step(spark, docs, sf_dir))
+        if k:
+            unstage(done)
+    return STAGES[-1][1](spark, docs, sf_dir)
