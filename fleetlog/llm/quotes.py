@@ -8,12 +8,16 @@ what remains of it without quotes is its turn in the conversation.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlog.llm.common import text_of
 from fleetlog.session import stage
 
-MARKS = r"^(?:[\x20\t]*>)+[\x20\t]?"
+#: quote marks at the start of a line and one blank after the last; no repeated group, which would recurse on a line of nothing but marks
+MARKS = r"^[\x20\t>]*>[\x20\t]?"
+BLANKS = " \t\n\x0b\f\r"
 
 
 def level(line: Column) -> Column:
@@ -26,21 +30,29 @@ def normal(passage: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(passage), r"[\x20\x09-\x0D]+", " "))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is referred to."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def passages(messages: DataFrame) -> DataFrame:
-    """Messages with ``runs``: array of (level, passage), maximal runs of lines of one level."""
+    """Messages with ``runs``: array of (level, passage), maximal runs of lines of one level.
+
+    A run goes from one change of level to the next, so a text costs what its lines cost, however many there are.
+    """
     lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(level(x).alias("level"), F.regexp_replace(x, MARKS, "").alias("line")))
-    none = F.array().cast("array<struct<level:int,lines:array<string>>>")
 
-    def add(runs: Column, x: Column) -> Column:
-        last = F.element_at(runs, -1)
-        longer = F.struct(last["level"].alias("level"), F.concat(last["lines"], F.array(x["line"])).alias("lines"))
-        fresh = F.struct(x["level"].alias("level"), F.array(x["line"]).alias("lines"))
-        same = (F.size(runs) > 0) & (F.get(runs, F.size(runs) - 1)["level"] == x["level"])
-        return F.when(same, F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(longer))).otherwise(F.concat(runs, F.array(fresh)))
+    def cut(lines: Column) -> Column:
+        fresh = lambda i: (i == 0) | (F.get(lines, i)["level"] != F.get(lines, F.greatest(i - 1, F.lit(0)))["level"])
+        return bound(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), fresh), lambda starts: F.transform(starts, lambda at, n: run(lines, starts, at, n)))
+
+    def run(lines: Column, starts: Column, at: Column, n: Column) -> Column:
+        end = F.coalesce(F.get(starts, n + 1), F.size(lines))
+        said = F.transform(F.slice(lines, at + 1, end - at), lambda x: x["line"])
+        return F.struct(F.get(lines, at)["level"].alias("level"), F.array_join(said, "\n").alias("passage"))
 
-    runs = F.aggregate(lines, none, add, lambda r: F.transform(r, lambda x: F.struct(x["level"].alias("level"), F.array_join(x["lines"], "\n").alias("passage"))))
     plain = F.array(F.struct(F.lit(0).alias("level"), F.col("text").alias("passage")))
-    return messages.withColumn("runs", F.when(F.col("text").contains(">"), runs).otherwise(plain))
+    return messages.withColumn("runs", F.when(F.col("text").contains(">"), bound(lines, cut)).otherwise(plain))
 
 
 def digest(passage: Column) -> Column:
@@ -100,7 +112,7 @@ def link(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     )
     runs = passages(own)
     said = F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: r["passage"])
-    body = F.regexp_replace(F.array_join(said, "\n"), r"\A[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
+    body = F.btrim(F.array_join(said, "\n"), F.lit(BLANKS))
     quoted = F.transform(F.filter("runs", lambda r: (r["level"] > 0) & (normal(r["passage"]) != "")), lambda r: parts(r["passage"]))
     rows = stage(runs.select("row", "conv_id", "turn", "role", body.alias("body"), quoted.alias("quoted")))
     asked = rows.where("size(quoted) > 0 and turn is not null").select("row", "conv_id", "turn", F.posexplode("quoted").alias("run", "parts")).select("row", "conv_id", "turn", "run", F.inline("parts"))

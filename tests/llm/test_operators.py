@@ -1,5 +1,6 @@
 """Each operator against brute force or its rules, and on nulls, blanks, long texts, ties, repeats and empty tables."""
 
+import time
 import hashlib
 import math
 import random
@@ -271,6 +272,21 @@ def test_quotes(spark):
     assert quotes.link(df.limit(0)).count() == 0
 
 
+def test_quotes_long_texts(spark):
+    """A hundred thousand changes of level, a line of nothing but marks, rows that repeat."""
+    long = "\n".join(f"> q{i}" if i % 2 else f"line {i}" for i in range(100_000))
+    rows = [(1, 1, "user", "q1\n\nq3"), (1, 2, "user", long), (1, 3, "user", ">" * 200_000 + " q1"), (2, 1, "user", "a"), (2, 2, "user", "> a\nb"), (2, 2, "user", "> a\nb")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    start = time.monotonic()
+    got = quotes.link(df).collect()
+    assert time.monotonic() - start < 60  # rebuilding the list at every line took minutes
+    by = {(r.conv_id, r.turn): r for r in got}
+    assert (by[1, 2].n_quotes, by[1, 2].n_linked, by[1, 2].reply_turn) == (50_000, 2, 1)
+    assert by[1, 2].body == "\n".join(f"line {i}" for i in range(0, 100_000, 2))
+    assert (by[1, 3].n_quotes, by[1, 3].n_linked, by[1, 3].body) == (1, 1, "")
+    assert [(r.reply_turn, r.n_linked, r.body) for r in got if (r.conv_id, r.turn) == (2, 2)] == [(1, 1, "b")] * 2
+
+
 def test_trimmed_quotes(spark):
     rows = [
         (1, 0, "Dear all,\n\nfirst part\n\nsecond part,\nsecond line\nthird line\n\nlast part\nBob"), (1, 1, "short answer\nand more"), (1, 2, "> first part\n>\n> second part,\n> second line\n> third line\nTwo paragraphs"),
