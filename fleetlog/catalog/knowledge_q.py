@@ -10,7 +10,8 @@ from fleetlog import evaluate as E
 from fleetlog import records as R
 from fleetlog.catalog.base import EV, query
 from fleetlog.operators import top_n
-from fleetlog.retrieval import classify, encode, rank, route, templates, verdicts
+from fleetlog.plans.ask import similar_cases
+from fleetlog.retrieval import classify, encode, pruned, rank, route, templates, verdicts
 from fleetlog.retrieval import words as W
 from fleetlog.session import checkpoint_root, stage
 from fleetlog.sources import append_new_docs, ingest_docs, new_files, read_table, save_knowledge
@@ -118,22 +119,46 @@ def route_semantic(t):
     return route.semantic_route(scores).select("question_id", F.array_join("intents", "|").alias("intents"), F.round("top1", 5).alias("top1"), F.round("top2", 5).alias("top2"))
 
 
-@query(
-    "vector_topk",
-    f"""WITH {CENT}, s AS (SELECT ce.label AS question_id, vec_id AS doc_id, row_number() OVER (PARTITION BY ce.label ORDER BY list_distance(v, c), vec_id) AS rank FROM ce JOIN em ON em.label IN (ce.label, (ce.label + 3) % 10))
-    SELECT question_id, doc_id, CAST(rank AS BIGINT) AS rank FROM s WHERE rank <= 7 + question_id""",
-)
-def vector_topk(t):
-    """Exact nearest documents among those that pass the question's filter."""
+TOPK_SQL = f"""WITH {CENT}, s AS (SELECT ce.label AS question_id, vec_id AS doc_id, row_number() OVER (PARTITION BY ce.label ORDER BY list_distance(v, c), vec_id) AS rank FROM ce JOIN em ON em.label IN (ce.label, (ce.label + 3) % 10))
+    SELECT question_id, doc_id, CAST(rank AS BIGINT) AS rank FROM s WHERE rank <= 7 + question_id"""
+
+
+def _topk_sides(t):
     q = _centroids(t).select(
         F.col("label").alias("question_id"), "embedding", F.array(F.col("label").cast("string"), ((F.col("label") + 3) % 10).cast("string")).alias("search_types"), F.lit(None).cast("string").alias("dump_id"),
         F.lit(None).cast("bigint").alias("min_dns_avg"), (F.lit(7) + F.col("label")).cast("int").alias("fetch_k"),
     )
     docs = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding", F.col("label").cast("string").alias("log_type"), F.lit("x").alias("dump_id"), F.lit(0).cast("bigint").alias("dns_avg"))
-    got = encode.nearest(q, docs, 7, filtered=True)
+    return q, docs
+
+
+@query("vector_topk", TOPK_SQL)
+def vector_topk(t):
+    """Exact nearest documents among those that pass the question's filter."""
+    got = encode.nearest(*_topk_sides(t), 7, filtered=True)
     return got.select("question_id", "doc_id", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("pruned_topk", TOPK_SQL)
+def pruned_topk(t):
+    """The same rows by cells that the triangle inequality cannot rule out."""
+    q, docs = _topk_sides(t)
+    found, _ = pruned.nearest_pruned(stage(q), docs, 7, filtered=True, cell_rows=512)
+    return found.select("question_id", "doc_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(
+    "similar_cases",
+    """WITH em AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS question_id, c.vec_id, c.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, c.v), c.vec_id) AS rn FROM em q JOIN em c ON q.vec_id % 50 = 0)
+    SELECT question_id, vec_id AS case_id, 'solution ' || CAST(label AS VARCHAR) AS solution, CAST(rn AS BIGINT) AS rank FROM s WHERE rn <= 2""",
+)
+def similar(t):
+    """The two nearest known cases of every question; queries are the rows whose id 50 divides."""
+    cases = t.embeddings.select(F.col("vec_id").alias("case_id"), F.concat(F.lit("solution "), F.col("label").cast("string")).alias("solution"), "embedding")
+    q = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
+    return similar_cases(q, cases).select("question_id", "case_id", "solution", F.col("rank").cast("bigint").alias("rank"))
+
+
 @query(
     "template_align",
     f"""WITH {CENT}, s AS (SELECT vec_id AS question_id, ce.label AS template_id, list_cosine_similarity(v, c) AS sim, row_number() OVER (PARTITION BY vec_id ORDER BY 1 - list_cosine_similarity(v, c), ce.label) AS rn FROM em, ce)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetlog.extract import power, stall
 from fleetlog.facts import kpi, rollups
-from fleetlog.retrieval import classify, encode, rank, route, verdicts
+from fleetlog.retrieval import classify, encode, pruned, rank, route, verdicts
 from fleetlog.session import stage
 
 
@@ -23,7 +23,11 @@ def answer(questions: DataFrame, docs: DataFrame, top_k: int = 3, semantic: Data
     routed = route.overrides(route.route(questions, semantic))
     plan = route.search_plan(classify.question_filters(routed), top_k).withColumn("embedding", encode.encode("query"))
     plan, docs = stage(plan), stage(docs if "embedding" in docs.columns else embedded(docs))
-    near = encode.nearest(plan, docs, top_k, filtered=True).drop("rank")
+    near = encode.nearest(plan.where("dump_id is not null"), docs, top_k, filtered=True)
+    everywhere = plan.where("dump_id is null")
+    if not everywhere.isEmpty():
+        near = near.unionByName(pruned.nearest_pruned(everywhere, docs, top_k, filtered=True)[0])
+    near = near.drop("rank")
     rows = near.join(docs.select("doc_id", F.col("dump_id").alias("doc_dump"), "log_type", "document", "meta"), "doc_id").join(
         plan.drop("embedding", "log_types", "search_types"), "question_id"
     )
@@ -70,5 +74,5 @@ def fact_rows(t: dict[str, DataFrame]) -> DataFrame:
 def similar_cases(questions: DataFrame, knowledge: DataFrame, k: int = 2) -> DataFrame:
     """The nearest known cases of every question; both sides carry ``embedding``."""
     cases = knowledge.withColumnRenamed("case_id", "doc_id")
-    near = encode.nearest(questions, cases, k)
+    near, _ = pruned.nearest_pruned(questions, cases, k)
     return near.join(cases.drop("embedding"), "doc_id").withColumnRenamed("doc_id", "case_id")

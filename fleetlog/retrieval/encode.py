@@ -127,6 +127,16 @@ def nearest(
         q, d = q.unionByName(left), d.unionByName(right)
     qid, did = questions.schema["question_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
 
+    near = q.groupBy("scope", "qb", "db").cogroup(d.groupBy("scope", "qb", "db")).applyInPandas(
+        comparer(k, metric, filtered), f"question_id {qid}, doc_id {did}, distance double, want int"
+    )
+    ranked = top_n(near, ["question_id"], [F.col("distance"), F.col("doc_id")], max(k, most), "rank")
+    return ranked.where("rank <= want").drop("want")
+
+
+def comparer(k: int, metric: str, filtered: bool):
+    """What a task does with one block of questions and one block of documents: at most ``k`` (``fetch_k``) rows a question."""
+
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
         if len(left) and len(right):
@@ -169,8 +179,4 @@ def nearest(
             return pd.DataFrame({n: [] for n in names})
         return pd.DataFrame({n: np.concatenate(cols) for n, cols in zip(names, zip(*found))})
 
-    near = q.groupBy("scope", "qb", "db").cogroup(d.groupBy("scope", "qb", "db")).applyInPandas(
-        compare, f"question_id {qid}, doc_id {did}, distance double, want int"
-    )
-    ranked = top_n(near, ["question_id"], [F.col("distance"), F.col("doc_id")], max(k, most), "rank")
-    return ranked.where("rank <= want").drop("want")
+    return compare
