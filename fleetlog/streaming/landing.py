@@ -16,6 +16,9 @@ from fleetlog.plans.analysis import analyse, documents
 from fleetlog.sources.lines import DEFAULT_YEAR, read_lines
 from fleetlog.sources.tables import write_artifacts, write_docs
 
+#: what the binary file source gives; a stream has to be told
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def manifest(batch: DataFrame, root: str, batch_id: int) -> list[str]:
     """The file names of a batch, written below ``<root>/manifest`` before anything else.
@@ -32,7 +35,7 @@ def manifest(batch: DataFrame, root: str, batch_id: int) -> list[str]:
 def follow_landing(spark: SparkSession, landing: str, root: str, checkpoint: str, year: int = DEFAULT_YEAR, files_per_batch: int = 10_000, once: bool = True) -> StreamingQuery:
     """Write the domain tables and documents of new files below ``root``, one batch folder each."""
     # one row per file; without its content column this source opens none of them
-    files = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch).load(landing).select("path")
+    files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("maxFilesPerTrigger", files_per_batch).load(landing).select("path")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         paths = manifest(batch, root, batch_id)
