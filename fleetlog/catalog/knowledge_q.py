@@ -10,7 +10,7 @@ from fleetlog import evaluate as E
 from fleetlog import records as R
 from fleetlog.catalog.base import EV, query
 from fleetlog.operators import top_n
-from fleetlog.plans.ask import similar_cases
+from fleetlog.plans.ask import dropped_calls, similar_cases
 from fleetlog.retrieval import classify, encode, pruned, rank, route, templates, verdicts
 from fleetlog.retrieval import words as W
 from fleetlog.session import checkpoint_root, stage
@@ -261,6 +261,22 @@ def verdict_codes(t):
     return verdicts.verdicts(verdicts.evidence(rows))
 
 
+@query(
+    "no_drop_verdicts",
+    f"""WITH {EV}, u AS (SELECT user_id AS question_id, count(*) FILTER (ty = 'error' AND k > 95) AS drops FROM ev GROUP BY user_id)
+    SELECT question_id, CASE WHEN question_id % 3 > 0 AND drops = 0 THEN 'NO_CALL_DROP' END AS verdict FROM u""",
+)
+def no_drop_verdicts(t):
+    """A question whether calls were dropped, against the calls of its own dump; other questions get no such verdict."""
+    e = t.ev().withColumn("dump_id", F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    calls = e.where("ty in ('error', 'click')").select("dump_id", F.when((F.col("ty") == "error") & (F.col("k") > 95), "CALL_DROP").otherwise("SUCCESS").alias("status"))
+    ask = F.when(F.col("user_id") % 3 > 0, "ims call drop 기록 요약").otherwise("plain question")
+    rows = e.select(F.col("user_id").alias("question_id"), ask.alias("query"), "dump_id", F.col("line_no").alias("rank"), F.lit("Call_Session").alias("log_type"), F.create_map(F.lit("status"), F.lit("x")).alias("meta"))
+    asked = rows.select("question_id", "query", "dump_id").distinct()
+    found = verdicts.evidence(rows.drop("dump_id").withColumns(classify.classes(F.lower("query"))))
+    return verdicts.verdicts(found, dropped_calls(asked, calls)).select("question_id", "verdict")
+
+
 @query(
     "followup_context",
     """WITH u AS (SELECT *, last_value(CASE WHEN role='user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM conversations)
