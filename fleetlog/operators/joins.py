@@ -7,7 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlog.operators.ordered import carry, numbered, running_total
-from fleetlog.session import SPAN_MILLIS, span as _span
+from fleetlog.session import SPAN_LINES, SPAN_MILLIS, span as _span
+
+#: segments of the window edges of one crowded instant
+TIES = 64
 
 
 def asof_join(
@@ -36,7 +39,7 @@ def asof_join(
         *keys, at, seq, F.lit(2 if strict else 0).alias("__side"), box.alias("__box")
     )
     both = lhs.unionByName(rhs, allowMissingColumns=True)
-    found = carry(both, keys, [at, "__side", seq], {"__hit": F.col("__box")}, span=width)
+    found = carry(both, keys, [at, "__side", seq], {"__hit": F.col("__box")}, span=width, even=True)
     found = found.where("__side = 1")
     hit = F.col("__hit")
     if tolerance is not None:
@@ -103,8 +106,10 @@ def _edges(targets, points, keys, ident, at, before, after, measures, span) -> D
         .select(*keys, F.col(at).alias("__x"), *[m.cast("bigint").alias(n) for n, m in measures.items()])
         .groupBy(*keys, "__x")
         .agg(*[F.sum(F.coalesce(F.col(n), F.lit(0))).alias(n) for n in measures])
-        .withColumn("__side", F.lit(1))
+        .withColumns({"__side": F.lit(1), "__tie": F.lit(0).cast("bigint")})
     )
+    # edges of one instant are alike: their order is free, and a crowd of them is dealt out by it
+    lines = _span(targets.sparkSession, SPAN_LINES)
     spot = targets.where(F.col(at).isNotNull()).select(*keys, *ids, F.col(at).alias("__t"))
     edges = spot.select(
         *keys,
@@ -115,10 +120,11 @@ def _edges(targets, points, keys, ident, at, before, after, measures, span) -> D
                 F.struct((F.col("__t") + after).alias("__x"), F.lit(2).alias("__side")),
             )
         ),
+        (F.pmod(F.xxhash64(*ids), F.lit(TIES)) * lines).alias("__tie"),
         *[F.lit(0).cast("bigint").alias(m) for m in measures],
     )
     both = edges.unionByName(sums, allowMissingColumns=True)
-    prefix = running_total(both, keys, ["__x", "__side"], {f"__p_{n}": F.col(n) for n in measures}, span=width)
+    prefix = running_total(both, keys, ["__x", "__side", "__tie"], {f"__p_{n}": F.col(n) for n in measures}, span=width, even=True)
     # a window's two edge rows meet again here; ``ident`` makes this a fine-grained key
     return (
         prefix.where("__side <> 1")
@@ -177,7 +183,7 @@ def window_slice(
     columns and ``pos`` (1-based inside the slice).
     """
     width = span or _span(targets.sparkSession, SPAN_MILLIS)
-    pts = numbered(points.where(F.col(at).isNotNull()), keys, [at, seq], "__n", span=width)
+    pts = numbered(points.where(F.col(at).isNotNull()), keys, [at, seq], "__n", span=width, even=True)
     ids = [c for c in ident if c not in keys]
     edges = _edges(targets, points, keys, ident, at, before, after, {"c": F.lit(1)}, width)
     lo, hi = F.col("lo_c") + 1, F.col("hi_c")

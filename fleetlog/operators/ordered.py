@@ -13,7 +13,8 @@ The heavy shuffle is by ``(key, segment)``, so a hot key spreads over many tasks
 window sees one row per segment instead of one per line. Results equal the plain window.
 
 ``order`` is a list of column names; the first is an integer (line number, sequence number or
-epoch milliseconds). Keys must not be NULL.
+epoch milliseconds). Keys must not be NULL. Where the first one may crowd (times), ``even`` segments
+hold about equal numbers of rows (``operators/segments.py``).
 """
 
 from __future__ import annotations
@@ -22,14 +23,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fleetlog.operators.segments import SEG as _SEG, segmented
 from fleetlog.session import SPAN_LINES, span as _span
 
-_SEG = "__seg"
 
-
-def _segment(df: DataFrame, order: Sequence[str], span: int | None) -> DataFrame:
-    width = span or _span(df.sparkSession, SPAN_LINES)
-    return df.withColumn(_SEG, F.floor(F.col(order[0]) / F.lit(width)).cast("bigint"))
+def _segment(df: DataFrame, keys: Sequence[str], order: Sequence[str], span: int | None, even: bool) -> DataFrame:
+    return segmented(df, keys, order, span or _span(df.sparkSession, SPAN_LINES), even)
 
 
 def _join_back(rows: DataFrame, heads: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -45,12 +44,13 @@ def carry(
     inclusive: bool = True,
     backward: bool = False,
     span: int | None = None,
+    even: bool = False,
 ) -> DataFrame:
     """Add, per name, the last non-NULL value up to the row (``backward``: the next one after it).
 
-    ``inclusive`` says whether the row's own value counts.
+    ``inclusive`` says whether the row's own value counts. ``even`` cuts crowded spans into equal parts.
     """
-    work = _segment(df, order, span)
+    work = _segment(df, keys, order, span, even)
     for name, value in values.items():
         work = work.withColumn(f"__v_{name}", value)
     pick = F.min_by if backward else F.max_by
@@ -113,11 +113,12 @@ def running_total(
     *,
     inclusive: bool = True,
     span: int | None = None,
+    even: bool = False,
 ) -> DataFrame:
     """Add prefix sums per key (0 where nothing came before)."""
     zero = F.lit(0)
     return _running(
-        df, keys, order, amounts, F.sum, lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero), inclusive, span
+        df, keys, order, amounts, F.sum, lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero), inclusive, span, even
     )
 
 
@@ -129,13 +130,14 @@ def running_min(
     *,
     inclusive: bool = True,
     span: int | None = None,
+    even: bool = False,
 ) -> DataFrame:
     """Add prefix minima per key (NULL where nothing came before)."""
-    return _running(df, keys, order, amounts, F.min, F.least, inclusive, span)
+    return _running(df, keys, order, amounts, F.min, F.least, inclusive, span, even)
 
 
-def _running(df, keys, order, amounts, fold, combine, inclusive, span) -> DataFrame:
-    work = _segment(df, order, span)
+def _running(df, keys, order, amounts, fold, combine, inclusive, span, even) -> DataFrame:
+    work = _segment(df, keys, order, span, even)
     for name, amount in amounts.items():
         work = work.withColumn(f"__v_{name}", amount)
     parts = work.groupBy(*keys, _SEG).agg(*[fold(f"__v_{n}").alias(f"__t_{n}") for n in amounts])

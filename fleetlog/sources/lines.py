@@ -92,7 +92,7 @@ def merge_lines(files: Sequence[DataFrame], dump_id: str | None = None) -> DataF
     Lines without a time prefix stay behind the line they follow (their last time is carried
     forward), so section headers and stack lines keep their place. Adds ``ts_raw``, ``file_ord``,
     ``src_line_no`` and the merged 0-based ``line_no``. A file's lines before its first time keep
-    to its front.
+    to its front. The stamped lines are staged; bursts and files without times are cut into even segments.
     """
     parts = [f.withColumn("file_ord", F.lit(i)) for i, f in enumerate(files)]
     both = parts[0]
@@ -103,9 +103,9 @@ def merge_lines(files: Sequence[DataFrame], dump_id: str | None = None) -> DataF
         both = both.withColumn("dump_id", F.lit(dump_id))
     stamped = both.withColumn("ts_raw", grab("raw", "^" + STAMP))
     stamped = carry(stamped, ["dump_id", "src_dump", "file_ord"], ["line_no"], {"key": F.col("ts_raw")})
-    stamped = stamped.withColumn("key_ms", F.coalesce(log_millis("key", F.col("year")), F.lit(0)))
+    stamped = stage(stamped.withColumn("key_ms", F.coalesce(log_millis("key", F.col("year")), F.lit(0))))
     order = ["key_ms", "file_ord", "line_no"]
-    out = numbered(stamped, ["dump_id"], order, "seq", span=span(both.sparkSession, SPAN_MILLIS))
+    out = numbered(stamped, ["dump_id"], order, "seq", span=span(both.sparkSession, SPAN_MILLIS), even=True)
     return out.select(
         "dump_id", (F.col("seq") - 1).alias("merged_no"), "year", "raw", "ts_raw", "file_ord",
         F.col("line_no").alias("src_line_no"),
