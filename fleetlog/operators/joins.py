@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlog.operators.ordered import carry, numbered, running_total
-from fleetlog.session import SPAN_LINES, SPAN_MILLIS, span as _span
+from fleetlog.session import SPAN_LINES, SPAN_MILLIS, span as _span, stage
 
 #: segments of the window edges of one crowded instant
 TIES = 64
@@ -123,7 +123,8 @@ def _edges(targets, points, keys, ident, at, before, after, measures, span) -> D
         (F.pmod(F.xxhash64(*ids), F.lit(TIES)) * lines).alias("__tie"),
         *[F.lit(0).cast("bigint").alias(m) for m in measures],
     )
-    both = edges.unionByName(sums, allowMissingColumns=True)
+    # read three times: to count, for what segments hand on, and for the rows
+    both = stage(edges.unionByName(sums, allowMissingColumns=True))
     prefix = running_total(both, keys, ["__x", "__side", "__tie"], {f"__p_{n}": F.col(n) for n in measures}, span=width, even=True)
     # a window's two edge rows meet again here; ``ident`` makes this a fine-grained key
     return (

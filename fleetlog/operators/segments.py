@@ -16,7 +16,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from fleetlog.session import SPAN_LINES, span as _span, stage, unstage
+from fleetlog.session import SPAN_LINES, span as _span, stage
 
 SEG = "__seg"
 #: parts of one crowded segment at most, a power of two; beyond that many full segments the parts grow
@@ -31,11 +31,11 @@ def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: i
     if not even:
         return work
     full = _span(df.sparkSession, SPAN_LINES)
-    crowded = stage(work.where(F.col(SEG).isNotNull()).groupBy(*keys, SEG).agg(F.count("*").alias("__n")).where(F.col("__n") > full))
-    if crowded.isEmpty():
-        unstage(crowded)
+    counts = work.where(F.col(SEG).isNotNull()).groupBy(*keys, SEG).agg(F.count("*").alias("__n"))
+    if (counts.agg(F.max("__n")).first()[0] or 0) <= full:
         return work
-    return _cut(work, keys, order, full, stage(_cuts(work.join(crowded, [*keys, SEG]), keys, order[0], full)))
+    rows = work.join(counts.where(F.col("__n") > full), [*keys, SEG])
+    return _cut(work, keys, order, full, stage(_cuts(rows, keys, order[0], full)))
 
 
 def _cuts(rows: DataFrame, keys: Sequence[str], at: str, full: int) -> DataFrame:
