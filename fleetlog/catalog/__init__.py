@@ -5,7 +5,7 @@ grammar (``render.py``), run the real extractor over all of them, and compare wi
 the structured columns.
 """
 
-from fleetlog.catalog import docs_q, facts_q, extract_q, knowledge_q, lines_q, ordered_q, sessions_q, stall_q  # noqa: F401
+from fleetlog.catalog import ask_q, docs_q, facts_q, extract_q, knowledge_q, lines_q, ordered_q, sessions_q, stall_q  # noqa: F401
 from fleetlog.catalog.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from fleetlog.extract import power, stall
@@ -46,29 +49,60 @@ def dropped_calls(questions: DataFrame, calls: DataFrame) -> DataFrame:
     return asked.join(counts, "scope", "left").select("question_id", F.coalesce("n", F.lit(0)).alias("dropped_calls"))
 
 
-def fact_rows(t: dict[str, DataFrame]) -> DataFrame:
-    """Facts by the name questions ask for them: ``(tool, dump_id, fact)``, the fact as JSON."""
-    by_tool = {
-        "get_cs_call_analytics": rollups.cs_facts(t["call_sessions"]),
-        "get_ps_ims_call_analytics": rollups.ps_facts(t["call_sessions"]),
-        "get_network_oos_analytics": t["oos_causes"],
-        "get_dns_latency_analytics": kpi.dns_latency(t["dns_queries"], t["net_perf"], t["dns_issues"]),
-        "get_data_stall_and_recovery_analytics": rollups.recovery_facts(t["data_calls"], t["dumps"]),
-        "get_datacall_setup_analytics": rollups.setup_failures(t["data_calls"]),
-        "get_internet_stall_analytics": stall.stall_kpi(t["stall_timeline"], t["stall_windows"], t["stall_causes"]),
-        "get_recent_data_usage_analytics": rollups.recent_usage(t["data_usage"]),
-        "get_radio_power_analytics": power.power_transitions(t["radio_power"]),
-        "get_crash_anr_analytics": kpi.crash_counts(t["java_crashes"], t["native_crashes"], t["anrs"], t["binder_events"]),
-        "get_binder_warning_analytics": rollups.binder_facts(t["binder_events"]),
-        "get_battery_thermal_analytics": kpi.heat(t["thermal"], t["wakelocks"], t["cpu_usage"]),
-        "get_ntn_spacex_analytics": kpi.ntn_count(t["ntn_events"]),
-        "get_tiantong_satellite_analytics": kpi.satellite_state(t["sat_metrics"], t["sat_registration"]),
-    }
-    parts = [df.select(F.lit(tool).alias("tool"), "dump_id", F.to_json(F.struct(*[c for c in df.columns if c != "dump_id"])).alias("fact")) for tool, df in by_tool.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+#: tool -> (the fact, the tables it is computed from)
+FACTS: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
+    "get_cs_call_analytics": (rollups.cs_facts, ("call_sessions",)),
+    "get_ps_ims_call_analytics": (rollups.ps_facts, ("call_sessions",)),
+    "get_network_oos_analytics": (lambda causes: causes, ("oos_causes",)),
+    "get_dns_latency_analytics": (kpi.dns_latency, ("dns_queries", "net_perf", "dns_issues")),
+    "get_data_stall_and_recovery_analytics": (rollups.recovery_facts, ("data_calls", "dumps")),
+    "get_datacall_setup_analytics": (rollups.setup_failures, ("data_calls",)),
+    "get_internet_stall_analytics": (stall.stall_kpi, ("stall_timeline", "stall_windows", "stall_causes")),
+    "get_recent_data_usage_analytics": (rollups.recent_usage, ("data_usage",)),
+    "get_radio_power_analytics": (power.power_transitions, ("radio_power",)),
+    "get_crash_anr_analytics": (kpi.crash_counts, ("java_crashes", "native_crashes", "anrs", "binder_events")),
+    "get_binder_warning_analytics": (rollups.binder_facts, ("binder_events",)),
+    "get_battery_thermal_analytics": (kpi.heat, ("thermal", "wakelocks", "cpu_usage")),
+    "get_ntn_spacex_analytics": (kpi.ntn_count, ("ntn_events",)),
+    "get_tiantong_satellite_analytics": (kpi.satellite_state, ("sat_metrics", "sat_registration")),
+}
+
+
+def fact_rows(t: Mapping[str, DataFrame], asked: DataFrame | None = None) -> DataFrame:
+    """Facts by the name questions ask for them: ``(tool, dump_id, fact)``, the fact as JSON.
+
+    ``asked(tool, dump_id)`` leaves out tools that nobody asks for and cuts every table to the asked dumps before a fact is
+    computed from it; a NULL dump asks for all of them. Unknown tools give nothing. Without ``asked`` all facts of all dumps.
+    """
+    tools = dict.fromkeys(FACTS)
+    if asked is not None:
+        asked = stage(asked.where(F.col("tool").isin(list(FACTS))).distinct())
+        # at most as many rows as there are tools: True where every dump is wanted
+        found = asked.groupBy("tool").agg(F.count_if(F.col("dump_id").isNull()).alias("all")).collect()
+        tools = {r.tool: None if r["all"] else asked.where(F.col("tool") == r.tool).select("dump_id") for r in found}
+    parts = []
+    for tool in sorted(tools):
+        fact, needs = FACTS[tool]
+        dumps = tools[tool]
+        df = fact(*[t[n] if dumps is None else t[n].join(dumps, "dump_id", "left_semi") for n in needs])
+        parts.append(df.select(F.lit(tool).alias("tool"), "dump_id", F.to_json(F.struct(*[c for c in df.columns if c != "dump_id"])).alias("fact")))
+    if not parts:
+        return asked.sparkSession.createDataFrame([], "tool string, dump_id string, fact string")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def facts_for(questions: DataFrame, t: Mapping[str, DataFrame]) -> DataFrame:
+    """The facts every question's route asks for: ``questions(question_id, dump_id, tools)`` -> ``(question_id, tool, dump_id, fact)``.
+
+    A question without a dump gets the facts of all dumps. Repeated questions get their facts once each time.
+    """
+    asks = stage(questions.select("question_id", "dump_id", F.explode("tools").alias("tool")))
+    facts = fact_rows(t, asks.select("tool", "dump_id"))
+    own = asks.where("dump_id is not null").join(facts, ["tool", "dump_id"]).select("question_id", "tool", "dump_id", "fact")
+    everywhere = asks.where("dump_id is null").drop("dump_id")
+    if everywhere.isEmpty():
+        return own
+    return own.unionByName(everywhere.join(facts, "tool").select("question_id", "tool", "dump_id", "fact"))
 
 
 def similar_cases(questions: DataFrame, knowledge: DataFrame, k: int = 2) -> DataFrame:

@@ -110,6 +110,45 @@ def ingest_docs(incoming: DataFrame, root: str, *, force: bool = False, max_doc_
     return stats
 
 
+def write_paged(docs: DataFrame, path: str, key: str = "doc_id", files: int | None = None) -> None:
+    """Write a table for reading page by page: files are ranges of ``key``, sorted inside, and ``<path>/index`` holds
+    each file's least and greatest key and its number of rows.
+
+    ``key`` must be unique for whole pages; rows without one are left out, as no page could be continued behind them.
+    """
+    spark = docs.sparkSession
+    keyed = docs.where(F.col(key).isNotNull())
+    ranged = keyed.repartitionByRange(files, key) if files else keyed.repartitionByRange(key)
+    rows = os.path.join(path, "rows")
+    ranged.sortWithinPartitions(key).write.mode("overwrite").parquet(rows)
+    stored = spark.read.schema(docs.schema).parquet(rows)
+    held = stored.groupBy(F.substring_index("_metadata.file_path", "/", -1).alias("file")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count("*").alias("n"))
+    held.coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "index"))
+
+
+def page(spark: SparkSession, path: str, n: int, after: object = None, key: str = "doc_id") -> tuple[DataFrame, int]:
+    """The next ``n`` rows behind key ``after`` (None: from the start) in key order, and how many files are read for them.
+
+    Files whose greatest key lies behind ``after`` are taken in order until they are sure to hold ``n`` rows: the first of them may
+    have given some of its rows already and does not count. Inside a file the filter skips row groups.
+    """
+    index = spark.read.parquet(os.path.join(path, "index"))
+    ahead = index if after is None else index.where(F.col("hi") > F.lit(after))
+    # each file but the first holds a row at least, so n + 1 files suffice
+    files = ahead.orderBy("lo").limit(n + 1).collect()
+    wanted, sure = [], 0
+    for f in files:
+        if sure >= n:
+            break
+        wanted.append(os.path.join(path, "rows", f.file))
+        sure += f.n if after is None or f.lo > after else 0
+    stored = spark.read.parquet(os.path.join(path, "rows"))
+    rows = spark.read.schema(stored.schema).parquet(*wanted) if wanted else stored.where("false")
+    if after is not None:
+        rows = rows.where(F.col(key) > F.lit(after))
+    return rows.orderBy(key).limit(n), len(wanted)
+
+
 def new_files(available: DataFrame, ingested: DataFrame, key: str = "dump_id") -> DataFrame:
     """Files of a folder that are not stored yet."""
     return available.select(key).distinct().join(ingested.select(key), key, "left_anti")
