@@ -223,8 +223,8 @@ def boosted_rank(t):
     q = route.search_plan(q.withColumn("log_types", F.array().cast("array<string>"))).withColumn("search_types", F.array().cast("array<string>")).withColumn("dump_id", F.lit(None).cast("string")).withColumn("min_dns_avg", F.lit(None).cast("bigint"))
     q, docs = stage(q), stage(docs)
     docs2 = docs.withColumn("dump_id", F.lit("x")).withColumn("dns_avg", F.lit(0).cast("bigint"))
-    near = encode.nearest(q, docs2, 16, filtered=True).drop("rank")
-    rows = stage(near.join(docs.drop("embedding"), "doc_id").join(q.drop("embedding", "dump_id"), "question_id"))
+    near = stage(encode.nearest(q, docs2, 16, filtered=True).drop("rank"))
+    rows = near.join(docs.drop("embedding"), "doc_id").join(q.drop("embedding", "dump_id"), "question_id")
     return rank.ranked(rank.scored(rows)).select("question_id", "doc_id", "log_type", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 

@@ -12,8 +12,10 @@ from pyspark.sql.types import ArrayType, DoubleType, FloatType
 from fleetlog.operators import top_n
 
 DIM = 256
-#: rows per block on either side of a vector comparison
-DOC_BLOCK, QUESTION_BLOCK = 20_000, 500
+#: rows per block on either side of a vector comparison, and questions of a block compared at once
+DOC_BLOCK, QUESTION_BLOCK, QUESTION_ROWS = 20_000, 8_000, 500
+#: rows of a cell, where questions about all dumps and documents both fill several blocks
+CELL_ROWS = 4_096
 #: characters encoded at once, unless one text is longer
 TEXT_CHARS = 1 << 20
 
@@ -93,6 +95,10 @@ def nearest(
     ``min_dns_avg`` (NULL = no test) and docs carry ``log_type``, ``dump_id`` and ``dns_avg``; ``k``
     may then be overridden per question by ``fetch_k``. A question about one dump meets that dump's
     documents only: both sides are joined by dump, and documents of dumps nobody asks about stay out.
+
+    Where questions about all dumps and documents both fill several blocks, each side would be copied for every block of the
+    other. There (metric ``l2``) the search goes through cells, see ``pruned``: it finds the same rows, and leaves out vectors that hold
+    a null or a number that is not finite.
     """
     extra_q = ["search_types", "dump_id", "min_dns_avg", "fetch_k"] if filtered else []
     extra_d = ["log_type", "dump_id", "dns_avg"] if filtered else []
@@ -110,9 +116,15 @@ def nearest(
 
     most = questions.agg(F.max("fetch_k")).first()[0] or k if filtered else k
     sides = []
-    n_free = q.where("scope is null").count()
-    if n_free:
-        n_q, n_doc = -(-n_free // question_block), max(1, -(-docs.count() // doc_block))
+    n_free, free = q.where("scope is null").count(), None
+    n_q, n_doc = -(-n_free // question_block), max(1, -(-docs.count() // doc_block)) if n_free else 1
+    if n_q > 1 and n_doc > 1 and metric == "l2":
+        from fleetlog.retrieval.pruned import nearest_pruned  # compares by this module's blocks
+
+        all_dumps = questions.where("dump_id is null") if filtered else questions
+        free = nearest_pruned(all_dumps, docs, k, filtered=filtered, cell_rows=min(doc_block, CELL_ROWS), question_block=question_block, doc_block=doc_block, with_want=True)[0]
+        q = q.where("scope is not null")
+    elif n_free:
         sides.append(dealt(q.where("scope is null").withColumn("scope", F.lit("all")), d.withColumn("scope", F.lit("all")), F.lit(n_q).cast("bigint"), F.lit(n_doc).cast("bigint")))
     if filtered:
         asked = q.where("scope is not null").groupBy("scope").agg(blocks(F.count("*"), question_block).alias("n_q"))
@@ -130,12 +142,15 @@ def nearest(
     near = q.groupBy("scope", "qb", "db").cogroup(d.groupBy("scope", "qb", "db")).applyInPandas(
         comparer(k, metric, filtered), f"question_id {qid}, doc_id {did}, distance double, want int"
     )
+    near = near if free is None else near.unionByName(free.drop("rank"))
     ranked = top_n(near, ["question_id"], [F.col("distance"), F.col("doc_id")], max(k, most), "rank")
     return ranked.where("rank <= want").drop("want")
 
 
 def comparer(k: int, metric: str, filtered: bool):
-    """What a task does with one block of questions and one block of documents: at most ``k`` (``fetch_k``) rows a question."""
+    """What a task does with one block of questions and one block of documents: at most ``k`` (``fetch_k``) rows a question.
+
+    Questions may carry ``within``, a distance (null: none) beyond which rows are of no use."""
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
@@ -145,9 +160,8 @@ def comparer(k: int, metric: str, filtered: bool):
             if metric == "cosine":
                 a = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
                 b = b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
-                dist = 1.0 - a @ b.T
             else:
-                dist = np.maximum((a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None, :], 0.0)
+                squares = (b * b).sum(1)[None, :]
             ids = right["doc_id"].to_numpy()
             if filtered:
                 # compare small integer codes per question instead of strings
@@ -156,7 +170,12 @@ def comparer(k: int, metric: str, filtered: bool):
                 type_of = {n: c for c, n in enumerate(type_names)}
                 dump_of = {n: c for c, n in enumerate(dump_names)}
                 avg = right["dns_avg"].to_numpy(dtype=np.float64, na_value=np.nan)
-            for i, row in enumerate(left.itertuples(index=False)):
+            within = left["within"].to_numpy(dtype=np.float64, na_value=np.nan) if "within" in left else np.full(len(left), np.nan)
+            for n, row in enumerate(left.itertuples(index=False)):
+                i = n % QUESTION_ROWS
+                if i == 0:
+                    part = a[n : n + QUESTION_ROWS]
+                    dist = 1.0 - part @ b.T if metric == "cosine" else np.maximum((part * part).sum(1)[:, None] - 2 * part @ b.T + squares, 0.0)
                 keep = np.ones(len(ids), dtype=bool)
                 want = k
                 if filtered:
@@ -167,6 +186,8 @@ def comparer(k: int, metric: str, filtered: bool):
                         keep &= dump_code == dump_of.get(row.dump_id, -2)
                     if row.min_dns_avg is not None and not pd.isna(row.min_dns_avg):
                         keep &= avg >= row.min_dns_avg
+                if not np.isnan(within[n]):
+                    keep &= dist[i] <= within[n]
                 where = np.flatnonzero(keep)
                 if len(where) > want:
                     # drop what is farther than the want-th distance before sorting; ties stay

@@ -142,9 +142,10 @@ def _rules() -> list[tuple[str, Column, Column, Column | None, bool]]:
 def ranked(scores: DataFrame) -> DataFrame:
     """The final ``top_k`` documents per question with forced evidence in front: adds ``rank``."""
     per = Window.partitionBy("question_id")
-    rows = scores.withColumn("base", F.row_number().over(per.orderBy(F.col("score").desc(), "doc_id")))
+    # the texts are tested first, so that the windows carry only what the caller keeps
     tests = [x for _, active, cand, sat, _ in _rules() for x in (active, cand, sat if sat is not None else F.lit(False))]
-    rows = rows.select("*", once(F.array(*[F.coalesce(x, F.lit(False)) for x in tests])).alias("__t"))
+    rows = scores.select("*", once(F.array(*[F.coalesce(x, F.lit(False)) for x in tests])).alias("__t"))
+    rows = rows.withColumn("base", F.row_number().over(per.orderBy(F.col("score").desc(), "doc_id")))
     rules = [
         (name, F.col("__t")[3 * i], F.col("__t")[3 * i + 1], F.col("__t")[3 * i + 2] if sat is not None else None, every)
         for i, (name, _, _, sat, every) in enumerate(_rules())

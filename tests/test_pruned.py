@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlog.retrieval.pruned import nearest_pruned
+from fleetlog.retrieval import encode, pruned
+from fleetlog.retrieval.pruned import deal, nearest_pruned
 
 
 def plain(questions, docs, k):
@@ -61,3 +62,25 @@ def test_pruned_without_rows(spark):
     q = d.withColumnRenamed("doc_id", "question_id")
     assert nearest_pruned(q, d.limit(0), 3)[0].count() == 0 and nearest_pruned(q.limit(0), d, 3)[0].count() == 0
     assert got(nearest_pruned(q, d, 3)[0]) == {1: [1]}
+
+
+def test_cells_are_sent_once_per_block_of_their_own_questions(spark):
+    """Each of 20 cells is asked by 50 of 1000 questions, so with blocks of 60 every row is sent once, not 17 times."""
+    stored = spark.range(4000).selectExpr("id as doc_id", "cast(id % 21 as int) as slot", "0 as db")  # nobody asks for the last cell
+    pairs = spark.range(1000).selectExpr("id as question_id", "array(1.0D) as v", "cast(id % 20 as int) as slot")
+    left, right = deal(pairs, stored, F.array(*[F.lit(1)] * 21), 21, 60)
+    assert left.count() == 1000 and right.count() == stored.where("slot < 20").count()
+    hot_left, hot_right = deal(pairs.withColumn("slot", F.lit(3)), stored, F.array(*[F.lit(1)] * 21), 21, 60)
+    assert hot_right.count() == 17 * stored.where("slot = 3").count() and hot_left.select("qb").distinct().count() == 17
+
+
+def test_search_in_all_dumps_goes_through_cells(spark, monkeypatch):
+    """Several blocks on both sides: cells are read, not all pairs; vectors that are not whole take no part."""
+    docs = clustered(600)
+    questions = [(i, v) for i, v in docs if i % 7 == 0]
+    sent, plain_deal = [], pruned.deal
+    monkeypatch.setattr(pruned, "deal", lambda *a: [sent.append(x[1].count()) or x for x in [plain_deal(*a)]][0])
+    d = spark.createDataFrame(docs + [(9000, [float("nan")] * 8), (9001, None), (9002, [None] * 8)], "doc_id long, embedding array<double>")
+    q = spark.createDataFrame(questions + [(8, None), (9, [float("inf")] * 8)], "question_id long, embedding array<double>")
+    found = encode.nearest(q, d, 5, doc_block=30, question_block=40)
+    assert got(found) == plain(questions, docs, 5) and sum(sent) < 3 * len(docs)  # 3 blocks of questions against all rows: 3 times
