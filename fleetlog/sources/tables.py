@@ -66,20 +66,46 @@ def append_new_docs(
     ``force``: the caller then replaces the dump's partition), and of equal ids in one batch the
     first stays.
     """
+    valid = _with_text(incoming, max_doc_chars)
+    ids, told, seen, new = _batch_ids(valid, None if force else existing)
+    fresh = _fresh(valid, ids, told, seen, new)
+    return fresh, _counts(incoming, fresh)
+
+
+def _with_text(incoming: DataFrame, max_doc_chars: int | None) -> DataFrame:
     valid = incoming.where(F.col("document").isNotNull())
-    if max_doc_chars is not None:
-        valid = valid.withColumn("document", F.substring("document", 1, max_doc_chars))
-    fresh = first_per(valid, ["doc_id"], ["doc_id", "document"])
-    if existing is not None and not force:
-        fresh = fresh.join(existing.select("doc_id"), "doc_id", "left_anti")
+    return valid if max_doc_chars is None else valid.withColumn("document", F.substring("document", 1, max_doc_chars))
+
+
+def _batch_ids(valid: DataFrame, existing: DataFrame | None) -> tuple[DataFrame, bool, bool, bool]:
+    """The batch's ids (doc_id, n, seen: stored already), and if any new one comes twice, any is stored, any is new."""
+    ids = valid.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if existing is None:
+        ids = ids.withColumn("seen", F.lit(False))
+    else:
+        known = existing.select("doc_id").distinct().withColumn("seen", F.lit(True))
+        ids = ids.join(known, "doc_id", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+    ids = stage(ids)
+    of = ids.agg(F.max(F.when(~F.col("seen"), F.col("n"))).alias("n"), F.max("seen").alias("seen"), F.max(~F.col("seen")).alias("new")).first()
+    return ids, (of.n or 0) > 1, bool(of.seen), bool(of.new)
+
+
+def _fresh(valid: DataFrame, ids: DataFrame, told: bool, seen: bool, new: bool) -> DataFrame:
+    """The rows to append. Whole rows are shuffled by id only where a stored id or one that comes twice has to be left out."""
+    if not new:
+        return valid.where("false")
+    left = valid.join(ids.where("seen").select("doc_id"), "doc_id", "left_anti") if seen else valid
+    return first_per(left, ["doc_id"], ["doc_id", "document"]) if told else left
+
+
+def _counts(incoming: DataFrame, fresh: DataFrame) -> DataFrame:
     total = incoming.groupBy("dump_id").agg(F.count("*").alias("total"))
     added = fresh.groupBy("dump_id").agg(F.count("*").alias("added"))
-    stats = total.join(added, "dump_id", "left").select(
+    return total.join(added, "dump_id", "left").select(
         "dump_id",
         F.coalesce("added", F.lit(0)).cast("bigint").alias("added"),
         (F.col("total") - F.coalesce("added", F.lit(0))).cast("bigint").alias("skipped"),
     )
-    return fresh, stats
 
 
 def ingest_docs(incoming: DataFrame, root: str, *, force: bool = False, max_doc_chars: int | None = None) -> DataFrame:
@@ -90,26 +116,42 @@ def ingest_docs(incoming: DataFrame, root: str, *, force: bool = False, max_doc_
     touches are read or written. ``force`` replaces all that is stored of the batch's dumps: the new content of those folders is
     written aside and then swapped in by a dynamic partition overwrite, so a reader sees the old or the new folder, and a job that
     fails leaves the old one. Running a batch again adds nothing; an empty batch changes nothing.
+
+    What is stored, skipped and counted is decided on ids; texts are read from ``incoming`` only for the rows to store, so it must
+    give the same rows each time it is read.
     """
     spark, path = incoming.sparkSession, os.path.join(root, "store")
-    batch = stage(incoming.withColumn("dump_bucket", dump_bucket()))
-    sound = batch.where(F.col("doc_id").isNotNull() & F.col("dump_id").isNotNull())
+    batch = incoming.withColumn("dump_bucket", dump_bucket())
+    named = F.col("doc_id").isNotNull() & F.col("dump_id").isNotNull()
+    heads = stage(batch.select("doc_id", "dump_id", "dump_bucket", F.col("document").isNotNull().alias("has_text")))
+    sound = heads.where(named)
     touched = [r.dump_bucket for r in sound.select("dump_bucket").distinct().collect()]  # at most BUCKETS numbers
     # the folder column is not part of what the files hold
     stored = read_table(spark, root, "store", batch.schema).where(F.col("dump_bucket").isin(touched))
-    fresh, counts = append_new_docs(None if force else stored, sound, force=force, max_doc_chars=max_doc_chars)
-    if force:
-        fresh = fresh.unionByName(stored.join(sound.select("dump_id").distinct(), "dump_id", "left_anti"))
-    content, wrong = stage(fresh), batch.where(F.col("doc_id").isNull() | F.col("dump_id").isNull()).groupBy("dump_id").agg(F.count("*").alias("errors"))
+    ids, *of = _batch_ids(sound.where("has_text"), None if force else stored)
+    told, _, new = of
+    fresh, used = _fresh(_with_text(batch.where(named), max_doc_chars), ids, *of), [heads, ids]
+    if told:  # which row of an id is the first depends on its text
+        used.append(fresh := stage(fresh))
+    counts = _counts(sound, fresh if told else _fresh(sound.where("has_text"), ids, *of))
+    wrong = heads.where(~named).groupBy("dump_id").agg(F.count("*").alias("errors"))
     # null dumps meet their counts, too
     stats = stage(counts.withColumn("errors", F.lit(0).cast("bigint")).unionByName(wrong.select("dump_id", F.lit(0).cast("bigint").alias("added"), F.lit(0).cast("bigint").alias("skipped"), "errors")).groupBy("dump_id").agg(*[F.sum(c).alias(c) for c in ("added", "skipped", "errors")]))
-    writer = content.hint("rebalance", "dump_bucket").write.partitionBy("dump_bucket")
-    if touched and not content.isEmpty():
-        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path) if force else writer.mode("append").parquet(path)
-    unstage(batch, content)
+    if force:  # the folders read here are overwritten
+        used.append(dumps := stage(sound.select("dump_id").distinct()))
+        used.append(content := stage(fresh.unionByName(stored.join(dumps, "dump_id", "left_anti"))))
+        if touched and not content.isEmpty():
+            _by_bucket(content).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    elif new:
+        _by_bucket(fresh).mode("append").parquet(path)
+    unstage(*used)
     return stats
 
 
+def _by_bucket(content: DataFrame):
+    return content.hint("rebalance", "dump_bucket").write.partitionBy("dump_bucket")
+
+
 def write_paged(docs: DataFrame, path: str, key: str = "doc_id", files: int | None = None) -> None:
     """Write a table for reading page by page: files are ranges of ``key``, sorted inside, and ``<path>/index`` holds
     each file's least and greatest key and its number of rows.

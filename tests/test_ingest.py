@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from fleetlog.extract.registration import change_context
 from fleetlog.facts import kpi
 from fleetlog.operators import ends
-from fleetlog.sources import ingest_docs, read_table
+from fleetlog.sources import ingest_docs, read_table, tables
 from fleetlog.streaming.landing import manifest
 
 DOCS = "dump_id string, doc_id string, document string"
@@ -67,3 +67,27 @@ def test_context_of_changes(spark):
         got.setdefault((r.dump_id, r.line_no), []).append(r.raw)
     assert got == {("d", 5): ["r2", "r1", "r0"], ("d", 78): [f"r{i}" for i in range(38, 23, -1)]}
     assert kpi.ntn_facts(lines, F.col("raw") == "r3").first().ntn_errors == 1
+
+
+def test_ingest_moves_texts_only_to_store_them(spark, tmp_path, monkeypatch):
+    """Ids decide: no text is staged on its way to the store, and none is read for a batch that is stored already."""
+    staged, plain_stage = [], tables.stage
+    monkeypatch.setattr(tables, "stage", lambda df: [staged.append(df.columns), plain_stage(df)][1])
+    root, rows = str(tmp_path), [(f"d{i % 3}", f"{i}", f"t{i}") for i in range(50)]
+    put = lambda part: {r.dump_id: (r.added, r.skipped, r.errors) for r in ingest_docs(spark.createDataFrame(part, DOCS), root).collect()}
+    assert put(rows[:30]) == {"d0": (10, 0, 0), "d1": (10, 0, 0), "d2": (10, 0, 0)}
+    assert put(rows) == {"d0": (7, 10, 0), "d1": (7, 10, 0), "d2": (6, 10, 0)}
+    assert put(rows) == {"d0": (0, 17, 0), "d1": (0, 17, 0), "d2": (0, 16, 0)}
+    assert stored(spark, root) == {(d, i): t for d, i, t in rows} and not any("document" in c for c in staged)
+
+
+def test_ingest_of_stored_and_repeated_ids(spark, tmp_path):
+    """Of an id the row with the least text stays, in whatever dump; an id stored in a folder of the batch is skipped."""
+    root = str(tmp_path)
+    put = lambda part, **kw: {r.dump_id: (r.added, r.skipped, r.errors) for r in ingest_docs(spark.createDataFrame(part, DOCS), root, **kw).collect()}
+    assert put([("a", "1", "x"), ("b", "2", "y")]) == {"a": (1, 0, 0), "b": (1, 0, 0)}
+    mixed = [("a", "1", "other"), ("a", "1", "again"), ("a", "3", "n"), ("b", "3", "m"), ("b", "4", None), ("b", "4", "q"), ("b", "5", "r")]
+    assert put(mixed) == {"a": (0, 3, 0), "b": (3, 1, 0)}
+    assert stored(spark, root) == {("a", "1"): "x", ("b", "2"): "y", ("b", "3"): "m", ("b", "4"): "q", ("b", "5"): "r"}
+    assert put([("b", "9", "z"), ("b", "9", "w")], force=True) == {"b": (1, 1, 0)}
+    assert stored(spark, root) == {("a", "1"): "x", ("b", "9"): "w"}
