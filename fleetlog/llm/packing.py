@@ -14,9 +14,11 @@ the placements are bounded by the window size too (about 11 x 3 x window), and a
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,20 +29,34 @@ from fleetlog.session import stage
 
 WINDOW = 2048
 END_ID = 1
-#: words whose ids a Python worker remembers; about 200 bytes each
-CACHE_WORDS = 600_000
+#: words whose ids a Python worker remembers, about 200 bytes each; of a full memory the words met first stay, the common ones mostly
+CACHE_WORDS, KEPT_WORDS = 600_000, 150_000
+#: lower-case letters, as composed by NFC, and ASCII marks behind them (no apostrophe, which may begin a piece of its own)
+LETTERS = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+#: words on which the tokenizer's model alone has to agree with the whole tokenizer
+PROBES = ["a", "word", "internationalization", "stra\u00dfe", "\u00e9\u00e0\u00fc\u00f1\u00e7\u00f8\u00ed\u00ff", "xqzjv"]
 #: words given to the tokenizer at once
 ENCODE_WORDS = 1_000
 #: pieces of one length that one task numbers, about
 NUMBERED = 50_000
 
 
+def _byte_chars() -> dict[int, str]:
+    """The character by which byte-level models write a byte, for those that are not written as themselves."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in own)}
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 class Coder:
     """Ids of texts by a tokenizer that never joins what white space separates.
 
     A text is first cut at the literals of the tokenizer's added tokens, such as ``<|endoftext|>``, which get their
     ids in exactly that spelling. Between them, each distinct word goes through the tokenizer once while it is
-    remembered, so a text costs a split and lookups. ASCII letters are lower-cased first, as the tokenizer does
+    remembered, so a text costs a split and lookups. Of new words made of letters and marks behind them, the letters go to the
+    tokenizer's model at once: normalizing and cutting would change nothing. ASCII letters are lower-cased first, as the tokenizer does
     itself; a word that lower-casing turns into such a literal is none.
     """
 
@@ -56,16 +72,38 @@ class Coder:
         self.marks = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")")
         self.tokenizer.encode_special_tokens = True  # words have no added tokens
         self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> None:
+        self.tails: dict[bytes, bytes] = {b"": b""}
+        self.model = self.tokenizer.model
+        whole = self.tokenizer.encode_batch([[x] for x in PROBES + [x + "." for x in PROBES]], is_pretokenized=True, add_special_tokens=False)
+        dot = self.tokenizer.encode(["."], is_pretokenized=True, add_special_tokens=False).ids
+        alone = [np.frombuffer(self.letters(x.encode()), dtype="<u4").tolist() for x in PROBES]
+        self.direct = [x.ids for x in whole] == alone + [x + dot for x in alone]
+
+    def letters(self, word: bytes) -> bytes:
+        """Ids of a run of letters by the model alone, which reads bytes as characters."""
+        ids = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(_BYTE_CHARS))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(self, words: set[bytes]) -> None:
+        """Remember new words."""
+        parts = {w: m.groups() for w in words if (m := LETTERS.fullmatch(w))} if self.direct else {}
+        self.tails |= self.code(list({tail for _, tail in parts.values()}.difference(self.tails))) if len(self.tails) < CACHE_WORDS else {}
+        self.known |= self.code([w for w in words if w not in parts])
+        for w, (stem, tail) in parts.items():
+            self.known[w] = self.letters(stem) + (self.tails[tail] if tail in self.tails else self.code([tail])[tail])
+
+    def code(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words by the whole tokenizer."""
+        out = {}
         groups = [[w.decode("utf-8", "replace") for w in words[i : i + ENCODE_WORDS]] for i in range(0, len(words), ENCODE_WORDS)]
         for k, coded in enumerate(self.tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)):
             ids = np.array(coded.ids, dtype="<u4").tobytes()
             ends = 4 * np.searchsorted(np.array(coded.word_ids, dtype=np.int64), np.arange(len(groups[k])), side="right")
             start = 0
             for word, end in zip(words[k * ENCODE_WORDS :], ends.tolist()):
-                self.known[word] = ids[start:end]
+                out[word] = ids[start:end]
                 start = end
+        return out
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -80,9 +118,9 @@ class Coder:
         words = text.encode("utf-8", "surrogatepass").lower().split()
         if fresh := set(words).difference(self.known):
             if len(self.known) + len(fresh) > CACHE_WORDS:
-                self.known.clear()
-                fresh = set(words)
-            self.learn(list(fresh))
+                self.known = dict(islice(self.known.items(), KEPT_WORDS))
+                fresh = set(words).difference(self.known)
+            self.learn(fresh)
         return b"".join(map(self.known.__getitem__, words))
 
 

@@ -413,3 +413,20 @@ def test_best_fit_decreasing_is_the_sequential_one(seed):
             assert used[sequence + i // each] == offset + i % each * length
             used[sequence + i // each] += length
     assert sorted(used.values()) == sorted(bins)
+
+
+def test_coder_codes_letters_by_the_model_alone(monkeypatch):
+    """The same ids as the whole tokenizer, and a full memory keeps the words met first."""
+    from tokenizers import Tokenizer
+
+    whole, own = Tokenizer.from_file(TOKENS), packing.Coder(TOKENS)
+    texts = ["Straße, élan... ñandú!? ÿ x÷y don't it's end.' 'll a). b$$$ 12. c3d étude É ÀB ﬁn Σς ω. ­x ä. <|endoftext|>. <|x|>", "internationalization " * 3 + "q" * 5000 + "!" * 300]
+    assert [np.frombuffer(i, dtype="<u4").tolist() for i in own.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert own.direct and own.model.tokenize("word")
+    monkeypatch.setattr(packing, "CACHE_WORDS", 6)
+    monkeypatch.setattr(packing, "KEPT_WORDS", 2)
+    own.known = {}
+    coded, learn = [], own.learn
+    own.learn = lambda words: coded.append(words) or learn(words)
+    list(own.encode(["aa bb", "cc dd ee ff", "aa gg"]))
+    assert coded[-1] == {b"gg"} and set(own.known) == {b"aa", b"bb", b"gg"}
