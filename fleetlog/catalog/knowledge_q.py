@@ -351,7 +351,7 @@ def ingest_delta(t):
 def ingest_force(t):
     """Labelled documents are stored, then all, then all again, then every dump is replaced by its German ones."""
     docs = t.documents.where("text is not null").select(F.col("source").alias("dump_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("document"), "lang")
-    early = docs.join(t.labels.select(F.col("doc_id").cast("string").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    early = stage(docs.join(t.labels.select(F.col("doc_id").cast("string").alias("doc_id")).distinct(), "doc_id", "left_semi"))  # read twice
     root = f"{checkpoint_root(t.spark)}/ingest/{uuid.uuid4().hex}"
     runs = []
     for name, rows, force in (("first", early, False), ("all", docs, False), ("again", docs, False), ("force", docs.where("lang = 'de'"), True)):
